@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netpanel.llm import packing, records, shared, tokens
+from netpanel.llm import fingerprints, mixing, packing, records, shared, tokens, warc, wordpieces
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
+#: The vocabulary whose pieces are counted.
+PIECES = "piece_bpe_32k.model"
+#: Target weights as parts; other sources have 1 part.
+PARTS = {"src0": 4, "src1": 2, "src2": 3, "src3": 2}
+BLOCK_CHARS = 65536
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and their likenesses."""
+    return fingerprints.with_next(shared.table(spark, sf_dir, "documents"))
 
 
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,16 +29,36 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.scan_records(manifest)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their index."""
+    index = warc.write_archives(shared.table(spark, sf_dir, "pages"), shared.scratch(spark, "warc"))
+    return warc.read_archives(index).drop("url")
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids packed into sequences of at most 2048 tokens."""
     docs = shared.table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, tokens.vocabulary(VOCABULARY), END_ID, packing.Limits(max_tokens=2048))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and greedy longest-match word pieces."""
+    return wordpieces.token_counts(shared.table(spark, sf_dir, "documents"), tokens.vocabulary(PIECES))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block and slot in the interleaving of all sources at their target weights."""
+    return mixing.interleave(shared.table(spark, sf_dir, "documents"), PARTS, block_chars=BLOCK_CHARS).select("doc_id", "source", "block", "round", "slot", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op3_binary_records": op3_binary_records,
+        "op4_warc": op4_warc,
         "op5_vector_packing": op5_vector_packing,
+        "op7_token_counts": op7_token_counts,
+        "op8_source_mixing": op8_source_mixing,
     }
 
 
