@@ -9,8 +9,10 @@ encodes whole texts.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 
@@ -18,11 +20,28 @@ import numpy as np
 CACHE_CHUNKS = 600_000
 #: Longer chunks are not kept.
 CACHE_LENGTH = 64
-#: Chunks encoded by one call.
-CALL = 2000
 
-_WORD_THEN_MARKS = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-_PROBES = ("ab", "Ab", "ab,", "1", "ab's", "x1.5", "...", "éa", "Éa", "á", "'", "d'A", "ab**", "!?", "zz-top")
+_LETTERS_THEN_MARKS = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = ("ab", "Ab", "ab,", "1", "ab's", "x1.5", "...", "éa", "Éa", "á", "'", "d'A", "ab**", "!?", "zz-top")
+_LETTER_PROBES = ("a", "the", "zyxwvut", "été", "àöøÿþß", "abcdefghijklmnopqrstuvwxyz" * 2)
+_MARK_PROBES = (",", ".", "**", "!?", "(&", "%%%", "`~{|}", "<=>@[]^_", "#$+-/:;")
+
+
+class _Kept(dict):
+    """Chunk to ids, as bytes; finds what it does not hold."""
+
+    def __init__(self, enc: Encoder):
+        super().__init__({"": b""})
+        self.enc = enc
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.enc.chunk(chunk)
+        if len(chunk) <= CACHE_LENGTH:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+                self[""] = b""
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
@@ -31,15 +50,20 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.lib = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        special = [(i, t.content) for i, t in self.lib.get_added_tokens_decoder().items() if t.special and not t.normalized]
-        self.mark_id, self.mark = special[0] if special else (None, None)
-        raw = self._ids
-        self.by_chunk = bool(special) and all(raw(f"{a}{gap}{b}") == raw(a) + raw(b) for a in _PROBES for b in _PROBES for gap in (" ", "\n", "\t"))
-        self.by_case = self.by_chunk and all(raw(p) == raw(p.lower()) for p in _PROBES)
-        self.by_marks = self.by_chunk and all(raw(f"{p}{m}") == raw(p) + raw(m) for p in ("ab", "été") for m in (",", ".", "**", "!?", "(&"))
-        self.kept: dict[str, bytes] = {"": b""}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        ids = self._ids
+        self.by_chunk = all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a in _PROBES for b in _PROBES for gap in (" ", "\n", "\t"))
+        #: Case and end marks of a word of Latin letters change nothing but the marks' own ids.
+        self.by_word = self.by_chunk and all(ids(p) == ids(p.lower()) for p in _PROBES) and all(ids(f"{p}{m}") == ids(p) + ids(m) for p in _LETTER_PROBES for m in _MARK_PROBES)
+        #: The bare model, for words that its normaliser and pre-tokenizer leave as they are but for the letters of bytes.
+        self.model = self.lib.model if self.by_word else None
+        self.letters = _byte_letters()
+        if self.model and any(self._word(w) != self._raw(w) for w in _LETTER_PROBES):
+            self.model = None
+        self.kept = _Kept(self)
 
     def _ids(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
@@ -47,66 +71,38 @@ class Encoder:
     def _raw(self, text: str) -> bytes:
         return np.array(self._ids(text), self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, many at a time: a special token between them shows where one ends."""
-        found: dict[str, bytes] = {}
-        plain = [c for c in chunks if self.mark not in c]
-        found.update((c, self._raw(c)) for c in chunks if self.mark in c)
-        size = self.dtype.itemsize
-        for k in range(0, len(plain), CALL):
-            part = plain[k : k + CALL]
-            ids = np.array(self._ids(self.mark.join(part)), self.dtype)
-            cuts = np.flatnonzero(ids == self.mark_id) * size
-            if len(cuts) != len(part) - 1:  # some chunk holds the mark after normalisation
-                found.update((c, self._raw(c)) for c in part)
-                continue
-            raw, begin = ids.tobytes(), [0, *(cuts + size).tolist()]
-            found.update((c, raw[a:b]) for c, a, b in zip(part, begin, [*cuts.tolist(), len(raw)], strict=True))
-        return found
-
-    def _miss(self, new: list[str]) -> None:
-        """Keeps the ids of new chunks; those that differ in case or end marks alone share the work."""
-        parts: dict[str, tuple[str, str]] = {}
-        for c in new:
-            word = c.lower() if self.by_case and _latin(c) else c
-            m = _WORD_THEN_MARKS.fullmatch(word) if self.by_marks else None
-            parts[c] = (m[1], m[2]) if m else (word, "")
-        need = {p for pair in parts.values() for p in pair}.difference(self.kept)
-        found = self._learn(list(need))
-        self.kept.update(found)
-        for c, (a, b) in parts.items():
-            self.kept[c] = self.kept[a] + self.kept[b]
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk without white space."""
+        if self.model and (chunk.isascii() or _latin(chunk)):
+            m = _LETTERS_THEN_MARKS.fullmatch(chunk.lower())
+            if m:
+                word, marks = m.groups()
+                if marks:
+                    return self.kept[word] + self.kept[marks]
+                return self._word(word) if word == chunk else self.kept[word]
+        return self._raw(chunk)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, of this encoder's dtype; null counts as empty."""
         if not self.by_chunk:
             return [self._raw(t or "") for t in texts]
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        out: list[bytes] = []
-        for k in range(0, len(split), 200):
-            group = split[k : k + 200]
-            seen = set().union(*group)
-            new = [c for c in seen.difference(self.kept) if len(c) <= CACHE_LENGTH]
-            if new:
-                if len(self.kept) + 3 * len(new) > CACHE_CHUNKS:
-                    self.kept = {"": b""}
-                    new = [c for c in seen if c and len(c) <= CACHE_LENGTH]
-                self._miss(new)
-            long = {c: self._raw(c) for c in seen if len(c) > CACHE_LENGTH}
-            get = (self.kept | long).__getitem__ if len(long) > 10_000 else None
-            for words in group:
-                if not long:
-                    out.append(b"".join(map(self.kept.__getitem__, words)))
-                elif get:
-                    out.append(b"".join(map(get, words)))
-                else:
-                    out.append(b"".join(long[w] if len(w) > CACHE_LENGTH else self.kept[w] for w in words))
-        return out
+        get, join = self.kept.__getitem__, b"".join
+        return [join(map(get, (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
 def _latin(text: str) -> bool:
-    if text.isascii():
-        return True
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
