@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netpanel.llm import fingerprints, mixing, packing, records, shared, tokens, warc, wordpieces
+from netpanel.llm import fingerprints, mixing, packing, quality, records, shared, simhash, tokens, warc, wordpieces
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -22,6 +23,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(shared.table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; the model has not seen the held-out documents."""
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, shared.table(spark, sf_dir, "labels"))
+    rows = quality.scored(docs, model)
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as framed records and read back from the files."""
     docs = shared.table(spark, sf_dir, "documents")
@@ -51,14 +60,21 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(shared.table(spark, sf_dir, "documents"), PARTS, block_chars=BLOCK_CHARS).select("doc_id", "source", "block", "round", "slot", "rank")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the component of documents that links of up to 2 bits reach."""
+    return simhash.grouped(shared.table(spark, sf_dir, "documents"), words=3, bits=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_quality": op2_quality,
         "op3_binary_records": op3_binary_records,
         "op4_warc": op4_warc,
         "op5_vector_packing": op5_vector_packing,
         "op7_token_counts": op7_token_counts,
         "op8_source_mixing": op8_source_mixing,
+        "op10_simhash": op10_simhash,
     }
 
 
