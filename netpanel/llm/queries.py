@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpanel.llm import fingerprints, mixing, packing, quality, records, shared, simhash, tokens, warc, wordpieces
+from netpanel.llm import ann, fingerprints, mixing, packing, quality, records, shared, simhash, tokens, warc, wordpieces
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -60,6 +60,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(shared.table(spark, sf_dir, "documents"), PARTS, block_chars=BLOCK_CHARS).select("doc_id", "source", "block", "round", "slot", "rank")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every vector whose id is divisible by 100."""
+    return ann.search(shared.table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash and the component of documents that links of up to 2 bits reach."""
     return simhash.grouped(shared.table(spark, sf_dir, "documents"), words=3, bits=2)
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_vector_packing": op5_vector_packing,
         "op7_token_counts": op7_token_counts,
         "op8_source_mixing": op8_source_mixing,
+        "op9_neighbours": op9_neighbours,
         "op10_simhash": op10_simhash,
     }
 
