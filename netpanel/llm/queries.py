@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpanel.llm import ann, fingerprints, mixing, packing, quality, records, shared, simhash, tokens, warc, wordpieces
+from netpanel.llm import ann, fingerprints, mixing, packing, quality, records, shared, simhash, substrings, tokens, warc, wordpieces
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -50,6 +50,11 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokens.vocabulary(VOCABULARY), END_ID, packing.Limits(max_tokens=2048))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that also start earlier."""
+    return substrings.deduplicated(shared.table(spark, sf_dir, "documents"), length=20)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words and greedy longest-match word pieces."""
     return wordpieces.token_counts(shared.table(spark, sf_dir, "documents"), tokens.vocabulary(PIECES))
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_binary_records": op3_binary_records,
         "op4_warc": op4_warc,
         "op5_vector_packing": op5_vector_packing,
+        "op6_substrings": op6_substrings,
         "op7_token_counts": op7_token_counts,
         "op8_source_mixing": op8_source_mixing,
         "op9_neighbours": op9_neighbours,
