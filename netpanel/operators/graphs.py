@@ -74,7 +74,7 @@ def minimum_spanning_tree(points: DataFrame, by: Sequence[str] = ()) -> DataFram
         return out[[*by, "i", "j", "d"]]
 
     schema = ", ".join([*(f"{c} {types[c]}" for c in by), "i long, j long, d double"])
-    return (points.groupBy(*by) if by else points.groupBy(F.lit(1))).applyInPandas(tree, schema)
+    return (points if by else points.withColumn("_one", F.lit(1))).groupBy(*(by or ["_one"])).applyInPandas(tree, schema)
 
 
 def gravity_layer(distances: DataFrame, k: int = 10, scale_km: float = 200.0, by: Sequence[str] = ()) -> DataFrame:
@@ -184,7 +184,7 @@ def spectrum(edges: DataFrame, nodes: DataFrame, count: int = 10) -> DataFrame:
         found = kernels.laplacian_spectrum(np.maximum(a, a.T))[:count]
         return pd.DataFrame({"place": np.arange(len(found)), "eigenvalue": found})
 
-    return edges.select("i", "j", "w").unionByName(ids).groupBy(F.lit(1)).applyInPandas(values, "place int, eigenvalue double")
+    return edges.select("i", "j", "w").unionByName(ids).withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(values, "place int, eigenvalue double")
 
 
 def block_sums(edges: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -79,6 +79,7 @@ def _blocked(points: DataFrame, by: Sequence[str], block: int) -> tuple[DataFram
     other = F.explode(F.sequence(F.lit(0), F.greatest("_blocks", F.lit(1)) - 1))
     left = rows.withColumn("_l", own).withColumn("_r", other).drop("_blocks")
     right = rows.withColumn("_r", own).withColumn("_l", other).drop("_blocks")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, for the cogroup
     return left, right, [*by, "_l", "_r"]
 
 
