@@ -37,7 +37,7 @@ def mixed(*keys: Column | int) -> Column:
 
 def replicates(df: DataFrame, n: int) -> DataFrame:
     """Every row in each of n replicates (column rep)."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
 def permuted(labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -56,7 +56,7 @@ def permuted(labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def permutation_null(edges: DataFrame, labels: DataFrame, n: int, metrics: Sequence[str] = ("AVI", "AVU", "ANUI", "Q"), seed: int = 0) -> DataFrame:
     """metric, observed, mean, sd, z (oriented: more is better than chance), p (one-sided, +1 rule)."""
     reps = permuted(labels, n, seed)
-    every = edges.select("i", "j", "w", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("rep"))
+    every = edges.select("i", "j", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("rep"))
     null = graphs_by_replicate(every, reps, metrics)
     return compared_to_null(indices.graph_indices(edges, labels), null, metrics)
 
@@ -84,7 +84,7 @@ def configuration_null(edges: DataFrame, labels: DataFrame, n: int, metrics: Seq
         i, j, w = kernels.rewired(rows["i"].to_numpy(), rows["j"].to_numpy(), rows["w"].to_numpy(), np.random.default_rng([seed, rep]), swaps)
         return pd.DataFrame({"rep": rep, "i": i, "j": j, "w": w})
 
-    every = edges.select("i", "j", "w", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("rep"))
+    every = edges.select("i", "j", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("rep"))
     dealt = every.groupBy("rep").applyInPandas(rewire, "rep long, i long, j long, w double")
     null = graphs_by_replicate(dealt, replicates(labels, n), metrics)
     return compared_to_null(indices.graph_indices(edges, labels), null, metrics)

@@ -25,14 +25,19 @@ def distance(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(squared_distance(a, b))
 
 
+def complete(points: DataFrame, x: str = "x") -> DataFrame:
+    """Points without a missing component."""
+    return points.filter(F.col(x).isNotNull() & ~F.exists(x, lambda v: v.isNull()))
+
+
 def centres(points: DataFrame, by: Sequence[str] = ("label",), x: str = "x") -> DataFrame:
-    """The mean point and the number of points of each group, in one aggregation."""
-    return points.groupBy(*by).agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("centre"), F.count(F.lit(1)).alias("n"))
+    """The mean point and the number of complete points of each group, in one aggregation."""
+    return complete(points, x).groupBy(*by).agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("centre"), F.count(F.lit(1)).alias("n"))
 
 
 def variances(points: DataFrame, by: Sequence[str] = (), x: str = "x") -> DataFrame:
     """Population variance by component of each group."""
-    out = points.groupBy(*by).agg(vector_to_array(Summarizer.variance(array_to_vector(x))).alias("v"), F.count(F.lit(1)).alias("n"))
+    out = complete(points, x).groupBy(*by).agg(vector_to_array(Summarizer.variance(array_to_vector(x))).alias("v"), F.count(F.lit(1)).alias("n"))
     ratio = F.when(F.col("n") > 0, (F.col("n") - 1) / F.col("n"))
     return out.withColumn("v", F.transform("v", lambda e: e * ratio))
 

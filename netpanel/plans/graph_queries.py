@@ -55,7 +55,7 @@ def distances(spark, sf_dir):
 
 
 def graph(spark, sf_dir):
-    return graphs.behaviour_layer(points(spark, sf_dir), K, K + 2, mutual=True)
+    return graphs.behaviour_layer(points(spark, sf_dir), K, K + 2, mutual=True).persist()  # several measures read it
 
 
 def knn_graph(spark, sf_dir):
