@@ -8,6 +8,7 @@ used only where that setting is unset, as in tests on one machine.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/netpanel/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
+def release(spark: SparkSession) -> None:
+    """Spark deletes a finished job's shuffle files once the driver has collected its plan: asks for that now.
+
+    Called when the rows of a job with large shuffles lie in a table, so that the disk holds those of one step at
+    a time. The job's last events must have passed before nothing refers to its plan any more.
+    """
+    time.sleep(0.4)
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: cuts lineage and survives lost executors. ``large``: releases shuffles."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if large:
+        release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

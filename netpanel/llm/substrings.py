@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from netpanel.llm import shared
 
 #: Words of a window, and of the runs whose hashes choose anchors.
-LENGTH, GRAM = 20, 8
+LENGTH, GRAM = 20, 6
 #: Different stretches of an anchor beyond which it is divided.
 HOT = 2000
 #: Words of a shard, about.
@@ -293,42 +293,70 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("_others") if others else F.lit(None).cast("int").alias("_others"))
     rows = rows.withColumn("_h", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)))
 
+    # a copy of a whole text is all repeats, if it has a window: of equal texts only the first goes through the index
+    whole = rows.select("_id", "_h", F.xxhash64("text").alias("_a"), F.hash("text").alias("_b"), F.octet_length("text").alias("_c"))
+    firsts = whole.groupBy("_a", "_b", "_c").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = shared.written(firsts.select(F.concat_ws(":", "_a", "_b", "_c").alias("_text"), "_first", "n"), "copies")
+    copies = shared.lookup(whole.select("_id", "_h", F.concat_ws(":", "_a", "_b", "_c").alias("_text")), firsts, "_text", "n", rows.count())
+    copies = copies.filter("_first < _id").select("_id", "_h", F.lit(None).cast("long").alias("packed"), F.lit(None).cast("long").alias("anchor")).distinct()
+
     anchors = rows.select("_id", "_h", "text").mapInArrow(_anchors_of(length), "key long, anchor long, id long, packed long")
     found = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeating, "anchor long, id long, packed long")
-    per_doc = found.groupBy(F.col("id").alias("_id"), F.expr("shiftright(packed, 39) & 16777215L").alias("_h")).agg(F.collect_set(F.struct("packed", "anchor")).alias("_at"))
+    found = found.select(F.col("id").alias("_id"), F.expr("shiftright(packed, 39) & 16777215L").alias("_h"), "packed", "anchor").unionByName(copies)
+    per_doc = found.groupBy("_id", "_h").agg(F.collect_set(F.struct("packed", "anchor")).alias("_x"))
+    is_copy = F.exists("_x", lambda x: x["packed"].isNull())
+    per_doc = per_doc.select("_id", "_h", is_copy.alias("_copy"), F.when(~is_copy, F.transform("_x", lambda x: x["packed"])).alias("_at"), F.when(~is_copy, F.transform("_x", lambda x: x["anchor"])).alias("_anchors"))
     joined = rows.join(per_doc, ["_id", "_h"], "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: results of documents without candidates; 1: other documents' text; 2: their stretches, by key."""
+        """Kind 0: results of documents without candidates; 1: other documents' text; 2: their stretches."""
         for batch in batches:
-            out: list[tuple] = []
-            for k, (i, h, text, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_id", "_h", "text", "_at")), strict=True)):
+            size = batch.num_rows
+            kind, total, gone, sha, text_of = [0] * size, [None] * size, [None] * size, [None] * size, [None] * size
+            texts, copy, ats, anchors = (batch.column(c).to_pylist() for c in ("text", "_copy", "_at", "_anchors"))
+            ids, hs = batch.column("_id").to_numpy(), batch.column("_h").to_numpy()
+            pieces: list[bytes] = []
+            owner, first, count, anchor = [], [], [], []
+            for k, text in enumerate(texts):
                 words = _words(text)
-                if not at:
-                    n, m, kept = _result(words, None)
-                    out.append((0, k, i, h, n, m, hashlib.sha256(kept).hexdigest(), raw(text) if keep_text else None, None, None, None, None))
+                if copy[k] or not ats[k]:
+                    removed = np.full(len(words), bool(copy[k]) and len(words) >= length)
+                    total[k], gone[k], left = _result(words, removed)
+                    sha[k] = hashlib.sha256(left).hexdigest()
+                    if keep_text:
+                        text_of[k] = left if gone[k] else raw(text)
                     continue
-                packed = np.array([x["packed"] for x in at], np.int64)
-                first, count = _unpack(packed)
-                out.append((1, k, i, h, None, None, None, raw(text), packed.tolist(), None, None, None))
-                for a, b, x in zip(first.tolist(), count.tolist(), at, strict=True):
-                    out.append((2, None, i, h, None, None, None, b" ".join(words[a : a + b + length - 1]), None, x["anchor"], a, b))
-            for part in (out[a : a + 20_000] for a in range(0, len(out), 20_000)):
-                columns = list(zip(*part, strict=True))
-                own = batch.column("doc_id").take(pa.array(columns[1], pa.int64()))
-                rest = batch.column("_others").take(pa.array(columns[1], pa.int64()))
-                arrays = [pa.array(columns[0], pa.int32()), own, rest, *(pa.array(columns[c], t) for c, t in zip(range(2, 12), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()), strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "doc_id", "_others", "_id", "_h", "n_words", "n_removed", "kept_sha256", "kept", "_at", "anchor", "first", "windows"])
+                kind[k], text_of[k] = 1, raw(text)
+                joined = b" ".join(words)
+                ends = np.cumsum([len(w) + 1 for w in words]) - 1
+                a, b = _unpack(np.array(ats[k], np.int64))
+                begin = np.where(a > 0, ends[a - 1] + 1, 0)
+                pieces += [joined[x:y] for x, y in zip(begin.tolist(), ends[a + b + length - 2].tolist(), strict=True)]
+                owner.append(np.full(len(a), k))
+                first.append(a)
+                count.append(b)
+                anchor += anchors[k]
+            none = pa.nulls(size, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), batch.column("doc_id"), batch.column("_others"), batch.column("_id"), batch.column("_h"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text_of, pa.binary()), pa.array([x if k else None for x, k in zip(ats, kind, strict=True)], pa.list_(pa.int64())), none, none, none], names=names_of)
+            if not pieces:
+                continue
+            owner, first, count = (np.concatenate(x) for x in (owner, first, count))
+            for s in (slice(x, x + 20_000) for x in range(0, len(pieces), 20_000)):
+                n = len(pieces[s])
+                none = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), none, pa.nulls(n, batch.column("_others").type), pa.array(ids[owner[s]]), pa.array(hs[owner[s]]), none, none, pa.nulls(n, pa.string()), pa.array(pieces[s], pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(anchor[s], pa.int64()), pa.array(first[s]), pa.array(count[s])], names=names_of)
 
+    names_of = ["kind", "doc_id", "_others", "_id", "_h", "n_words", "n_removed", "kept_sha256", "kept", "_at", "anchor", "first", "windows"]
     kinds = "kind int, doc_id long, _others {}, _id long, _h long, n_words long, n_removed long, kept_sha256 string, kept binary, _at array<long>, anchor long, first long, windows long".format(rows.schema["_others"].dataType.simpleString())
     path = shared.scratch(spark, "substrings")
     done = joined.mapInArrow(split, kinds)
     done.write.partitionBy("kind").parquet(path)
+    shared.release(spark)
     table = spark.read.schema(done.schema).option("basePath", path)
     of_kind = lambda k: table.parquet(path).filter(F.col("kind") == k)
 
     kept = shared.written(_kept_windows(of_kind(2), length), "kept-windows")
-    per_doc = kept.groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "offsets")).alias("_kept"))
+    per_doc = kept.groupBy("_id", "_h").agg(F.flatten(F.collect_list("starts")).alias("_kept"))
     candidates = of_kind(1).select("doc_id", "_others", "_id", "_h", "kept", "_at").join(per_doc, ["_id", "_h"], "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,11 +366,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
                 words = text.split()
                 first, count = _unpack(np.array(at, np.int64))
                 edge = np.zeros(len(words) + 1, np.int64)  # repeated windows that begin, less those that end
-                stay = {x["first"]: x["offsets"] for x in stays or ()}
+                stay = set(stays or ())
                 for a, b in zip(first.tolist(), count.tolist(), strict=True):
-                    again = np.ones(b, bool)
-                    again[stay.get(a, [])] = False
-                    starts = np.flatnonzero(again) + a
+                    starts = np.array([k for k in range(a, a + b) if k not in stay], np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + length, -1)
                 n, m, left = _result(words, np.cumsum(edge[:-1]) > 0)
@@ -359,9 +385,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
 
 
 def _kept_windows(found: DataFrame, length: int) -> DataFrame:
-    """Of the first of equal stretches: _id, _h, first, offsets of the windows that no earlier place has; stretches without any have no row."""
+    """Of the first of equal stretches: _id, _h, starts of the windows that no earlier place has; stretches without any have no row."""
     place = F.struct("_id", "_h", "first")
-    unique = shared.written(found.groupBy("anchor", F.col("kept").alias("words")).agg(F.min(place).alias("at"), F.max("windows").alias("windows")), "stretches")
+    unique = shared.written(found.groupBy("anchor", F.col("kept").alias("words")).agg(F.min(place).alias("at"), F.max("windows").alias("windows")), "stretches", large=True)
     counts = unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("w"))
     hot = shared.written(counts.filter(F.col("n") > HOT).select("anchor", "n"), "hot-anchors")
     totals = unique.agg(F.count(F.lit(1)), F.sum(F.col("windows") + length)).first()
@@ -371,10 +397,10 @@ def _kept_windows(found: DataFrame, length: int) -> DataFrame:
     def through_index(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_id", "_h", "first"])
         again = repeated([w.split() for w in group["words"]], length)
-        stays = [np.flatnonzero(~a) for a in again]
-        return group.assign(offsets=stays)[["_id", "_h", "first", "offsets"]][[len(s) > 0 for s in stays]]
+        stays = [np.flatnonzero(~a) + first for a, first in zip(again, group["first"].to_numpy(), strict=True)]
+        return group.assign(starts=stays)[["_id", "_h", "starts"]][[len(s) > 0 for s in stays]]
 
-    schema = "_id long, _h long, first long, offsets array<long>"
+    schema = "_id long, _h long, starts array<long>"
     cold = marked.filter(F.col("is_hot").isNull()).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "words", "at.*")
     indexed = cold.groupBy("shard").applyInPandas(through_index, schema)
 
@@ -388,6 +414,6 @@ def _kept_windows(found: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), *[pa.int64()] * 4), strict=True)], names=["words", "_id", "_h", "first", "offset"])
 
     windows = marked.filter("is_hot").select("words", "at.*").mapInArrow(divide, "words binary, _id long, _h long, first long, offset long")
-    start = F.struct("_id", "_h", (F.col("first") + F.col("offset")).alias("start"), "first", "offset")
-    divided = windows.groupBy("words").agg(F.min(start).alias("at")).select("at.*").groupBy("_id", "_h", "first").agg(F.collect_list("offset").alias("offsets"))
+    start = F.struct("_id", "_h", (F.col("first") + F.col("offset")).alias("start"))
+    divided = windows.groupBy("words").agg(F.min(start).alias("at")).select("at.*").select("_id", "_h", F.array("start").alias("starts"))
     return indexed.unionByName(divided)
