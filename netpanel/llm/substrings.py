@@ -81,6 +81,8 @@ class FMIndex:
             bits = (column >> k & 1).astype(bool)
             self.levels.append(PackedBits(bits))
             column = np.concatenate([column[~bits], column[bits]])
+        every = np.arange(symbols)
+        self.first = self._path(every, np.zeros(symbols, np.int64))
 
     def _sorted(self, text: np.ndarray, longest: int) -> np.ndarray:
         """Places of the suffixes, in the order of their first ``longest`` symbols at least; by doubling."""
@@ -98,16 +100,16 @@ class FMIndex:
             rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
             reach *= 2
 
+    def _path(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the first places of the transform end up in the wavelet matrix's order, going down by the symbol's bits."""
+        for k, bits in zip(range(self.depth - 1, -1, -1), self.levels, strict=True):
+            ones = bits.rank(at)
+            at = np.where(symbol >> k & 1, self.n - bits.ones + ones, at - ones)
+        return at
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol is among the first places of the transform."""
-        lo, hi = np.zeros_like(at), at
-        for k, bits in zip(range(self.depth - 1, -1, -1), self.levels, strict=True):
-            one = (symbol >> k & 1).astype(bool)
-            a, b = bits.rank(lo), bits.rank(hi)
-            zeros = self.n - bits.ones
-            lo = np.where(one, zeros + a, lo - a)
-            hi = np.where(one, zeros + b, hi - b)
-        return hi - lo
+        return self._path(symbol, at) - self.first[symbol]
 
     def matches(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of the stretches of ``text`` that end at ``ends``, backwards up to ``length`` symbols.
@@ -365,12 +367,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
             for text, at, stays in zip(*(batch.column(c).to_pylist() for c in ("kept", "_at", "_kept")), strict=True):
                 words = text.split()
                 first, count = _unpack(np.array(at, np.int64))
+                again = np.zeros(len(words) - length + 2, np.int64)  # stretches that begin, less those that end
+                np.add.at(again, first, 1)
+                np.add.at(again, first + count, -1)
+                again = np.cumsum(again[:-1]) > 0
+                again[np.array(stays or (), np.int64)] = False
                 edge = np.zeros(len(words) + 1, np.int64)  # repeated windows that begin, less those that end
-                stay = set(stays or ())
-                for a, b in zip(first.tolist(), count.tolist(), strict=True):
-                    starts = np.array([k for k in range(a, a + b) if k not in stay], np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + length, -1)
+                edge[: len(again)] += again
+                edge[length : length + len(again)] -= again
                 n, m, left = _result(words, np.cumsum(edge[:-1]) > 0)
                 out.append((n, m, hashlib.sha256(left).hexdigest(), (left if m else text) if keep_text else None))
             n, m, sha, left = zip(*out, strict=True) if out else ((), (), (), ())
