@@ -33,7 +33,7 @@ from netpanel.llm import shared
 #: A mixture names its sources; more of them would need a schedule of their own.
 MOST_SOURCES = 4096
 #: Rows of a bucket of a source, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 #: One round: a fold over its slots. c: blocks run of each source; o: the source of each slot.
 _ROUND = """
