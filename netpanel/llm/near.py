@@ -32,7 +32,7 @@ SAMPLES, SAMPLE = 16, 3
 #: Whole-text fingerprints link up to so many bits.
 BITS = 3
 #: Rows of a leader's members beyond which they are dealt to several tasks.
-LEADER_ROWS = 500
+LEADER_ROWS = 200
 LAST = (1 << 63) - 1
 
 _ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 | 1) for k in range(1, SAMPLES + 1)]
