@@ -47,25 +47,22 @@ aggregate(
 """
 
 
-def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_part: int = 1, block_chars: int = 65536) -> DataFrame:
+def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_part: int = 1, block_chars: int = 65536, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with block, round and slot (of the document's first block: 0, 1, 2, ...) and rank (the
     document's place within its block, in characters).
 
+    ``keep`` names the columns of ``docs`` to carry along (else all): texts that are not wanted need not move.
     ``parts`` are the target weights of sources as whole numbers; other sources have ``default_part``.
     """
     if block_chars < 1 or default_part < 1 or any(a < 1 for a in (parts or {}).values()):
         raise ValueError("block sizes and parts are at least 1")
     spark = docs.sparkSession
     names = ("block", "round", "slot", "rank")
-    rows = docs.drop(*(c for c in docs.columns if c.lower() in names))
-    own = rows.columns
+    own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     chars = F.greatest(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)), F.lit(1)).cast("long")
-    rows = rows.withColumns({
-        "_source": F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))),
-        "_md5": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
-        "_chars": chars,
-        "_tie": F.xxhash64(F.col("text").cast("string")),
-    })
+    source = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
+    # all columns as one, whose names meet no inner ones
+    rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), source.alias("_source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_md5"), chars.alias("_chars"), F.xxhash64(F.col("text").cast("string")).alias("_tie"))
     total = docs.count()
     digits = min(7, max(1, math.ceil(math.log(max(total / BUCKET_ROWS, 1), 16))))
     rows = rows.withColumn("_bucket", F.substring("_md5", 1, digits))
@@ -74,7 +71,7 @@ def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_par
     sums = shared.written(rows.groupBy("_source", "_bucket").agg(F.sum("_chars").alias("chars"), F.count(F.lit(1)).alias("copies")), "mixing-buckets")
     of_source = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_source", "_bucket", F.coalesce(F.sum("chars").over(of_source), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_md5", "doc_id", "_tie")
+    within = Window.partitionBy("_source", "_bucket").orderBy("_md5", "_id", "_tie")
     placed = rows.join(offsets, ["_source", "_bucket"])
     placed = placed.withColumn("_at", F.col("_before") + F.sum("_chars").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_chars"))
     placed = placed.withColumn("block", F.expr(f"_at div {block_chars}L"))
@@ -112,7 +109,7 @@ def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_par
     out = out.join(bounded, (F.col("_source") == F.col("_s")) & (F.col("_place") == F.col("_p")))
     out = out.withColumn("_phase", F.expr("filter(phases, p -> p.begin <= round and round < p.end)[0]"))
     out = out.withColumn("slot", F.expr("_phase.base + (round - _phase.begin) * _phase.H + _phase.in_round"))
-    return out.withColumn("rank", F.expr(f"_at - block * {block_chars}L")).select(*own, "block", "round", "slot", "rank")
+    return out.withColumn("rank", F.expr(f"_at - block * {block_chars}L")).select("_row.*", "block", "round", "slot", "rank")
 
 
 def in_order(mixed: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -8,8 +8,10 @@ agree on one of those with about similarity^SAMPLE chance, so at 0.8 a pair miss
 of (1 - 0.8^3)^16 < 0.00002. All of this only proposes pairs: a pair counts if the Jaccard similarity of
 its whole shingle sets, found exactly, is at least the one asked for.
 
-Within a bucket of equal fingerprints each text is paired with the one of the smallest doc_id, not with all:
-as many pairs as texts. Equal texts are one before that. Verified pairs are the links of the groups.
+In a bucket of up to SMALL texts with equal fingerprints all are paired. In a larger one each is paired with two:
+the text of the smallest doc_id, and the most central one, whose buckets have the most members in all; the text
+that others are copies of shares fingerprints with all of them, while two copies share fewer. So pairs are
+a few times as many as texts. Equal texts are one before that. Verified pairs are the links of the groups.
 
 Nulls, empties, repeats: a null text is an empty one, and empty texts are equal texts. Texts with fewer words
 than a shingle have their whole sequence as one. Words are lower-cased in A-Z, as for the fingerprints. A null
@@ -31,6 +33,8 @@ from netpanel.llm import components, shared, simhash
 SAMPLES, SAMPLE = 16, 3
 #: Whole-text fingerprints link up to so many bits.
 BITS = 3
+#: Buckets of up to so many texts have all their pairs compared.
+SMALL = 8
 #: Rows of a leader's members beyond which they are dealt to several tasks.
 LEADER_ROWS = 200
 LAST = (1 << 63) - 1
@@ -57,8 +61,9 @@ def sample_prints(shingles: np.ndarray) -> list[int]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    """_id, _node (the text's hash), text, and _row: all columns as one, whose names meet no inner ones."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_node": F.xxhash64(text)})
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_node"), text.alias("text"), F.struct(*docs.columns).alias("_row"))
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -83,16 +88,27 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
                 arrays = [pa.array(c, pa.int64()) for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), *arrays], names=["kind", "_id", "_node", "print"])
 
-    rows = _rows(docs).select("_id", "_node", F.col("text").cast("string").alias("text"))
+    shared.bound_batches(docs)
+    rows = _rows(docs).select("_id", "_node", "text")
     found = shared.written(rows.mapInArrow(prints, "kind int, _id long, _node long, print long"), "near-prints")
     nodes = shared.written(found.filter("kind = 0").groupBy("_node").agg(F.min("_id").alias("_id"), F.max("print").alias("print")), "near-nodes")
 
-    # buckets of equal fingerprints, of samples and of whole texts; a bucket's leader has the smallest doc_id
+    # buckets of equal fingerprints, of samples and of whole texts, that have several texts
     samples = found.filter("kind = 1").groupBy("_node", F.col("print").alias("key")).agg(F.min("_id").alias("_id"))
     keys = shared.written(samples.unionByName(nodes.select("_node", F.col("print").alias("key"), "_id")), "near-keys")
-    buckets = keys.groupBy("key").agg(F.min(F.struct("_id", "_node")).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = shared.written(buckets.select("key", F.col("leader._node").alias("leader"), "n"), "near-buckets")
-    stars = shared.lookup(keys, buckets, "key", "n", keys.count()).filter("leader is not null and leader != _node").select("leader", F.col("_node").alias("member"))
+    sizes = shared.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("size", F.col("n")), "near-sizes")
+    members = shared.lookup(keys, sizes, "key", "n", keys.count()).filter("size is not null")
+    members = shared.written(members, "near-members")
+    central = members.groupBy("_node").agg(F.sum("size").alias("score"))
+    members = shared.written(members.join(central, "_node"), "near-scored")
+    leaders = members.filter(F.col("size") > SMALL).groupBy("key").agg(F.min(F.struct("_id", "_node")).alias("first"), F.max(F.struct(F.col("score"), (-F.col("_id")).alias("i"), F.col("_node"))).alias("central"), F.count(F.lit(1)).alias("n"))
+    leaders = shared.written(leaders.select("key", F.array("first._node", "central._node").alias("leaders"), "n"), "near-leaders-of")
+    large = shared.lookup(members.filter(F.col("size") > SMALL), leaders, "key", "n", members.count())
+    stars = large.select(F.explode("leaders").alias("leader"), F.col("_node").alias("member")).filter("leader != member")
+    few = members.filter(F.col("size") <= SMALL).select("key", "_id", "_node")
+    others = few.select("key", F.col("_id").alias("_id2"), F.col("_node").alias("member"))
+    every = few.join(others, "key").filter("_id < _id2 or (_id = _id2 and _node < member)").select(F.col("_node").alias("leader"), "member")
+    stars = stars.unionByName(every)
     distinct = nodes.groupBy("print").agg(F.min(F.struct("_id", "_node")).alias("leader"))
     near = simhash.links(distinct.select("print"), BITS)
     of = lambda side: distinct.select(F.col("print").alias(side), F.col("leader._node").alias(f"n{side}"))
@@ -118,7 +134,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, s
     need = need.unionByName(salted.select(F.col("member").alias("_node"), "leader", "salt", F.lit(1).alias("role")))
     # the row of the smallest doc_id gives a node's text; the other rows of equal texts need not match
     need = need.join(nodes.select("_node", "_id"), "_node")
-    texts = need.join(_rows(docs).select("_id", "_node", F.col("text").cast("string").alias("text")), ["_id", "_node"])
+    texts = need.join(_rows(docs).select("_id", "_node", "text"), ["_id", "_node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, np.empty(0, np.uint64)
@@ -146,9 +162,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, s
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each group of equal or near-equal texts the row with the smallest doc_id; all columns of ``docs``."""
-    rows = _rows(docs)
+    rows = _rows(docs).drop("text")
     nodes = rows.groupBy("_node").agg(F.min("_id").alias("_id"))
     roots = shared.written(groups(docs, words, similarity), "near-roots")
     rooted = nodes.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
     keepers = rooted.groupBy("root").agg(F.min(F.struct("_id", "_node")).alias("k")).select("k._id", "k._node")
-    return rows.join(keepers, ["_id", "_node"]).dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    return rows.join(keepers, ["_id", "_node"]).dropDuplicates(["_id", "_node"]).select("_row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netpanel.llm import tokens
+from netpanel.llm import shared, tokens
 
 
 @dataclass(frozen=True)
@@ -181,6 +181,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits
         place(packer.flush())
         yield batch_of()
 
+    shared.bound_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(pack, ", ".join(f"{c} long" for c in NAMES))
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netpanel.llm import shared
+
 BINS, PAIR_BINS, LEAVES = 32, 8, 4
 ROUNDS, RATE, PAIRS, PAIR_ROUNDS = 300, 0.08, 6, 100
 #: Least labelled rows in a leaf, and the weight of a pseudo-row that draws leaves to 0.
@@ -194,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["quality", "x"])
 
+    shared.bound_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(known), "doc_id").select("quality", "text").mapInArrow(rows, "quality int, x array<double>").limit(2 * most).collect()
     found.sort()
@@ -212,6 +215,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         x = np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
         return pd.Series(model.score(x))
 
+    shared.bound_batches(docs)
     rows = docs.drop(*(c for c in docs.columns if c.lower() in ("score", "predicted")))
     rows = rows.withColumn("score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

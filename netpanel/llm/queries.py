@@ -62,7 +62,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block and slot in the interleaving of all sources at their target weights."""
-    return mixing.interleave(shared.table(spark, sf_dir, "documents"), PARTS, block_chars=BLOCK_CHARS).select("doc_id", "source", "block", "round", "slot", "rank")
+    return mixing.interleave(shared.table(spark, sf_dir, "documents"), PARTS, block_chars=BLOCK_CHARS, keep=["doc_id", "source"])
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

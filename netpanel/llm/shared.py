@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that Python gets; beside it a task holds a few copies and what it makes of them.
+BATCH_BYTES = 8 << 20
 #: Keys that own at least this share of all rows are broadcast; there can be at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
 #: No key with fewer rows than this counts as hot.
@@ -32,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Lets no batch of rows on its way to Python hold more than BATCH_BYTES (a setting of the session), however long its texts are."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) != str(BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/netpanel/{name}-{uuid.uuid4().hex}"

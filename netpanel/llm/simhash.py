@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             found = [signed(fingerprint(t, words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "print"])
 
+    shared.bound_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(prints, "doc_id long, print long")
 

@@ -288,6 +288,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     With ``keep_text`` the other columns of ``docs`` come too, but for ones of those names.
     """
     spark = docs.sparkSession
+    shared.bound_batches(docs)
     if not GRAM <= length <= GRAM + 62:
         raise ValueError(f"a window has from {GRAM} to {GRAM + 62} words")
     names = ("n_words", "n_removed", "kept_sha256", "kept")

@@ -126,6 +126,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         if out is not None:
             fs.move(attempt, f"{root}/{name}")
 
+    shared.bound_batches(pages)
     groups, total = originals(pages, least_bytes)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit(""))

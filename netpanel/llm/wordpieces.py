@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netpanel.llm import shared
+
 #: Words whose counts a Python worker keeps; at this number it starts anew.
 KEPT_WORDS = 1_000_000
 KEPT_LENGTH = 64
@@ -124,5 +126,6 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             words, total = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
+    shared.bound_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_words long, n_tokens long")
