@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netpanel.plans import cluster_queries, entity_queries, graph_queries, label_queries, panel_queries, stat_queries
+from netpanel.plans import cluster_queries, entity_queries, graph_queries, label_queries, panel_queries, serving_queries, stat_queries
 
-MODULES = (panel_queries, entity_queries, label_queries, graph_queries, stat_queries, cluster_queries)
+MODULES = (panel_queries, entity_queries, label_queries, graph_queries, stat_queries, cluster_queries, serving_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

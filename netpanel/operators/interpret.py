@@ -139,6 +139,28 @@ def surrogate_tree(df: DataFrame, columns: Sequence[str], label: str = "label",
     return {"rules": text, "accuracy": accuracy, "cv_accuracy": sum(held) / len(held), "leaves": [(int(r.prediction), r.n, r.hit) for r in leaves]}
 
 
+def permutation_importance(df: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 0) -> DataFrame:
+    """label, feature, drop: how much less often the nearest centre gives a label's rows that label when the feature's values are dealt anew.
+
+    All features are dealt at once: a row for each feature has that feature's value from another row.
+    """
+    from netpanel.operators import vectors
+
+    points = df.select("entity", label, F.array(*columns).alias("x"))
+    centres = vectors.centres(points, [label]).withColumnRenamed(label, "label")
+    each = points.select("entity", label, "x", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("k"))
+    of = Window.partitionBy("k")
+    placed = each.withColumn("_n", F.row_number().over(of.orderBy("entity"))).withColumn("_m", F.row_number().over(of.orderBy(stats.mixed(F.col("entity"), F.col("k"), seed), "entity")))
+    given = placed.select(F.col("k").alias("_k"), F.col("_m").alias("_to"), F.element_at("x", F.col("k") + 1).alias("_v"))
+    dealt = placed.join(given, (F.col("k") == F.col("_k")) & (F.col("_n") == F.col("_to")))
+    changed = dealt.select("entity", label, "k", F.transform("x", lambda v, i: F.when(i == F.col("k"), F.col("_v")).otherwise(v)).alias("x"))
+    hit = lambda rows, keys: vectors.nearest_centre(rows, centres, keys).select(*keys, (F.col("nearest") == F.col(label)).cast("int").alias("hit"))
+    plain = hit(points, ("entity", label)).groupBy(label).agg(F.avg("hit").alias("before"))
+    after = hit(changed, ("entity", label, "k")).groupBy(label, "k").agg(F.avg("hit").alias("after"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return after.join(plain, label).select(label, F.element_at(names, F.col("k") + 1).alias("feature"), (F.col("before") - F.col("after")).alias("drop"))
+
+
 def summary_documents(profile: DataFrame, names: DataFrame, typical: DataFrame, label: str = "label") -> DataFrame:
     """A nested row for each type: name, size, features in order of contribution, typical and border entities."""
     features = profile.groupBy(label).agg(F.first("n").alias("n"), F.first("share").alias("share"), F.sort_array(F.collect_list(F.struct((F.col("contrib")).alias("contrib"), "feature", "mean", "rel_dev")), asc=False).alias("features"))

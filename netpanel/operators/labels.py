@@ -25,6 +25,11 @@ def encoded(df: DataFrame, column: str = "label") -> DataFrame:
     return df.join(F.broadcast(numbered), column).drop(column).withColumnRenamed("_code", column)
 
 
+def known_below(df: DataFrame, k: int, column: str = "label") -> DataFrame:
+    """Labels from k on count as undefined: -1."""
+    return df.withColumn(column, F.when(F.col(column) >= k, F.lit(-1)).otherwise(F.col(column)))
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 

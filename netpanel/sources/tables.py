@@ -66,6 +66,29 @@ def connections(spark: SparkSession, path: str, kind: str | None = None) -> Data
     return rows.filter(F.col("type") == kind) if kind else rows
 
 
+def polygons(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """entity, rings (outer ones, open) of GeoJSON features, one for each line; points count once, holes are left out."""
+
+    def rings(batches):
+        import json
+
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for line in batch["value"]:
+                if not line.strip():
+                    continue
+                feature = json.loads(line)
+                shape = feature["geometry"] or {"type": "MultiPolygon", "coordinates": []}
+                parts = [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"]
+                entity = feature[key] if key in feature else feature["properties"][key]
+                out.append((entity, [[{"lon": float(x), "lat": float(y)} for x, y, *_ in (part[0][:-1] if part[0][0] == part[0][-1] else part[0])] for part in parts if part]))
+            yield pd.DataFrame(out, columns=["entity", "rings"])
+
+    return spark.read.text(path).mapInPandas(rings, "entity long, rings array<array<struct<lon:double,lat:double>>>")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """path and SHA-256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

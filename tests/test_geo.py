@@ -29,3 +29,11 @@ def test_geojson(spark):
     assert doc["id"] == 7 and len(doc["geometry"]["coordinates"]) == 2
     p = geo.representative_points(rows).first()
     assert p.lat == 65.0
+
+
+def test_reads_what_it_writes(spark, tmp_path):
+    from netpanel.sources import tables
+
+    rows = spark.createDataFrame([(7, [[{"lon": x, "lat": y} for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 1.0))]])], "entity long, rings array<array<struct<lon:double,lat:double>>>")
+    geo.geojson(rows).select("feature").write.text(str(tmp_path / "g"))
+    assert tables.polygons(spark, str(tmp_path / "g")).collect() == rows.collect()

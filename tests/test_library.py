@@ -115,3 +115,9 @@ def test_profile_splits_the_spread(spark):
     assert found == {(0, "a"): -0.5, (1, "a"): 0.5, (0, "b"): 0.0, (1, "b"): 0.0}
     t = interpret.spread_totals(rows, ["a", "b"]).first()
     assert math.isclose(t["T"], t.B + t.W) and math.isclose(t.B_over_T, 1)
+
+
+def test_importance_finds_the_telling_feature(spark):
+    rows = spark.createDataFrame([(k, k % 2, 10.0 * (k % 2) + k / 100, float(k * 7 % 5)) for k in range(60)], "entity long, label int, a double, b double")
+    found = {(r.label, r.feature): r["drop"] for r in interpret.permutation_importance(rows, ["a", "b"]).collect()}
+    assert all(found[k, "a"] > 0.2 and abs(found[k, "b"]) < 0.05 for k in (0, 1))
