@@ -32,11 +32,12 @@ def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b: long); root is the component's smallest node, and has no row of its own."""
-    now = shared.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
+    now = shared.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")  # as many tasks as found them
     state = None
     while True:
         count, mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not count or state == (count, mark):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = (count, mark)
-        now = shared.written(_star(_star(now, True, 2 * count), False, count), "links")
+        state, before = (count, mark), now
+        now = shared.written(_star(_star(now, True, 2 * count), False, count), "links", rows=count)
+        shared.drop(before)

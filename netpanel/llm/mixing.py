@@ -68,7 +68,7 @@ def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_par
     rows = rows.withColumn("_bucket", F.substring("_md5", 1, digits))
 
     # characters before each bucket of a source
-    sums = shared.written(rows.groupBy("_source", "_bucket").agg(F.sum("_chars").alias("chars"), F.count(F.lit(1)).alias("copies")), "mixing-buckets")
+    sums = shared.written(rows.groupBy("_source", "_bucket").agg(F.sum("_chars").alias("chars"), F.count(F.lit(1)).alias("copies")), "mixing-buckets", rows=total // 50)
     of_source = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_source", "_bucket", F.coalesce(F.sum("chars").over(of_source), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_source", "_bucket").orderBy("_md5", "_id", "_tie")
@@ -81,7 +81,7 @@ def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_par
     part = F.coalesce(given[F.col("_source")], F.lit(default_part)) if parts else F.lit(default_part)
     sources = sums.groupBy("_source").agg(F.sum("chars").alias("chars")).withColumn("part", part.cast("int"))
     sources = sources.withColumn("rounds", F.expr(f"greatest(1L, ((chars - 1L) div {block_chars}L + part) div part)"))
-    sources = shared.written(sources.select("_source", "part", "rounds"), "mixing-sources")
+    sources = shared.written(sources.select("_source", "part", "rounds"), "mixing-sources", rows=MOST_SOURCES)
     n = sources.count()
     if n > MOST_SOURCES:
         raise ValueError(f"{n} sources; a mixture has at most {MOST_SOURCES}")
@@ -101,7 +101,7 @@ def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_par
     schedule = slots.withColumn("place", F.row_number().over(nth) - 1)
     # a source's schedules by (source, place): at most one for each phase
     schedule = schedule.groupBy("_source", "place", "part").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "base", "H", "in_round"))).alias("phases"))
-    schedule = shared.written(schedule, "mixing-schedule")
+    schedule = shared.written(schedule, "mixing-schedule", rows=n)
 
     out = placed.join(F.broadcast(sources.select("_source", F.col("part").alias("_part"))), "_source")
     out = out.withColumns({"round": F.expr("least(block div _part, block)"), "_place": F.expr("block % _part")})

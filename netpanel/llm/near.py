@@ -91,18 +91,18 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     shared.bound_batches(docs)
     rows = _rows(docs).select("_id", "_node", "text")
     found = shared.written(rows.mapInArrow(prints, "kind int, _id long, _node long, print long"), "near-prints")
-    nodes = shared.written(found.filter("kind = 0").groupBy("_node").agg(F.min("_id").alias("_id"), F.max("print").alias("print")), "near-nodes")
+    total = found.filter("kind = 0").count()
+    nodes = shared.written(found.filter("kind = 0").groupBy("_node").agg(F.min("_id").alias("_id"), F.max("print").alias("print")), "near-nodes", rows=total)
 
     # buckets of equal fingerprints, of samples and of whole texts, that have several texts
     samples = found.filter("kind = 1").groupBy("_node", F.col("print").alias("key")).agg(F.min("_id").alias("_id"))
-    keys = shared.written(samples.unionByName(nodes.select("_node", F.col("print").alias("key"), "_id")), "near-keys")
-    sizes = shared.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("size", F.col("n")), "near-sizes")
-    members = shared.lookup(keys, sizes, "key", "n", keys.count()).filter("size is not null")
-    members = shared.written(members, "near-members")
-    central = members.groupBy("_node").agg(F.sum("size").alias("score"))
-    members = shared.written(members.join(central, "_node"), "near-scored")
+    keys = shared.written(samples.unionByName(nodes.select("_node", F.col("print").alias("key"), "_id")), "near-keys", rows=17 * total)
+    sizes = shared.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("size", F.col("n")), "near-sizes", rows=4 * total)
+    hit = shared.written(shared.lookup(keys, sizes, "key", "n", keys.count()).filter("size is not null"), "near-members", rows=8 * total)
+    central = hit.groupBy("_node").agg(F.sum("size").alias("score"))
+    members = shared.written(hit.join(central, "_node"), "near-scored", rows=8 * total)
     leaders = members.filter(F.col("size") > SMALL).groupBy("key").agg(F.min(F.struct("_id", "_node")).alias("first"), F.max(F.struct(F.col("score"), (-F.col("_id")).alias("i"), F.col("_node"))).alias("central"), F.count(F.lit(1)).alias("n"))
-    leaders = shared.written(leaders.select("key", F.array("first._node", "central._node").alias("leaders"), "n"), "near-leaders-of")
+    leaders = shared.written(leaders.select("key", F.array("first._node", "central._node").alias("leaders"), "n"), "near-leaders-of", rows=total)
     large = shared.lookup(members.filter(F.col("size") > SMALL), leaders, "key", "n", members.count())
     stars = large.select(F.explode("leaders").alias("leader"), F.col("_node").alias("member")).filter("leader != member")
     few = members.filter(F.col("size") <= SMALL).select("key", "_id", "_node")
@@ -113,19 +113,23 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     near = simhash.links(distinct.select("print"), BITS)
     of = lambda side: distinct.select(F.col("print").alias(side), F.col("leader._node").alias(f"n{side}"))
     linked = near.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("leader"), F.col("nb").alias("member"))
-    pairs = shared.written(stars.unionByName(linked).distinct(), "near-pairs")
-    return components.components(_verified(docs, nodes, pairs, words, similarity).select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    pairs = shared.written(stars.unionByName(linked).distinct(), "near-pairs", rows=4 * total)
+    shared.drop(found, keys, sizes, hit, members, leaders)
+    verified, many = _verified(docs, nodes, pairs, words, similarity)
+    out = components.components(verified.select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    shared.drop(nodes, pairs, many)
+    return out
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The pairs (leader, member) whose shingle sets are at least so similar.
 
     A leader's text and its members' meet in sorted order, the leader's first; a leader with many members is
-    copied to as many tasks as they need.
+    copied to as many tasks as they need. Also returns a table to drop when the pairs have been read.
     """
     counts = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     many = counts.filter(F.col("n") > LEADER_ROWS).select("leader", "n", F.ceil(F.col("n") / LEADER_ROWS).cast("int").alias("salts"))
-    many = shared.written(many, "near-leaders")
+    many = shared.written(many, "near-leaders", rows=nodes.count() // LEADER_ROWS)
     salted = shared.lookup(pairs, many, "leader", "n", pairs.count())
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int"))
     leads = counts.join(many.select("leader", "salts"), "leader", "left")
@@ -157,14 +161,14 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, s
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["leader", "member"])
 
     met = texts.select("_node", "leader", "salt", "role", "text").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
-    return met.mapInArrow(compare, "leader long, member long")
+    return met.mapInArrow(compare, "leader long, member long"), many
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each group of equal or near-equal texts the row with the smallest doc_id; all columns of ``docs``."""
     rows = _rows(docs).drop("text")
     nodes = rows.groupBy("_node").agg(F.min("_id").alias("_id"))
-    roots = shared.written(groups(docs, words, similarity), "near-roots")
+    roots = shared.written(groups(docs, words, similarity), "near-roots", rows=docs.count())
     rooted = nodes.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
     keepers = rooted.groupBy("root").agg(F.min(F.struct("_id", "_node")).alias("k")).select("k._id", "k._node")
     return rows.join(keepers, ["_id", "_node"]).dropDuplicates(["_id", "_node"]).select("_row.*")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch of rows that Python gets; beside it a task holds a few copies and what it makes of them.
 BATCH_BYTES = 8 << 20
+#: Short rows of a file of a small table.
+FILE_ROWS = 100_000
 #: Keys that own at least this share of all rows are broadcast; there can be at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
 #: No key with fewer rows than this counts as hot.
@@ -56,13 +58,33 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: cuts lineage and survives lost executors. ``large``: releases shuffles."""
+def written(df: DataFrame, name: str, large: bool = False, rows: int | None = None) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: cuts lineage and survives lost executors. ``large``: releases shuffles.
+
+    ``rows``: about how many short rows of a light last step there are; the table then has a file for every FILE_ROWS of
+    them, not one for each task, however many partitions shuffles have.
+    """
     path = scratch(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     if large:
         release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more: what was made of them lies in tables too."""
+    for df in tables:
+        delete(df.sparkSession, df._scratch)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -246,12 +246,13 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 def grouped(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links reach) of every row."""
     rows = shared.written(fingerprints(docs, words), "simhash-prints")
-    nodes = shared.written(rows.groupBy("print").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
+    total = rows.count()
+    nodes = shared.written(rows.groupBy("print").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies")), "simhash-nodes", rows=total)
     roots = components.components(links(nodes, bits))
-    nodes = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    nodes = shared.written(nodes, "simhash-rooted")
+    rooted = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    plain, nodes = nodes, shared.written(rooted, "simhash-rooted", rows=total)
+    shared.drop(plain)
     sizes = nodes.groupBy("root").agg(F.min("lowest").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    total = nodes.count()
-    of_print = shared.lookup(nodes, sizes, "root", "members", total).select("print", "copies", "component_id")
-    out = shared.lookup(rows, of_print, "print", "copies", rows.count())
+    of_print = shared.lookup(nodes, sizes, "root", "members", nodes.count()).select("print", "copies", "component_id")
+    out = shared.lookup(rows, of_print, "print", "copies", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

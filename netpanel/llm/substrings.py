@@ -42,7 +42,7 @@ LENGTH, GRAM = 20, 6
 #: Different stretches of an anchor beyond which it is divided.
 HOT = 2000
 #: Words of a shard, about.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 #: The place of a null doc_id in the order of documents.
 LAST = (1 << 63) - 1
 
@@ -297,10 +297,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     rows = rows.withColumn("_h", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)))
 
     # a copy of a whole text is all repeats, if it has a window: of equal texts only the first goes through the index
+    total = rows.count()
     whole = rows.select("_id", "_h", F.xxhash64("text").alias("_a"), F.hash("text").alias("_b"), F.octet_length("text").alias("_c"))
     firsts = whole.groupBy("_a", "_b", "_c").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = shared.written(firsts.select(F.concat_ws(":", "_a", "_b", "_c").alias("_text"), "_first", "n"), "copies")
-    copies = shared.lookup(whole.select("_id", "_h", F.concat_ws(":", "_a", "_b", "_c").alias("_text")), firsts, "_text", "n", rows.count())
+    firsts = shared.written(firsts.select(F.concat_ws(":", "_a", "_b", "_c").alias("_text"), "_first", "n"), "copies", rows=total)
+    copies = shared.lookup(whole.select("_id", "_h", F.concat_ws(":", "_a", "_b", "_c").alias("_text")), firsts, "_text", "n", total)
     copies = copies.filter("_first < _id").select("_id", "_h", F.lit(None).cast("long").alias("packed"), F.lit(None).cast("long").alias("anchor")).distinct()
 
     anchors = rows.select("_id", "_h", "text").mapInArrow(_anchors_of(length), "key long, anchor long, id long, packed long")
@@ -358,7 +359,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     table = spark.read.schema(done.schema).option("basePath", path)
     of_kind = lambda k: table.parquet(path).filter(F.col("kind") == k)
 
-    kept = shared.written(_kept_windows(of_kind(2), length), "kept-windows")
+    windows, tables = _kept_windows(of_kind(2), length)
+    kept = shared.written(windows, "kept-windows", large=True)
+    shared.drop(firsts, *tables)
+    shared.delete(spark, f"{path}/kind=2")
     per_doc = kept.groupBy("_id", "_h").agg(F.flatten(F.collect_list("starts")).alias("_kept"))
     candidates = of_kind(1).select("doc_id", "_others", "_id", "_h", "kept", "_at").join(per_doc, ["_id", "_h"], "left")
 
@@ -389,12 +393,12 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     return both.select("doc_id", *[F.col("_others")[c].alias(c) for c in others], "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"))
 
 
-def _kept_windows(found: DataFrame, length: int) -> DataFrame:
-    """Of the first of equal stretches: _id, _h, starts of the windows that no earlier place has; stretches without any have no row."""
+def _kept_windows(found: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Of the first of equal stretches: _id, _h, starts of the windows that no earlier place has; stretches without any have no row. And the tables to drop after reading."""
     place = F.struct("_id", "_h", "first")
     unique = shared.written(found.groupBy("anchor", F.col("kept").alias("words")).agg(F.min(place).alias("at"), F.max("windows").alias("windows")), "stretches", large=True)
     counts = unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("w"))
-    hot = shared.written(counts.filter(F.col("n") > HOT).select("anchor", "n"), "hot-anchors")
+    hot = shared.written(counts.filter(F.col("n") > HOT).select("anchor", "n"), "hot-anchors", rows=unique.count() // HOT)
     totals = unique.agg(F.count(F.lit(1)), F.sum(F.col("windows") + length)).first()
     shards = max(1, math.ceil((totals[1] or 0) / SHARD_WORDS))
     marked = shared.lookup(unique, hot.select("anchor", "n", F.lit(True).alias("is_hot")), "anchor", "n", totals[0])
@@ -421,4 +425,4 @@ def _kept_windows(found: DataFrame, length: int) -> DataFrame:
     windows = marked.filter("is_hot").select("words", "at.*").mapInArrow(divide, "words binary, _id long, _h long, first long, offset long")
     start = F.struct("_id", "_h", (F.col("first") + F.col("offset")).alias("start"))
     divided = windows.groupBy("words").agg(F.min(start).alias("at")).select("at.*").select("_id", "_h", F.array("start").alias("starts"))
-    return indexed.unionByName(divided)
+    return indexed.unionByName(divided), [unique, hot]

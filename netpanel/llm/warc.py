@@ -92,8 +92,9 @@ def originals(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, int]:
     """Of each payload that several pages have: digest, keeper (the largest page_id), copies; and the number of pages."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     found = pages.select(F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"), F.col("page_id").cast("long").alias("page_id"))
-    groups = shared.written(found.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "payloads")
-    return groups.select("digest", "keeper", "copies"), pages.count()
+    total = pages.count()
+    groups = shared.written(found.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "payloads", rows=total)
+    return groups.select("digest", "keeper", "copies"), total
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
