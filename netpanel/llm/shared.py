@@ -7,6 +7,7 @@ used only where that setting is unset, as in tests on one machine.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import time
 import uuid
@@ -54,8 +55,11 @@ def release(spark: SparkSession) -> None:
     Called when the rows of a job with large shuffles lie in a table, so that the disk holds those of one step at
     a time. The job's last events must have passed before nothing refers to its plan any more.
     """
-    time.sleep(0.4)
-    spark.sparkContext._jvm.System.gc()
+    gc.collect()  # what Python refers to of it
+    for wait in (0.5, 1.0):
+        time.sleep(wait)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the files go in the background
 
 
 def written(df: DataFrame, name: str, large: bool = False, rows: int | None = None) -> DataFrame:
@@ -67,7 +71,7 @@ def written(df: DataFrame, name: str, large: bool = False, rows: int | None = No
     path = scratch(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if large:
         release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

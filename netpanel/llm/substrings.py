@@ -310,6 +310,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     per_doc = found.groupBy("_id", "_h").agg(F.collect_set(F.struct("packed", "anchor")).alias("_x"))
     is_copy = F.exists("_x", lambda x: x["packed"].isNull())
     per_doc = per_doc.select("_id", "_h", is_copy.alias("_copy"), F.when(~is_copy, F.transform("_x", lambda x: x["packed"])).alias("_at"), F.when(~is_copy, F.transform("_x", lambda x: x["anchor"])).alias("_anchors"))
+    per_doc = shared.written(per_doc, "repeating", large=True)  # before the texts move
     joined = rows.join(per_doc, ["_id", "_h"], "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +355,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     kinds = "kind int, doc_id long, _others {}, _id long, _h long, n_words long, n_removed long, kept_sha256 string, kept binary, _at array<long>, anchor long, first long, windows long".format(rows.schema["_others"].dataType.simpleString())
     path = shared.scratch(spark, "substrings")
     done = joined.mapInArrow(split, kinds)
-    done.write.partitionBy("kind").parquet(path)
+    done.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     shared.release(spark)
+    shared.drop(per_doc)
     table = spark.read.schema(done.schema).option("basePath", path)
     of_kind = lambda k: table.parquet(path).filter(F.col("kind") == k)
 
