@@ -86,9 +86,9 @@ def test_lifecycle(spark):
 
 
 def test_births_and_deaths(spark):
-    a, b = [0] * 10 + [1] * 2, [0] * 6 + [7] * 3 + [8] * 3
-    found = {(x.kind, tuple(x.from_ids) + tuple(x.to_ids)) for x in lab.lifecycle(table(spark, *zip(a, b, strict=True)), 0.5).collect()}
-    assert found == {("continue", (0, 0)), ("death", (1,)), ("birth", (7,)), ("birth", (8,))}
+    a, b = [0] * 10 + [1] * 2, [0] * 8 + [7] * 2 + [8, 9]
+    found = {(x.kind, tuple(x.from_ids) + tuple(x.to_ids)) for x in lab.lifecycle(table(spark, *zip(a, b, strict=True)), 0.6).collect()}
+    assert found == {("continue", (0, 0)), ("death", (1,)), ("birth", (7,)), ("birth", (8,)), ("birth", (9,))}
 
 
 def test_mobility_of_known_matrices(spark):

@@ -15,14 +15,15 @@ from netpanel import catalog, config, session
 from netpanel.operators import interpret
 from netpanel.sources import sinks, tables
 
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
-def duck(sf_dir):
+def duck():
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
 
@@ -31,8 +32,8 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
-def test_query_equals_its_sql(spark, duck, sf_dir, name):
-    df = catalog.queries()[name](spark, sf_dir)
+def test_query_equals_its_sql(spark, duck, name):
+    df = catalog.queries()[name](spark, SF)
     got = duck.sql(catalog.oracle_sql()[name])
     columns = sorted(df.columns)
     assert columns == sorted(got.columns)
