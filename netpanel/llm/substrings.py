@@ -43,6 +43,8 @@ LENGTH, GRAM = 20, 6
 HOT = 2000
 #: Words of a shard, about.
 SHARD_WORDS = 250_000
+#: With fewer documents the shuffles of finished steps are left to Spark's own cleaning.
+RELEASE_ROWS = 20_000
 #: The place of a null doc_id in the order of documents.
 LAST = (1 << 63) - 1
 
@@ -310,7 +312,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     per_doc = found.groupBy("_id", "_h").agg(F.collect_set(F.struct("packed", "anchor")).alias("_x"))
     is_copy = F.exists("_x", lambda x: x["packed"].isNull())
     per_doc = per_doc.select("_id", "_h", is_copy.alias("_copy"), F.when(~is_copy, F.transform("_x", lambda x: x["packed"])).alias("_at"), F.when(~is_copy, F.transform("_x", lambda x: x["anchor"])).alias("_anchors"))
-    per_doc = shared.written(per_doc, "repeating", large=True)  # before the texts move
+    per_doc = shared.written(per_doc, "repeating", large=total >= RELEASE_ROWS)  # before the texts move
     joined = rows.join(per_doc, ["_id", "_h"], "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,13 +358,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     path = shared.scratch(spark, "substrings")
     done = joined.mapInArrow(split, kinds)
     done.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    shared.release(spark)
+    if total >= RELEASE_ROWS:
+        shared.release(spark)
     shared.drop(per_doc)
     table = spark.read.schema(done.schema).option("basePath", path)
     of_kind = lambda k: table.parquet(path).filter(F.col("kind") == k)
 
-    windows, tables = _kept_windows(of_kind(2), length)
-    kept = shared.written(windows, "kept-windows", large=True)
+    windows, tables = _kept_windows(of_kind(2), length, total >= RELEASE_ROWS)
+    kept = shared.written(windows, "kept-windows", large=total >= RELEASE_ROWS)
     shared.drop(firsts, *tables)
     shared.delete(spark, f"{path}/kind=2")
     per_doc = kept.groupBy("_id", "_h").agg(F.flatten(F.collect_list("starts")).alias("_kept"))
@@ -395,10 +398,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     return both.select("doc_id", *[F.col("_others")[c].alias(c) for c in others], "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"))
 
 
-def _kept_windows(found: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+def _kept_windows(found: DataFrame, length: int, release: bool) -> tuple[DataFrame, list[DataFrame]]:
     """Of the first of equal stretches: _id, _h, starts of the windows that no earlier place has; stretches without any have no row. And the tables to drop after reading."""
     place = F.struct("_id", "_h", "first")
-    unique = shared.written(found.groupBy("anchor", F.col("kept").alias("words")).agg(F.min(place).alias("at"), F.max("windows").alias("windows")), "stretches", large=True)
+    unique = shared.written(found.groupBy("anchor", F.col("kept").alias("words")).agg(F.min(place).alias("at"), F.max("windows").alias("windows")), "stretches", large=release)
     counts = unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("w"))
     hot = shared.written(counts.filter(F.col("n") > HOT).select("anchor", "n"), "hot-anchors", rows=unique.count() // HOT)
     totals = unique.agg(F.count(F.lit(1)), F.sum(F.col("windows") + length)).first()
