@@ -8,10 +8,12 @@ agree on one of those with about similarity^SAMPLE chance, so at 0.8 a pair miss
 of (1 - 0.8^3)^16 < 0.00002. All of this only proposes pairs: a pair counts if the Jaccard similarity of
 its whole shingle sets, found exactly, is at least the one asked for.
 
-In a bucket of up to SMALL texts with equal fingerprints all are paired. In a larger one each is paired with two:
+In a bucket of up to SMALL texts with equal fingerprints all are paired. In a larger one each is first paired with two:
 the text of the smallest doc_id, and the most central one, whose buckets have the most members in all; the text
-that others are copies of shares fingerprints with all of them, while two copies share fewer. So pairs are
-a few times as many as texts. Equal texts are one before that. Verified pairs are the links of the groups.
+that others are copies of shares fingerprints with all of them, while two copies share fewer. Then all pairs of the
+bucket that these links leave in different groups are compared too, in blocks: texts outside the bucket's largest group
+meet one another and that group. Texts whose numbers of shingles differ too much for the similarity asked for do not meet.
+Equal texts are one before that. Verified pairs are the links of the groups.
 
 Nulls, empties, repeats: a null text is an empty one, and empty texts are equal texts. Texts with fewer words
 than a shingle have their whole sequence as one. Words are lower-cased in A-Z, as for the fingerprints. A null
@@ -21,6 +23,7 @@ texts, one in 2^64 would be taken as equal). An empty table gives no row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ BITS = 3
 SMALL = 8
 #: Rows of a leader's members beyond which they are dealt to several tasks.
 LEADER_ROWS = 200
+#: Texts, and their shingles, of a block that large buckets are compared in, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
 LAST = (1 << 63) - 1
 
 _ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 | 1) for k in range(1, SAMPLES + 1)]
@@ -72,27 +77,28 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            whole: list[tuple[int, int, int]] = []
-            samples: list[tuple[int, int, int]] = []
+            whole: list[tuple[int, int, int, int]] = []
+            samples: list[tuple[int, int, int, int]] = []
             for i, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if node in seen:  # a batch finds the fingerprints of equal texts once
-                    whole.append((i, node, None))
+                    whole.append((i, node, None, None))
                     continue
                 seen.add(node)
                 hashes = simhash.shingle_hashes(text, words)
-                whole.append((i, node, simhash.signed(simhash.majority(hashes))))
+                own = np.unique(hashes)
+                whole.append((i, node, simhash.signed(simhash.majority(hashes)), len(own)))
                 if len(hashes):
-                    samples += [(i, node, simhash.signed(p)) for p in sample_prints(np.unique(hashes))]
+                    samples += [(i, node, simhash.signed(p), None) for p in sample_prints(own)]
             for kind, found in ((0, whole), (1, samples)):
-                columns = zip(*found, strict=True) if found else ((), (), ())
+                columns = zip(*found, strict=True) if found else ((), (), (), ())
                 arrays = [pa.array(c, pa.int64()) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), *arrays], names=["kind", "_id", "_node", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), *arrays], names=["kind", "_id", "_node", "print", "shingles"])
 
     shared.bound_batches(docs)
     rows = _rows(docs).select("_id", "_node", "text")
-    found = shared.written(rows.mapInArrow(prints, "kind int, _id long, _node long, print long"), "near-prints")
+    found = shared.written(rows.mapInArrow(prints, "kind int, _id long, _node long, print long, shingles long"), "near-prints")
     total = found.filter("kind = 0").count()
-    nodes = shared.written(found.filter("kind = 0").groupBy("_node").agg(F.min("_id").alias("_id"), F.max("print").alias("print")), "near-nodes", rows=total)
+    nodes = shared.written(found.filter("kind = 0").groupBy("_node").agg(F.min("_id").alias("_id"), F.max("print").alias("print"), F.max("shingles").alias("shingles")), "near-nodes", rows=total)
 
     # buckets of equal fingerprints, of samples and of whole texts, that have several texts
     samples = found.filter("kind = 1").groupBy("_node", F.col("print").alias("key")).agg(F.min("_id").alias("_id"))
@@ -114,13 +120,119 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     of = lambda side: distinct.select(F.col("print").alias(side), F.col("leader._node").alias(f"n{side}"))
     linked = near.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("leader"), F.col("nb").alias("member"))
     pairs = shared.written(stars.unionByName(linked).distinct(), "near-pairs", rows=4 * total)
-    shared.drop(found, keys, sizes, hit, members, leaders)
+    shared.drop(found, keys, sizes, hit, leaders)
     verified, many = _verified(docs, nodes, pairs, words, similarity)
-    out = components.components(verified.select(F.col("leader").alias("a"), F.col("member").alias("b")))
-    shared.drop(nodes, pairs, many)
+    verified = shared.written(verified.select(F.col("leader").alias("a"), F.col("member").alias("b")), "near-verified")
+    shared.drop(pairs, many)
+    first = shared.written(components.components(verified), "near-first", rows=total)
+    rest, scratch = _rest(docs, nodes, members.filter(F.col("size") > SMALL).select("key", "_node"), first, words, similarity)
+    out = components.components(verified.unionByName(rest))
+    shared.drop(nodes, members, verified, first, *scratch)
     return out
 
 
+def _rest(docs: DataFrame, nodes: DataFrame, members: DataFrame, first: DataFrame, words: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that connect what all similar pairs within buckets (key, _node) connect and ``first`` (node, root) does not.
+
+    Of each bucket the texts outside its largest group (strays) are dealt to blocks, and each block meets the bucket's
+    other blocks whose texts are about as long. Also returns tables to drop when the links have been read.
+    """
+    base = max(1 / similarity, 1.25) * 1.001  # similar texts are at most a class apart, however logarithms are rounded
+    groups = members.join(first.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    groups = groups.join(nodes.select("_node", "shingles"), "_node")
+    groups = groups.withColumn("band", F.floor(F.log(F.greatest("shingles", F.lit(1))) / math.log(base)).cast("int"))
+    groups = shared.written(groups, "near-large", rows=4 * nodes.count())
+    largest = groups.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    largest = shared.written(largest.filter("n > most.n").select("key", F.col("most.root").alias("most"), "n"), "near-largest", rows=nodes.count())
+    if not largest.count():
+        return first.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0), [groups, largest]
+    open_ = shared.lookup(groups, largest, "key", "n", groups.count()).filter("most is not null").withColumn("stray", F.col("root") != F.col("most"))
+    open_ = shared.written(open_.select("key", "_node", "root", "band", "stray", "shingles"), "near-open", rows=groups.count())
+    place = ["key", "band", "stray"]
+    dealt = open_.groupBy(*place).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    dealt = dealt.withColumn("at", F.xxhash64(*place))
+    dealt = shared.written(dealt, "near-dealt", rows=open_.count())
+    block = dealt.select(*place, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    own, other = (block.select("key", F.struct("band", "block").alias(f"{s}_place"), F.col("stray").alias(f"{s}_stray")) for s in ("own", "other"))
+    meet = own.filter("own_stray").join(other, "key").filter("abs(own_place.band - other_place.band) <= 1 and (not other_stray or other_place >= own_place)")
+    meet = meet.withColumn("itself", F.col("other_stray") & (F.col("own_place") == F.col("other_place")))
+    # a mixed number may meet another one's: that costs comparisons, never a link
+    meet = shared.written(meet.withColumn("task", F.xxhash64("key", "own_place", "other_place", "other_stray")), "near-meet", rows=dealt.count())
+    side = lambda s, role: meet.select(F.xxhash64("key", f"{s}_place.band", f"{s}_stray", f"{s}_place.block").alias("at"), F.struct("task", F.lit(role).alias("role"), "itself").alias("to"))
+    tasks = side("own", 0).unionByName(side("other", 1).filter("not to.itself")).groupBy("at").agg(F.collect_list("to").alias("to"))
+    placed = shared.lookup(open_.withColumn("at", F.xxhash64(*place)), dealt.select("at", "blocks", "n"), "at", "n", open_.count())
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("_node", "key"), "blocks").cast("int")).withColumn("at", F.xxhash64(*place, "block"))
+    need = placed.join(tasks, "at").select("_node", "root", F.explode("to").alias("to")).select("_node", "root", "to.*")
+    need = need.join(nodes.select("_node", "_id"), "_node")
+    texts = need.join(_rows(docs).select("_id", "_node", "text"), ["_id", "_node"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, _Block()
+
+        def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            columns = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+        for batch in batches:
+            out = []
+            for node, root, task, role, itself, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if task != now:
+                    out += block.inner(similarity)
+                    now, block = task, _Block()
+                shingles = np.unique(simhash.shingle_hashes(text, words))
+                if role == 0:
+                    block.add(node, root, shingles, itself)
+                else:
+                    out += block.links(node, root, shingles, similarity)
+            yield made(out)
+        yield made(block.inner(similarity))
+
+    met = texts.select("_node", "root", "task", "role", "itself", "text").repartition("task").sortWithinPartitions("task", "role")
+    return met.mapInArrow(compare, "a long, b long"), [groups, largest, open_, dealt, meet]
+
+
+class _Block:
+    """Texts whose shingle sets are compared with others at once."""
+
+    def __init__(self) -> None:
+        self.nodes, self.roots, self.sets, self.itself, self.words = [], [], [], False, None
+
+    def add(self, node: int, root: int, shingles: np.ndarray, itself: bool) -> None:
+        self.nodes.append(node)
+        self.roots.append(root)
+        self.sets.append(shingles)
+        self.itself = itself
+
+    def _index(self) -> None:
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.words, self.at = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]), return_inverse=True)
+        self.ends = np.cumsum(self.sizes)
+        self.roots = np.array(self.roots, np.int64)
+
+    def links(self, node: int, root: int, shingles: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+        """A link to one text of each other group that has a similar one; those groups are the root's from then on."""
+        if self.words is None:
+            self._index()
+        mark = np.zeros(len(self.words), np.int32)
+        mark[np.searchsorted(self.words, shingles[np.isin(shingles, self.words, assume_unique=True)])] = 1
+        sums = np.concatenate([[0], np.cumsum(mark[self.at])])
+        both = sums[self.ends] - sums[self.ends - self.sizes]
+        hit = np.flatnonzero((both >= similarity * (self.sizes + len(shingles) - both)) & (self.roots != root))
+        if not len(hit):
+            return []
+        others, first = np.unique(self.roots[hit], return_index=True)
+        self.roots[np.isin(self.roots, others)] = root
+        return [(node, self.nodes[i]) for i in hit[first]]
+
+    def inner(self, similarity: float) -> list[tuple[int, int]]:
+        """The links within a block that meets itself."""
+        if not self.itself:
+            return []
+        if self.words is None:
+            self._index()
+        return [p for i, s in enumerate(self.sets) for p in self.links(self.nodes[i], int(self.roots[i]), s, similarity)]
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The pairs (leader, member) whose shingle sets are at least so similar.
 

@@ -124,6 +124,31 @@ def test_near_duplicates_keep_the_first_of_each_group(spark):
     assert near.deduplicated(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("small, block", [(1, 1000), (2, 3)])
+def test_near_copies_meet_in_large_buckets(spark, monkeypatch, small, block):
+    """A family that shares boilerplate, with near copies in it that are like no leader: as brute force links them."""
+    monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    common = word(804)
+    texts = []
+    for k in range(24):
+        own = word(125)
+        texts.append(common + own)
+        if k % 2:
+            texts.append(common + own[:30] + word(95))
+    texts = [" ".join(t) for t in texts]
+    rows = list(enumerate(texts))
+    sets = [set(shingles(t, 5)) for t in texts]
+    like = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(like) == 12
+    group = roots(range(len(texts)), like)
+    want = sorted({min(j for j in group if group[j] == group[i]) for i in group})
+    got = near.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def removed(rows, length):
     """By brute force: (words, removed, kept) of (id, text) in order."""
     seen, out = set(), {}
