@@ -202,19 +202,20 @@ def cramers_v(df: DataFrame, category: str, label: str) -> DataFrame:
     return stats.select(F.col("n").cast("long").alias("n"), F.when(fine, F.col("chi2")).alias("chi2"), F.when(fine, F.sqrt(F.col("plain") / F.col("n") / small)).alias("V"), F.when(fine, _survival(F.col("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).cast("double"))).alias("p"))
 
 
-def stability(points: DataFrame, run, k: int, n: int = 10, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """Pairs of subsamples: agreement of their partitions on common entities.
+def stability(points: DataFrame, run, k: int, n: int = 10, share: float = 0.8, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of subsamples: agreement of their partitions on common entities, by group (columns ``by``: long).
 
-    ``run(x, k, rng) -> labels`` clusters a subsample; a task has one replicate.
+    ``run(x, k, rng) -> labels`` clusters a subsample; a task has one replicate of a group.
     """
-    chosen = replicates(points.select("entity", "x"), n).filter(mixed(F.col("entity"), F.col("rep"), seed) < F.lit(int(share * 2147483648)))
+    by = list(by)
+    chosen = replicates(points.select(*by, "entity", "x"), n).filter(mixed(F.col("entity"), F.col("rep"), seed) < F.lit(int(share * 2147483648)))
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("entity")
         rep = int(rows["rep"].iloc[0])
         found = run(np.array(rows["x"].tolist(), float), k, np.random.default_rng([seed, rep]))
-        return pd.DataFrame({"rep": rep, "entity": rows["entity"].to_numpy(), "label": np.asarray(found, "int32")})
+        return pd.DataFrame({**{c: rows[c].to_numpy() for c in by}, "rep": rep, "entity": rows["entity"].to_numpy(), "label": np.asarray(found, "int32")})
 
-    done = chosen.groupBy("rep").applyInPandas(cluster, "rep long, entity long, label int")
-    a, b = done.select(F.col("rep").alias("a"), "entity", F.col("label").alias("la")), done.select(F.col("rep").alias("b"), "entity", F.col("label").alias("lb"))
-    return indices.adjusted_rand(a.join(b, "entity").filter("a < b"), "la", "lb", ["a", "b"])
+    done = chosen.groupBy(*by, "rep").applyInPandas(cluster, "".join(f"{c} long, " for c in by) + "rep long, entity long, label int")
+    a, b = done.select(*by, F.col("rep").alias("a"), "entity", F.col("label").alias("la")), done.select(*by, F.col("rep").alias("b"), "entity", F.col("label").alias("lb"))
+    return indices.adjusted_rand(a.join(b, [*by, "entity"]).filter("a < b"), "la", "lb", [*by, "a", "b"])

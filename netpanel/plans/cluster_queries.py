@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netpanel.config import Config
 from netpanel.operators import clustering, graphs, indices, panel, stats, vectors
 from netpanel.operators import kernels as dense
 from netpanel.plans.label_queries import types
 from netpanel.plans.panel_queries import CLR, TOTAL, rounded, wide, zscores
 from netpanel.sources import tables
 
-FIRST, LAST = 7985, 7990  # six quarters
+CONFIG = Config()
 
 
-def _points(spark, sf_dir, first=FIRST, last=LAST):
-    rows = zscores(spark, sf_dir).filter(F.col("period").between(first, last))
+def _points(spark, sf_dir):
+    rows = zscores(spark, sf_dir)
     return vectors.complete(rows.select("period", "entity", F.array(*CLR).alias("x"))).persist()
 
 
@@ -23,22 +24,22 @@ def _edges(points):
 
 
 def cluster_grid(spark, sf_dir):
-    points = _points(spark, sf_dir, FIRST, FIRST + 1)
-    found = clustering.grid(points, _edges(points), ["kmeans", "ward", "spectral", "leiden", "kefrin", "kefrin_balanced"], [3, 4])
+    points = _points(spark, sf_dir)
+    found = clustering.grid(points, _edges(points), ["kmeans", "ward", "spectral", "leiden", "kefrin", "kefrin_balanced"], CONFIG.methods.k_grid)
     return found.groupBy("period", "method", "k").agg(F.countDistinct("label").alias("clusters"), F.count(F.lit(1)).alias("n"))
 
 
 def grid_metrics(spark, sf_dir):
-    points = _points(spark, sf_dir, FIRST, FIRST)
+    points = _points(spark, sf_dir)
     edges = _edges(points)
-    found = clustering.grid(points, edges, ["kmeans", "kefrin"], [4]).persist()
-    labels = found.select("method", "entity", "label")
-    every = edges.select("i", "j", "w").crossJoin(F.broadcast(labels.select("method").distinct()))  # a row for each method
-    return rounded(indices.graph_indices(every, labels, ["method"]))
+    found = clustering.grid(points, edges, ["kmeans", "kefrin"], CONFIG.methods.k_grid).withColumnRenamed("k", "asked").persist()
+    key = ["period", "method", "asked"]  # the indices have a k of their own
+    every = edges.select("period", "i", "j", "w").join(F.broadcast(found.select(key).distinct()), "period")  # a row for each method and k
+    return rounded(indices.graph_indices(every, found.select(*key, "entity", "label"), key))
 
 
 def comovement_layer(spark, sf_dir):
-    growth = panel.growth_window(panel.log_growth(wide(spark, sf_dir), TOTAL), 12, 3).filter("t = 7990")
+    growth = panel.growth_window(panel.log_growth(wide(spark, sf_dir), TOTAL), 12, 3)
     return rounded(clustering.comovement_layer(growth, 8, (0, 1)))
 
 
@@ -48,31 +49,30 @@ def comovement_shrinkage(spark, sf_dir):
 
 
 def fused_layer(spark, sf_dir):
-    points = _points(spark, sf_dir, 7990, 7990)
-    one = _edges(points).select(F.lit("behaviour").alias("layer"), "period", "i", "j", "w")
+    one = _edges(_points(spark, sf_dir)).select(F.lit("behaviour").alias("layer"), "period", "i", "j", "w")
     two = comovement_layer(spark, sf_dir).select(F.lit("comovement").alias("layer"), F.col("t").alias("period"), "i", "j", "w")
-    return rounded(clustering.fused_layer(one.unionByName(two), 6, 5))
+    return rounded(clustering.fused_layer(one.unionByName(two), 6, CONFIG.graphs.fusion_rounds))
 
 
 def temporal_clusters(spark, sf_dir):
-    points = _points(spark, sf_dir, FIRST, FIRST + 2)
+    points = _points(spark, sf_dir)
     return clustering.temporal(_edges(points), points.select("period", "entity"), 4).groupBy("period", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def subsample_stability(spark, sf_dir):
-    points = _points(spark, sf_dir, FIRST, FIRST)
-    return rounded(stats.stability(points, lambda x, k, rng: dense.kmeans(x, k, rng, 3), 4, 5))
+    n_init = CONFIG.methods.n_init
+    return rounded(stats.stability(_points(spark, sf_dir), lambda x, k, rng: dense.kmeans(x, k, rng, n_init), 4, by=["period"]))
 
 
 def bootstrap_confidence(spark, sf_dir):
-    points = _points(spark, sf_dir, FIRST, FIRST + 1)
+    points = _points(spark, sf_dir)
     labels = clustering.grid(points, _edges(points), ["kmeans"], [4]).select("period", "entity", "label").persist()
-    found = clustering.bootstrap_membership(points, labels, "kmeans", 8)
+    found = clustering.bootstrap_membership(points, labels, "kmeans", CONFIG.dynamics.bootstrap)
     return rounded(clustering.confidence_summary(found))
 
 
 def layer_ablation(spark, sf_dir):
-    points = _points(spark, sf_dir, FIRST, FIRST + 1)
+    points = _points(spark, sf_dir)
     edges = _edges(points)
     thin = graphs.behaviour_layer(points, 3, 3, mutual=False, by=["period"])
     parts = [clustering.grid(points, e, ["leiden", "spectral"], [4]).select(F.lit(name).alias("layer"), "method", "period", "entity", "label") for name, e in (("wide", edges), ("thin", thin))]

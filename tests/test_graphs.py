@@ -193,3 +193,14 @@ def test_kruskal_degenerate(spark):
 def test_silhouette_of_two_far_clusters(spark):
     points = spark.createDataFrame([(k, [float(100 * (k % 2)) + k / 100], k % 2) for k in range(20)], "entity long, x array<double>, label int")
     assert all(r.silhouette > 0.99 for r in indices.silhouettes(points).collect())
+
+
+def test_queries_see_every_period(spark, sf_dir):
+    from netpanel.plans import cluster_queries
+    from netpanel.sources import tables
+
+    periods = {r.period for r in tables.sales_panel(spark, sf_dir).select("period").distinct().collect()}
+    windows = {r.t for r in cluster_queries.comovement_layer(spark, sf_dir).select("t").distinct().collect()}
+    assert len(windows) > 1 and max(windows) == max(periods)
+    assert {r.period for r in cluster_queries._points(spark, sf_dir).select("period").distinct().collect()} == periods
+    assert {r.period for r in cluster_queries.subsample_stability(spark, sf_dir).select("period").distinct().collect()} == periods
