@@ -204,3 +204,14 @@ def test_queries_see_every_period(spark, sf_dir):
     assert len(windows) > 1 and max(windows) == max(periods)
     assert {r.period for r in cluster_queries._points(spark, sf_dir).select("period").distinct().collect()} == periods
     assert {r.period for r in cluster_queries.subsample_stability(spark, sf_dir).select("period").distinct().collect()} == periods
+
+
+def test_study_has_the_whole_panel_and_is_registered(spark, sf_dir):
+    from netpanel.config import Config
+    from netpanel.plans import serving_queries
+    from netpanel.sources import tables
+
+    features, config = serving_queries._study(spark, sf_dir)
+    periods = {r.period for r in tables.sales_panel(spark, sf_dir).select("period").distinct().collect()}
+    assert {r.period for r in features.points.select("period").distinct().collect()} == periods
+    assert config == Config() and "panel_study" in serving_queries.QUERIES
