@@ -1,16 +1,17 @@
 """Shared folders, tables and skew-safe joins that the operators of this subpackage use.
 
 Everything an operator hands from one task to another, or from one job to the next, lies in the
-folder that ``spark.checkpoint.dir`` names, which all executors share. Machine-local folders are
-used only where that setting is unset, as in tests on one machine.
+folder that ``spark.checkpoint.dir`` names, which all executors share. Without it and without a checkpoint folder of the
+context there is none, unless Spark runs on one machine (a local master): then a new folder there serves.
 """
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +27,18 @@ HOT_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, else the context's checkpoint folder, else (tests) a new one."""
+    """The shared folder: spark.checkpoint.dir, else the context's checkpoint folder, else, only with a local master, a new one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(base)
         return base
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="netpanel-"))
-    return spark.sparkContext.getCheckpointDir()
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="netpanel-"))
+    return context.getCheckpointDir()
 
 
 def bound_batches(df: DataFrame) -> None:
@@ -49,31 +53,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/netpanel/{name}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Spark deletes a finished job's shuffle files once the driver has collected its plan: asks for that now.
-
-    Called when the rows of a job with large shuffles lie in a table, so that the disk holds those of one step at
-    a time. The job's last events must have passed before nothing refers to its plan any more.
-    """
-    gc.collect()  # what Python refers to of it
-    for wait in (0.5, 1.0):
-        time.sleep(wait)
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # the files go in the background
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark delete the shuffle files of a write when it ends: its rows lie in a table, so the disk holds the shuffles of one step at a time."""
+    conf, name = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        yield
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
 
 
-def written(df: DataFrame, name: str, large: bool = False, rows: int | None = None) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: cuts lineage and survives lost executors. ``large``: releases shuffles.
+def written(df: DataFrame, name: str, rows: int | None = None, parts: str | None = None) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: cuts lineage and survives lost executors; the write's shuffles go.
 
     ``rows``: about how many short rows of a light last step there are; the table then has a file for every FILE_ROWS of
-    them, not one for each task, however many partitions shuffles have.
+    them, not one for each task, however many partitions shuffles have. ``parts``: a column with a folder for each of its few values.
     """
     path = scratch(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    df.write.option("compression", "zstd").parquet(path)
-    if large:
-        release(df.sparkSession)
+    with _cleaning(df.sparkSession):
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(parts) if parts else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -3,20 +3,25 @@
 A window is ``length`` consecutive words. A window whose word sequence also starts earlier (in a
 smaller doc_id, or in the same document) is repeated; the words that repeated windows cover are removed.
 
-To let every shard meet only what can match there, each window has an anchor: the smallest hash of its
-runs of GRAM words. Equal windows have equal anchors, neighbouring windows mostly share one, so an anchor stands
-for a stretch of text of up to ``length - GRAM + 1`` windows. An anchor that only one stretch has cannot be
-repeated; all other stretches go on. Equal stretches become one (the first), the others are repeats throughout.
-What is left is dealt to shards by anchor. A shard concatenates its stretches in document order, sorts the
-suffixes, and builds the FM-index: the Burrows-Wheeler transform in a wavelet matrix of packed bits with
-block counts. All windows of the shard stream through it by backward search, word by word from their ends, for as long
-as at least two places match: their matching statistics up to the threshold. Windows that match in full at an
-earlier place are reported. Words are compared exactly; hashes only bring candidates together.
-
-Skew: a task sends one stretch of an anchor that it met itself several times, so an anchor's rows in the first
-shuffle are as many as there are batches, however many documents share it. Equal stretches are aggregated
-before their shuffle. An anchor with more than HOT different stretches is divided into its windows,
-which are aggregated by their words.
+Hashes only choose which texts meet. Each window has an anchor, the smallest hash of its runs of GRAM words: equal windows
+have equal anchors, neighbouring windows mostly share one, so an anchor stands for a stretch of text of up to
+``length - GRAM + 1`` windows. A stretch whose anchor no other has cannot be repeated; all others go on.
+
+A shard is a bounded set of such texts in document order. Its FM-index holds the Burrows-Wheeler transform in
+a wavelet matrix of packed bits with block counts; of the suffix array only the first place of each repeated window is kept. All
+windows of the shard stream through it by backward search, from their ends, for as long as at least two places
+match: their matching statistics up to the threshold. A window that matches in full at an earlier place is repeated;
+the others go on to the next shards:
+
+1. the candidates of a batch of documents, as they lie: copies within it end here, before the shuffle;
+2. the stretches of an anchor, wherever they came from. One with more than HOT of them is dealt to several shards, and what they
+   leave goes on;
+3. the windows that are left of such anchors, by the hash of a window, again in several shards if one has more than HOT of them: each
+   leaves one, so this ends after a round or two, however often a passage occurs.
+
+Every repeated window is found by an index, and words are compared exactly. A symbol of the index is a run of words (five for a
+window of 20), of which a text of n words has n; they lie in as many sequences as the run has words, so a window
+that starts anywhere is a sequence of symbols, and takes four steps in place of twenty.
 
 Nulls, empties, repeats: a null text has no words. Texts shorter than a window lose nothing. A null doc_id
 counts as larger than all others. Rows that repeat doc_id and text are one document, each with its result;
@@ -28,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,12 +45,12 @@ from netpanel.llm import shared
 
 #: Words of a window, and of the runs whose hashes choose anchors.
 LENGTH, GRAM = 20, 6
-#: Different stretches of an anchor beyond which it is divided.
+#: Rows of one key that meet in one shard, about; a key with more is dealt to several.
 HOT = 2000
 #: Words of a shard, about.
 SHARD_WORDS = 250_000
-#: With fewer documents the shuffles of finished steps are left to Spark's own cleaning.
-RELEASE_ROWS = 20_000
+#: Words of a symbol of the index, at most.
+SYMBOL = 5
 #: The place of a null doc_id in the order of documents.
 LAST = (1 << 63) - 1
 
@@ -69,38 +75,45 @@ class PackedBits:
         return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & mask)
 
 
+def _ranked(values: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the runs of ``length`` values at each place (fewer at the end), in their order; equal runs have equal numbers."""
+    rank, reach = np.unique(values, return_inverse=True)[1].astype(np.int64), 1
+    while reach < length:
+        step = min(reach, length - reach)  # runs may overlap: the first part is equal where the second decides
+        rank, reach = np.unique(_pairs(rank, step), return_inverse=True)[1].astype(np.int64), reach + step
+    return rank
+
+
+def _pairs(rank: np.ndarray, step: int) -> np.ndarray:
+    after = np.zeros(len(rank), np.int64)
+    after[: max(len(rank) - step, 0)] = rank[step:] + 1
+    return rank * (int(after.max(initial=0)) + 1) + after
+
+
 class FMIndex:
-    """Index of a sequence of symbols 0 .. symbols - 1 for patterns of up to 2^rounds of them; 0 separates texts."""
+    """Index of a sequence of symbols 0 .. symbols - 1 for patterns of up to ``longest`` of them; 0 separates texts.
+
+    ``order`` lists the sequence's places in the order that tells which of two is earlier. Suffixes are sorted by ``longest`` symbols, then by
+    that order, which is enough for the intervals of patterns up to that length; the first place of an interval is its earliest.
+    """
 
-    def __init__(self, text: np.ndarray, symbols: int, longest: int):
+    def __init__(self, text: np.ndarray, symbols: int, longest: int, order: np.ndarray):
         self.n, self.symbols = len(text), symbols
-        self.places = self._sorted(text, longest)
-        column = text[self.places - 1]  # of the first suffix: the last symbol
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
+        rank = _ranked(text, longest)[order]
+        by = np.argsort(rank, kind="stable")
+        places, rank = order[by], rank[by]
+        column = text[places - 1]  # of the first suffix: the last symbol
+        start = np.concatenate([[True], rank[1:] != rank[:-1]])
+        several = start & ~np.append(start[1:], True)
+        self.marks, self.firsts = PackedBits(several), by[several].astype(np.uint32)
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))]).astype(np.uint32)
         self.levels: list[PackedBits] = []
         self.depth = max(1, (symbols - 1).bit_length())
         for k in range(self.depth - 1, -1, -1):
             bits = (column >> k & 1).astype(bool)
             self.levels.append(PackedBits(bits))
             column = np.concatenate([column[~bits], column[bits]])
-        every = np.arange(symbols)
-        self.first = self._path(every, np.zeros(symbols, np.int64))
-
-    def _sorted(self, text: np.ndarray, longest: int) -> np.ndarray:
-        """Places of the suffixes, in the order of their first ``longest`` symbols at least; by doubling."""
-        rank, reach, n = text.astype(np.int64), 1, self.n
-        while True:
-            after = np.zeros(n, np.int64)
-            if reach < n:
-                after[: n - reach] = rank[reach:] + 1
-            key = rank * (int(after.max()) + 1) + after
-            order = np.argsort(key, kind="stable")
-            if 2 * reach >= longest:
-                return order
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-            reach *= 2
+        self.first = self._path(np.arange(symbols), np.zeros(symbols, np.int64)).astype(np.uint32)
 
     def _path(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the first places of the transform end up in the wavelet matrix's order, going down by the symbol's bits."""
@@ -123,24 +136,20 @@ class FMIndex:
         live = np.arange(len(ends))
         for step in range(length):
             symbol = text[ends[live] - step]
-            base = self.below[symbol]
-            a, b = base + self.rank(symbol, lo[live]), base + self.rank(symbol, hi[live])
+            a = self.below[symbol].astype(np.int64)
+            if step:
+                a, b = a + self.rank(symbol, lo[live]), a + self.rank(symbol, hi[live])
+            else:  # all places that begin with the symbol
+                b = self.below[symbol + 1].astype(np.int64)
             more = b - a >= 2
             live = live[more]
             lo[live], hi[live] = a[more], b[more]
             matched[live] += 1
         return matched, lo, hi
 
-    def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The smallest place of each interval; equal or disjoint intervals."""
-        if not len(lo):
-            return lo
-        begin, which = np.unique(lo, return_inverse=True)
-        end = np.zeros(len(begin), np.int64)
-        end[which] = hi
-        bounds = np.stack([begin, end], 1).ravel()
-        least = np.minimum.reduceat(np.append(self.places, self.n), bounds)[::2]
-        return least[which]
+    def earliest(self, lo: np.ndarray) -> np.ndarray:
+        """The earliest place (its number in ``order``) of the intervals, of several places each, of patterns of the full length."""
+        return self.firsts[self.marks.rank(lo)].astype(np.int64)
 
 
 def repeated(stretches: list[list[bytes]], length: int = LENGTH) -> list[np.ndarray]:
@@ -148,23 +157,47 @@ def repeated(stretches: list[list[bytes]], length: int = LENGTH) -> list[np.ndar
     if not stretches:
         return []
     sizes = np.array([len(s) for s in stretches])
-    number: dict[bytes, int] = {}
-    flat = [number.setdefault(w, len(number) + 1) for s in stretches for w in s]
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.zeros(begins[-1], np.int64)  # a 0 after each stretch
-    inside = np.ones(len(text), bool)
-    inside[begins[1:] - 1] = False
-    text[inside] = flat
-    index = FMIndex(text, len(number) + 1, length)
     windows = np.maximum(sizes - length + 1, 0)
-    starts = np.repeat(begins[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
-    matched, lo, hi = index.matches(text, starts + length - 1, length)
-    full = np.flatnonzero(matched == length)
+    if not windows.any():
+        return [np.zeros(0, bool) for _ in stretches]
+    number: dict[bytes, int] = {}
+    words = np.fromiter((number.setdefault(w, len(number)) for s in stretches for w in s), np.int64, int(sizes.sum()))
+    run = max(d for d in range(1, SYMBOL + 1) if length % d == 0)
+    # runs of words in a stretch: those that start at r, r + run, ... are one sequence, with a separator after it
+    runs = np.maximum(sizes - run + 1, 0)
+    of = np.repeat(np.arange(len(sizes)), runs)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+    symbol = _ranked(words, run)[at + np.repeat(np.cumsum(sizes) - sizes, runs)] + 1
+    phase, whole, rest = at % run, runs[of] // run, runs[of] % run
+    begins = np.cumsum(runs + run) - (runs + run)
+    place = begins[of] + phase * (whole + 1) + np.minimum(phase, rest) + at // run
+    text = np.zeros(int((runs + run).sum()), np.int64)
+    text[place] = symbol
+    order = np.concatenate([place, np.flatnonzero(text == 0)])
+    steps = length // run
+    index = FMIndex(text, int(symbol.max()) + 1, steps, order)
+    starts = np.flatnonzero(at < windows[of])  # numbers in ``order``
+    matched, lo, _ = index.matches(text, place[starts] + steps - 1, steps)
+    full = np.flatnonzero(matched == steps)
     again = np.zeros(len(starts), bool)
-    again[full] = index.earliest(lo[full], hi[full]) < starts[full]
+    again[full] = index.earliest(lo[full]) < starts[full]
     return np.split(again, np.cumsum(windows)[:-1])
 
 
+def in_shards(stretches: list[list[bytes]], length: int) -> list[np.ndarray]:
+    """``repeated`` of stretches in shards of about SHARD_WORDS words, one after the other."""
+    out: list[np.ndarray] = []
+    shard: list[list[bytes]] = []
+    held = 0
+    for s in stretches:
+        shard.append(s)
+        held += len(s)
+        if held >= SHARD_WORDS:
+            out += repeated(shard, length)
+            shard, held = [], 0
+    return out + repeated(shard, length)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A hash of each word that does not depend on its place."""
     from netpanel.llm.fingerprints import _inverse, _weights
@@ -298,77 +331,54 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("_others") if others else F.lit(None).cast("int").alias("_others"))
     rows = rows.withColumn("_h", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)))
 
-    # a copy of a whole text is all repeats, if it has a window: of equal texts only the first goes through the index
-    total = rows.count()
-    whole = rows.select("_id", "_h", F.xxhash64("text").alias("_a"), F.hash("text").alias("_b"), F.octet_length("text").alias("_c"))
-    firsts = whole.groupBy("_a", "_b", "_c").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = shared.written(firsts.select(F.concat_ws(":", "_a", "_b", "_c").alias("_text"), "_first", "n"), "copies", rows=total)
-    copies = shared.lookup(whole.select("_id", "_h", F.concat_ws(":", "_a", "_b", "_c").alias("_text")), firsts, "_text", "n", total)
-    copies = copies.filter("_first < _id").select("_id", "_h", F.lit(None).cast("long").alias("packed"), F.lit(None).cast("long").alias("anchor")).distinct()
-
     anchors = rows.select("_id", "_h", "text").mapInArrow(_anchors_of(length), "key long, anchor long, id long, packed long")
     found = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeating, "anchor long, id long, packed long")
-    found = found.select(F.col("id").alias("_id"), F.expr("shiftright(packed, 39) & 16777215L").alias("_h"), "packed", "anchor").unionByName(copies)
+    found = found.select(F.col("id").alias("_id"), F.expr("shiftright(packed, 39) & 16777215L").alias("_h"), "packed", "anchor")
     per_doc = found.groupBy("_id", "_h").agg(F.collect_set(F.struct("packed", "anchor")).alias("_x"))
-    is_copy = F.exists("_x", lambda x: x["packed"].isNull())
-    per_doc = per_doc.select("_id", "_h", is_copy.alias("_copy"), F.when(~is_copy, F.transform("_x", lambda x: x["packed"])).alias("_at"), F.when(~is_copy, F.transform("_x", lambda x: x["anchor"])).alias("_anchors"))
-    per_doc = shared.written(per_doc, "repeating", large=total >= RELEASE_ROWS)  # before the texts move
+    per_doc = per_doc.select("_id", "_h", F.transform("_x", lambda x: x["packed"]).alias("_at"), F.transform("_x", lambda x: x["anchor"]).alias("_anchors"))
+    per_doc = shared.written(per_doc, "repeating")  # before the texts move
     joined = rows.join(per_doc, ["_id", "_h"], "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: results of documents without candidates; 1: other documents' text; 2: their stretches."""
+        """Kind 0: results of documents without candidates; 1: other documents' text; 2: what the batch's index leaves of their stretches."""
         for batch in batches:
             size = batch.num_rows
-            kind, total, gone, sha, text_of = [0] * size, [None] * size, [None] * size, [None] * size, [None] * size
-            texts, copy, ats, anchors = (batch.column(c).to_pylist() for c in ("text", "_copy", "_at", "_anchors"))
+            kind, total, sha, text_of = [0] * size, [None] * size, [None] * size, [None] * size
+            texts, ats, anchors = (batch.column(c).to_pylist() for c in ("text", "_at", "_anchors"))
             ids, hs = batch.column("_id").to_numpy(), batch.column("_h").to_numpy()
-            pieces: list[bytes] = []
-            owner, first, count, anchor = [], [], [], []
-            for k, text in enumerate(texts):
-                words = _words(text)
-                if copy[k] or not ats[k]:
-                    removed = np.full(len(words), bool(copy[k]) and len(words) >= length)
-                    total[k], gone[k], left = _result(words, removed)
+            docs_of: list[tuple[int, list[bytes], np.ndarray, np.ndarray]] = []
+            for k in np.lexsort((hs, ids)).tolist():
+                words = _words(texts[k])
+                if not ats[k]:
+                    total[k], _, left = _result(words, None)
                     sha[k] = hashlib.sha256(left).hexdigest()
                     if keep_text:
-                        text_of[k] = left if gone[k] else raw(text)
+                        text_of[k] = raw(texts[k])
                     continue
-                kind[k], text_of[k] = 1, raw(text)
-                joined = b" ".join(words)
-                ends = np.cumsum([len(w) + 1 for w in words]) - 1
-                a, b = _unpack(np.array(ats[k], np.int64))
-                begin = np.where(a > 0, ends[a - 1] + 1, 0)
-                pieces += [joined[x:y] for x, y in zip(begin.tolist(), ends[a + b + length - 2].tolist(), strict=True)]
-                owner.append(np.full(len(a), k))
-                first.append(a)
-                count.append(b)
-                anchor += anchors[k]
+                kind[k], text_of[k] = 1, raw(texts[k])
+                first, count = _unpack(np.array(ats[k], np.int64))
+                of = np.full(len(words) - length + 1, -1)  # the stretch of each window
+                of[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())] = np.repeat(np.arange(len(first)), count)
+                docs_of.append((k, words, of, np.array(anchors[k], np.int64)))
             none = pa.nulls(size, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), batch.column("doc_id"), batch.column("_others"), batch.column("_id"), batch.column("_h"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text_of, pa.binary()), pa.array([x if k else None for x, k in zip(ats, kind, strict=True)], pa.list_(pa.int64())), none, none, none], names=names_of)
-            if not pieces:
-                continue
-            owner, first, count = (np.concatenate(x) for x in (owner, first, count))
-            for s in (slice(x, x + 20_000) for x in range(0, len(pieces), 20_000)):
-                n = len(pieces[s])
+            gone = pa.array([0 if n is not None else None for n in total], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), batch.column("doc_id"), batch.column("_others"), batch.column("_id"), batch.column("_h"), pa.array(total, pa.int64()), gone, pa.array(sha, pa.string()), pa.array(text_of, pa.binary()), pa.array([x if k else None for x, k in zip(ats, kind, strict=True)], pa.list_(pa.int64())), none, none, none], names=names_of)
+            rows_of = _left_of(docs_of, length)
+            for s in (slice(x, x + 20_000) for x in range(0, len(rows_of[0]), 20_000)):
+                owner, first, count, anchor, words_of = (x[s] for x in rows_of)
+                n = len(owner)
                 none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), none, pa.nulls(n, batch.column("_others").type), pa.array(ids[owner[s]]), pa.array(hs[owner[s]]), none, none, pa.nulls(n, pa.string()), pa.array(pieces[s], pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(anchor[s], pa.int64()), pa.array(first[s]), pa.array(count[s])], names=names_of)
-
-    names_of = ["kind", "doc_id", "_others", "_id", "_h", "n_words", "n_removed", "kept_sha256", "kept", "_at", "anchor", "first", "windows"]
-    kinds = "kind int, doc_id long, _others {}, _id long, _h long, n_words long, n_removed long, kept_sha256 string, kept binary, _at array<long>, anchor long, first long, windows long".format(rows.schema["_others"].dataType.simpleString())
-    path = shared.scratch(spark, "substrings")
-    done = joined.mapInArrow(split, kinds)
-    done.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    if total >= RELEASE_ROWS:
-        shared.release(spark)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), none, pa.nulls(n, batch.column("_others").type), pa.array(ids[owner]), pa.array(hs[owner]), none, none, pa.nulls(n, pa.string()), pa.array(words_of, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(anchor), pa.array(first), pa.array(count)], names=names_of)
+
+    names_of = ["kind", "doc_id", "_others", "_id", "_h", "n_words", "n_removed", "kept_sha256", "kept", "_at", "key", "first", "windows"]
+    kinds = "kind int, doc_id long, _others {}, _id long, _h long, n_words long, n_removed long, kept_sha256 string, kept binary, _at array<long>, key long, first long, windows long".format(rows.schema["_others"].dataType.simpleString())
+    done = shared.written(joined.mapInArrow(split, kinds), "substrings", parts="kind")
     shared.drop(per_doc)
-    table = spark.read.schema(done.schema).option("basePath", path)
-    of_kind = lambda k: table.parquet(path).filter(F.col("kind") == k)
-
-    windows, tables = _kept_windows(of_kind(2), length, total >= RELEASE_ROWS)
-    kept = shared.written(windows, "kept-windows", large=total >= RELEASE_ROWS)
-    shared.drop(firsts, *tables)
-    shared.delete(spark, f"{path}/kind=2")
-    per_doc = kept.groupBy("_id", "_h").agg(F.flatten(F.collect_list("starts")).alias("_kept"))
+    of_kind = lambda k: done.filter(F.col("kind") == k)
+
+    kept = _kept_windows(of_kind(2).select("_id", "_h", "first", "windows", F.col("kept").alias("words"), "key"), length)
+    shared.delete(spark, f"{done._scratch}/kind=2")
+    per_doc = reduce(DataFrame.unionByName, kept).groupBy("_id", "_h").agg(F.flatten(F.collect_list("starts")).alias("_kept"))
     candidates = of_kind(1).select("doc_id", "_others", "_id", "_h", "kept", "_at").join(per_doc, ["_id", "_h"], "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,36 +408,67 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     return both.select("doc_id", *[F.col("_others")[c].alias(c) for c in others], "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("kept"))
 
 
-def _kept_windows(found: DataFrame, length: int, release: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """Of the first of equal stretches: _id, _h, starts of the windows that no earlier place has; stretches without any have no row. And the tables to drop after reading."""
-    place = F.struct("_id", "_h", "first")
-    unique = shared.written(found.groupBy("anchor", F.col("kept").alias("words")).agg(F.min(place).alias("at"), F.max("windows").alias("windows")), "stretches", large=release)
-    counts = unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("windows").alias("w"))
-    hot = shared.written(counts.filter(F.col("n") > HOT).select("anchor", "n"), "hot-anchors", rows=unique.count() // HOT)
-    totals = unique.agg(F.count(F.lit(1)), F.sum(F.col("windows") + length)).first()
-    shards = max(1, math.ceil((totals[1] or 0) / SHARD_WORDS))
-    marked = shared.lookup(unique, hot.select("anchor", "n", F.lit(True).alias("is_hot")), "anchor", "n", totals[0])
+def _left_of(docs_of: list[tuple[int, list[bytes], np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of documents (number, words, stretch of each window or -1, anchors of the stretches), in their order: the parts of stretches whose
+    windows have no earlier place among these documents, as document, first window, number of windows, anchor and words."""
+    runs, ends = [], []
+    for _, words, of, _ in docs_of:
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], of >= 0, [False]])))
+        ends.append(len(runs) + len(edge) // 2)
+        runs += [words[a : b + length - 1] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    again, begin = in_shards(runs, length), 0
+    owners, firsts, counts, keys, pieces = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+    for (k, words, of, anchors), end in zip(docs_of, ends, strict=True):
+        live = of >= 0
+        live[live] = ~np.concatenate(again[begin:end])
+        begin = end
+        first = np.flatnonzero(live & np.concatenate([[True], ~live[:-1] | (of[1:] != of[:-1])]))
+        if not len(first):
+            continue
+        count = np.add.reduceat(live, first, dtype=np.int64) if len(first) else first  # what follows a part is not live, or the next part
+        joined = b" ".join(words)
+        at = np.cumsum([len(w) + 1 for w in words]) - 1
+        pieces += [joined[a:b] for a, b in zip(np.where(first > 0, at[first - 1] + 1, 0).tolist(), at[first + count + length - 2].tolist(), strict=True)]
+        owners.append(np.full(len(first), k))
+        firsts.append(first)
+        counts.append(count)
+        keys.append(anchors[of[first]])
+    return (*(np.concatenate(x) for x in (owners, firsts, counts, keys)), pieces)
+
+
+def _kept_windows(found: DataFrame, length: int) -> list[DataFrame]:
+    """Tables of _id, _h, starts: the windows that no earlier place has. ``found`` has parts of stretches: _id, _h, first, windows, words, key."""
+    out: list[DataFrame] = []
+    scratch: list[DataFrame] = []
+    while True:
+        sums = found.agg(F.count(F.lit(1)), F.sum(F.col("windows") + length)).first()
+        if not sums[0]:
+            shared.drop(*scratch)
+            return out or [found.select("_id", "_h", F.array("first").alias("starts"))]
+        done = shared.written(_round(found, length, *sums), "kept-windows")
+        shared.drop(*scratch)
+        out.append(done.filter("words is null").select("_id", "_h", "starts"))
+        open_ = done.filter("words is not null").select("_id", "_h", F.explode(F.arrays_zip("starts", "words")).alias("x"))
+        found = open_.select("_id", "_h", F.col("x.starts").alias("first"), F.lit(1).cast("long").alias("windows"), F.col("x.words").alias("words"), F.xxhash64("x.words").alias("key"))
+
+
+def _round(found: DataFrame, length: int, total: int, words: int) -> DataFrame:
+    """_id, _h, starts of the windows that a shard leaves of each part; with ``words`` where the part's key is dealt to several shards."""
+    many = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).withColumn("salts", F.ceil(F.col("n") / HOT).cast("int"))
+    many = shared.written(many, "hot-keys", rows=total // HOT)
+    marked = shared.lookup(found, many, "key", "n", total)
+    shards = max(1, math.ceil(words / SHARD_WORDS))
+    salt = F.pmod(F.xxhash64("_id", "_h", "first"), F.coalesce("salts", F.lit(1)))
+    dealt = marked.select(F.pmod(F.xxhash64("key", salt), F.lit(shards)).alias("shard"), "_id", "_h", "first", "words", F.col("salts").isNotNull().alias("open"))
 
     def through_index(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_id", "_h", "first"])
-        again = repeated([w.split() for w in group["words"]], length)
-        stays = [np.flatnonzero(~a) + first for a, first in zip(again, group["first"].to_numpy(), strict=True)]
-        return group.assign(starts=stays)[["_id", "_h", "starts"]][[len(s) > 0 for s in stays]]
-
-    schema = "_id long, _h long, starts array<long>"
-    cold = marked.filter(F.col("is_hot").isNull()).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "words", "at.*")
-    indexed = cold.groupBy("shard").applyInPandas(through_index, schema)
-
-    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, i, h, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split()
-                out += [(b" ".join(words[k : k + length]), i, h, first, k) for k in range(len(words) - length + 1)]
-            columns = zip(*out, strict=True) if out else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), *[pa.int64()] * 4), strict=True)], names=["words", "_id", "_h", "first", "offset"])
-
-    windows = marked.filter("is_hot").select("words", "at.*").mapInArrow(divide, "words binary, _id long, _h long, first long, offset long")
-    start = F.struct("_id", "_h", (F.col("first") + F.col("offset")).alias("start"))
-    divided = windows.groupBy("words").agg(F.min(start).alias("at")).select("at.*").select("_id", "_h", F.array("start").alias("starts"))
-    return indexed.unionByName(divided), [unique, hot]
+        texts = [w.split() for w in group["words"]]
+        left = [np.flatnonzero(~a) for a in repeated(texts, length)]
+        group = group.assign(
+            starts=[x + first for x, first in zip(left, group["first"].to_numpy(), strict=True)],
+            words=[[b" ".join(t[k : k + length]) for k in x] if o else None for t, x, o in zip(texts, left, group["open"], strict=True)],
+        )
+        return group[["_id", "_h", "starts", "words"]][[len(x) > 0 for x in left]]
+
+    return dealt.groupBy("shard").applyInPandas(through_index, "_id long, _h long, starts array<long>, words array<binary>")
