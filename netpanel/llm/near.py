@@ -8,7 +8,8 @@ agree on one of those with about similarity^SAMPLE chance, so at 0.8 a pair miss
 of (1 - 0.8^3)^16 < 0.00002. All of this only proposes pairs: a pair counts if the Jaccard similarity of
 its whole shingle sets, found exactly, is at least the one asked for.
 
-In a bucket of up to SMALL texts with equal fingerprints all are paired. In a larger one each is first paired with two:
+Texts meet in buckets: those with a sample's fingerprint in common, and those whose whole fingerprints the anchors' links connect (a link
+stands for all texts of its fingerprints, and for all that the chain of links reaches). In a bucket of up to SMALL texts all are paired. In a larger one each is first paired with two:
 the text of the smallest doc_id, and the most central one, whose buckets have the most members in all; the text
 that others are copies of shares fingerprints with all of them, while two copies share fewer. Then all pairs of the
 bucket that these links leave in different groups are compared too, in blocks: texts outside the bucket's largest group
@@ -17,8 +18,8 @@ Equal texts are one before that. Verified pairs are the links of the groups.
 
 Nulls, empties, repeats: a null text is an empty one, and empty texts are equal texts. Texts with fewer words
 than a shingle have their whole sequence as one. Words are lower-cased in A-Z, as for the fingerprints. A null
-doc_id counts as larger than all others. Texts are told apart by a 64-bit hash (of pairs of different
-texts, one in 2^64 would be taken as equal). An empty table gives no row.
+doc_id counts as larger than all others. Texts are told apart by 128 bits: where different texts share the 64-bit hash that
+stands for a text (some do among 10^10 texts), all but one of them get another. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netpanel.llm import components, shared, simhash
@@ -68,11 +69,26 @@ def sample_prints(shingles: np.ndarray) -> list[int]:
 def _rows(docs: DataFrame) -> DataFrame:
     """_id, _node (the text's hash), text, and _row: all columns as one, whose names meet no inner ones."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_node"), text.alias("text"), F.struct(*docs.columns).alias("_row"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), _hash(text).alias("_node"), text.alias("text"), F.struct(*docs.columns).alias("_row"))
 
 
-def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, root): the texts (by hash) that are linked to others, and the smallest node of their group."""
+def _hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``_rows``, with a node of its own for every text: of those that share a hash, the smallest md5 keeps it."""
+    rows = _rows(docs)
+    md5 = F.md5("text")
+    shared_by = rows.groupBy("_node").agg(F.min(md5).alias("least"), F.max(md5).alias("most")).filter("least != most").select("_node", "least").collect()
+    if not shared_by:  # of n texts about n^2 / 2^65 hashes are shared: a handful at any size
+        return rows
+    keeps = F.create_map(*[F.lit(v) for r in shared_by for v in (r["_node"], r["least"])])
+    return rows.withColumn("_node", F.when(md5 != keeps[F.col("_node")], F.xxhash64(F.lit("again"), md5)).otherwise(F.col("_node")))
+
+
+def groups(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root): the texts (_id, _node, text) that are linked to others, and the smallest node of their group."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,15 +110,19 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
                 arrays = [pa.array(c, pa.int64()) for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), *arrays], names=["kind", "_id", "_node", "print", "shingles"])
 
-    shared.bound_batches(docs)
-    rows = _rows(docs).select("_id", "_node", "text")
+    shared.bound_batches(texts)
+    rows = texts.select("_id", "_node", "text")
     found = shared.written(rows.mapInArrow(prints, "kind int, _id long, _node long, print long, shingles long"), "near-prints")
     total = found.filter("kind = 0").count()
     nodes = shared.written(found.filter("kind = 0").groupBy("_node").agg(F.min("_id").alias("_id"), F.max("print").alias("print"), F.max("shingles").alias("shingles")), "near-nodes", rows=total)
 
-    # buckets of equal fingerprints, of samples and of whole texts, that have several texts
+    # buckets of equal samples, and of linked whole fingerprints, that have several texts
+    whole = nodes.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
+    near = shared.written(components.components(simhash.links(whole.select("print"), BITS)), "near-linked", rows=total)
+    linked = shared.written(near.join(whole, F.col("node") == F.col("print")).select("print", "root", "n"), "near-prints-of", rows=total)
+    placed = shared.lookup(nodes.select("_node", "print", "_id"), linked, "print", "n", total)
     samples = found.filter("kind = 1").groupBy("_node", F.col("print").alias("key")).agg(F.min("_id").alias("_id"))
-    keys = shared.written(samples.unionByName(nodes.select("_node", F.col("print").alias("key"), "_id")), "near-keys", rows=17 * total)
+    keys = shared.written(samples.unionByName(placed.select("_node", F.coalesce("root", "print").alias("key"), "_id")), "near-keys", rows=17 * total)
     sizes = shared.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("size", F.col("n")), "near-sizes", rows=4 * total)
     hit = shared.written(shared.lookup(keys, sizes, "key", "n", keys.count()).filter("size is not null"), "near-members", rows=8 * total)
     central = hit.groupBy("_node").agg(F.sum("size").alias("score"))
@@ -115,23 +135,19 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     others = few.select("key", F.col("_id").alias("_id2"), F.col("_node").alias("member"))
     every = few.join(others, "key").filter("_id < _id2 or (_id = _id2 and _node < member)").select(F.col("_node").alias("leader"), "member")
     stars = stars.unionByName(every)
-    distinct = nodes.groupBy("print").agg(F.min(F.struct("_id", "_node")).alias("leader"))
-    near = simhash.links(distinct.select("print"), BITS)
-    of = lambda side: distinct.select(F.col("print").alias(side), F.col("leader._node").alias(f"n{side}"))
-    linked = near.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("leader"), F.col("nb").alias("member"))
-    pairs = shared.written(stars.unionByName(linked).distinct(), "near-pairs", rows=4 * total)
-    shared.drop(found, keys, sizes, hit, leaders)
-    verified, many = _verified(docs, nodes, pairs, words, similarity)
+    pairs = shared.written(stars.distinct(), "near-pairs", rows=4 * total)
+    shared.drop(found, near, linked, keys, sizes, hit, leaders)
+    verified, many = _verified(texts, nodes, pairs, words, similarity)
     verified = shared.written(verified.select(F.col("leader").alias("a"), F.col("member").alias("b")), "near-verified")
     shared.drop(pairs, many)
     first = shared.written(components.components(verified), "near-first", rows=total)
-    rest, scratch = _rest(docs, nodes, members.filter(F.col("size") > SMALL).select("key", "_node"), first, words, similarity)
+    rest, scratch = _rest(texts, nodes, members.filter(F.col("size") > SMALL).select("key", "_node"), first, words, similarity)
     out = components.components(verified.unionByName(rest))
     shared.drop(nodes, members, verified, first, *scratch)
     return out
 
 
-def _rest(docs: DataFrame, nodes: DataFrame, members: DataFrame, first: DataFrame, words: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+def _rest(rows: DataFrame, nodes: DataFrame, members: DataFrame, first: DataFrame, words: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) that connect what all similar pairs within buckets (key, _node) connect and ``first`` (node, root) does not.
 
     Of each bucket the texts outside its largest group (strays) are dealt to blocks, and each block meets the bucket's
@@ -164,7 +180,7 @@ def _rest(docs: DataFrame, nodes: DataFrame, members: DataFrame, first: DataFram
     placed = placed.withColumn("block", F.pmod(F.xxhash64("_node", "key"), "blocks").cast("int")).withColumn("at", F.xxhash64(*place, "block"))
     need = placed.join(tasks, "at").select("_node", "root", F.explode("to").alias("to")).select("_node", "root", "to.*")
     need = need.join(nodes.select("_node", "_id"), "_node")
-    texts = need.join(_rows(docs).select("_id", "_node", "text"), ["_id", "_node"])
+    texts = need.join(rows.select("_id", "_node", "text"), ["_id", "_node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, _Block()
@@ -233,7 +249,7 @@ class _Block:
         return [p for i, s in enumerate(self.sets) for p in self.links(self.nodes[i], int(self.roots[i]), s, similarity)]
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The pairs (leader, member) whose shingle sets are at least so similar.
 
     A leader's text and its members' meet in sorted order, the leader's first; a leader with many members is
@@ -250,7 +266,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, s
     need = need.unionByName(salted.select(F.col("member").alias("_node"), "leader", "salt", F.lit(1).alias("role")))
     # the row of the smallest doc_id gives a node's text; the other rows of equal texts need not match
     need = need.join(nodes.select("_node", "_id"), "_node")
-    texts = need.join(_rows(docs).select("_id", "_node", "text"), ["_id", "_node"])
+    texts = need.join(rows.select("_id", "_node", "text"), ["_id", "_node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, np.empty(0, np.uint64)
@@ -278,9 +294,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, s
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each group of equal or near-equal texts the row with the smallest doc_id; all columns of ``docs``."""
-    rows = _rows(docs).drop("text")
+    texts = _told_apart(docs)
+    rows = texts.drop("text")
     nodes = rows.groupBy("_node").agg(F.min("_id").alias("_id"))
-    roots = shared.written(groups(docs, words, similarity), "near-roots", rows=docs.count())
+    roots = shared.written(groups(texts, words, similarity), "near-roots", rows=docs.count())
     rooted = nodes.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
     keepers = rooted.groupBy("root").agg(F.min(F.struct("_id", "_node")).alias("k")).select("k._id", "k._node")
     return rows.join(keepers, ["_id", "_node"]).dropDuplicates(["_id", "_node"]).select("_row.*")

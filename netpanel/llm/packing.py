@@ -11,7 +11,11 @@ no padding, and so are the last sequences of a task. So sequences are padded onl
 
 Each task packs the rows that it reads: no shuffle, and memory for ``window`` examples and a batch.
 Sequence ids are the partition's number times 2^40 plus the place within it; partitions of a file
-scan do not change when a task is repeated.
+scan do not change when a task is repeated. With ``ordered`` the sequences follow the rows of the files of a written table: ids grow
+with the number in a file's name, the first row of the part of the file that a task reads, and the place within it; a sequence
+has rows of one file. With ``oldest_first`` each sequence begins with the example that has been open for longest, so none waits for more than
+``window`` sequences. That needs different numbers in the files' names, as Spark
+gives them; other tables are packed as without it.
 
 Nulls, empties, repeats: a null text is an empty one, of the end id alone. A null doc_id stays null.
 Repeated rows are packed each. An empty table gives no row. Other columns are not read.
@@ -19,16 +23,23 @@ Repeated rows are packed each. An empty table gives no row. Other columns are no
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netpanel.llm import shared, tokens
 
+#: Numbers in the name of a file that Spark wrote: of its task, and of the file among the task's.
+FILE_NAME = r"^part-(\d+)(?:-[0-9a-f-]*?)?(?:[-.]c(\d+))?\."
+#: Bits of a sequence id in order: the file, the first row that a task reads of it, the place.
+FILE_BITS, ROW_BITS, PLACE_BITS = 24, 22, 17
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -37,6 +48,7 @@ class Limits:
     max_loss: int = 2048
     window: int = 64
     cut: bool = True
+    oldest_first: bool = False
 
 
 @dataclass(frozen=True)
@@ -104,11 +116,14 @@ class Packer:
             size, loss = self.size[: self.n], self.loss[: self.n]
             score = size * (tokens_left / at.max_tokens**2) + loss * (loss_left / at.max_loss**2)  # the segment's part is the same for all
             fits = (size <= tokens_left) & (loss <= loss_left)
+            if at.oldest_first and not placed:
+                fits &= self.item[: self.n] == self.item[: self.n].min()
+                score = np.where(self.item[: self.n] == self.item[: self.n].min(), score, -1.0)
             if fits.any():
                 k = int(np.where(fits, score, -1.0).argmax())
                 length = int(size[k])
             elif at.cut:
-                most = np.minimum(tokens_left, np.minimum(size, size - loss + loss_left))
+                most = np.where(score < 0, 0, 1) * np.minimum(tokens_left, np.minimum(size, size - loss + loss_left))
                 k = int(np.where(most > 0, score, -1.0).argmax())
                 length = int(most[k])
                 if length <= 0:
@@ -136,7 +151,27 @@ class Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
+def _numbers(name: str) -> tuple[int, int] | None:
+    found = re.search(FILE_NAME, name)
+    return (int(found[1]), int(found[2] or 0)) if found else None
+
+
+def file_order(docs: DataFrame) -> tuple[Column, Column] | None:
+    """The number of a row's file and its place there, if ``docs`` is a table of files that Spark numbered."""
+    numbers = [_numbers(f.rsplit("/", 1)[-1]) for f in docs.inputFiles()]  # names alone
+    if not numbers or None in numbers or len(set(numbers)) < len(numbers) or max(n for n, _ in numbers) >= 1 << FILE_BITS - 4 or max(c for _, c in numbers) >= 16:
+        return None
+    name = F.col("_metadata.file_name")
+    part, more = (F.regexp_extract(name, FILE_NAME, k) for k in (1, 2))
+    number = part.cast("long") * 16 + F.when(more == "", F.lit(0)).otherwise(more).cast("long")
+    try:
+        docs.select(number, "_metadata.row_index")
+    except AnalysisException:  # not a plain scan of files
+        return None
+    return number, F.col("_metadata.row_index")
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits(), ordered: bool = False) -> DataFrame:
     """Packs every text of ``docs``, all tokens bearing loss; a row for each piece.
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and sequence_tokens: the
@@ -163,6 +198,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits
                     if not doc[2]:
                         del kept[p.item]
                 made += 1
+                if file is not None and made >> PLACE_BITS:
+                    raise ValueError("a task has too many sequences for ids in order")
 
         def batch_of() -> pa.RecordBatch:
             columns = zip(*rows, strict=True) if rows else [[]] * len(NAMES)
@@ -170,9 +207,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits
             rows.clear()
             return out
 
+        file = None
         for batch in batches:
             ids_of = enc.encode(batch.column(1).to_pylist())
-            for doc_id, raw in zip(batch.column(0).to_pylist(), ids_of, strict=True):
+            for doc_id, raw, number, row in zip(batch.column(0).to_pylist(), ids_of, *(batch.column(c).to_pylist() for c in (2, 3)), strict=True):
+                if number != file:  # never without an order
+                    place(packer.flush())
+                    file, first, made = number, (number << ROW_BITS + PLACE_BITS) + (row << PLACE_BITS), 0
+                    if row >> ROW_BITS:
+                        raise ValueError("a file has too many rows for ids in order")
                 ids = np.concatenate([np.frombuffer(raw, enc.dtype), end])
                 kept[count] = [doc_id, ids, len(ids)]
                 place(packer.add(count, len(ids), len(ids)))
@@ -182,7 +225,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits
         yield batch_of()
 
     shared.bound_batches(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    number, row = (file_order(docs) if ordered else None) or (F.lit(None).cast("long"), F.lit(None).cast("long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number.alias("file"), row.alias("row"))
     return texts.mapInArrow(pack, ", ".join(f"{c} long" for c in NAMES))
 
 

@@ -186,7 +186,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
-    """Fits a model on the labelled documents that are not held out, ``most`` of them at most."""
+    """Fits a model on the labelled documents that are not held out, ``most`` of them at most; of rows with one doc_id, that of the smallest text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
     known = known.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
@@ -198,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
 
     shared.bound_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(known), "doc_id").select("quality", "text").mapInArrow(rows, "quality int, x array<double>").limit(2 * most).collect()
+    one = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+    found = one.select("quality", "text").mapInArrow(rows, "quality int, x array<double>").collect()  # at most ``most`` rows
     found.sort()
     x = np.array([r.x for r in found], float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r.quality for r in found], float))

@@ -347,3 +347,34 @@ def test_interaction_is_learned():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.fit(x[:3000], y[:3000])
     assert (1, 0) in model.pairs and ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
+
+
+def family(seed, variants):
+    """Variants of one text, each with a copy of its own."""
+    r = random.Random(seed)
+    base, texts = [f"w{r.randrange(10**6)}" for _ in range(300)], []
+    for _ in range(variants):
+        a = list(base)
+        for k in r.sample(range(300), 4):
+            a[k] = f"x{r.randrange(10**6)}"
+        b = list(a)
+        for k in r.sample(range(300), 3):
+            b[k] = f"y{r.randrange(10**6)}"
+        texts += [" ".join(a), " ".join(b)]
+    return texts
+
+
+def test_near_duplicates_of_a_template_family(spark):
+    texts = family(1, 150)
+    sets = [set(shingles(t, 5)) for t in texts]
+    like = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = roots(range(len(texts)), like)
+    got = near.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(group.values()))
+
+
+def test_different_texts_with_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(near, "_hash", lambda text: F.length(text).cast("long") % 2)
+    texts = [" ".join(f"{k}w{n}" for n in range(30 + k % 2)) for k in range(10)] + ["", None]
+    got = near.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(11))
