@@ -1,7 +1,11 @@
 """The training-data pipeline: quality, near duplicates, repeated passages, mixing, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents, as they were: columns of ``docs``
+may have any names, also those that an operator gives its results.
+
+In every stage a null text counts as an empty one, rows that repeat are rows of their own unless the stage says otherwise, texts may
+be of any length, and an empty table gives an empty one. What each does with ties, nulls and repeats stands with it.
 """
 
 from __future__ import annotations
@@ -13,37 +17,51 @@ from netpanel.llm import mixing, near, packing, quality, queries, shared, substr
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; an empty or null text is scored like any other, and equal texts alike."""
     model = quality.train(docs, shared.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.scored(docs.select("text", F.struct(*docs.columns).alias("row")), model).filter("predicted = 1").select("row.*")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of equal or near-equal texts."""
+    """One document, that of the smallest doc_id (null: largest), of each group of equal or near-equal texts; empty and null texts are equal.
+
+    Of rows with that doc_id and text one stays.
+    """
     return near.deduplicated(docs, words=5, similarity=0.8)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 20 or more words that start earlier too; a document that loses all its words goes.
 
-    A text that loses words is its kept words, joined by spaces, and n_chars is its length; others stay as they are.
+    A text that loses words is its kept words, joined by spaces, and n_chars is its length; others stay as they are, empty and null ones too.
+    Documents come in the order of doc_id, a null one last; rows that repeat doc_id and text are one document there, each with its result.
     """
-    kept = substrings.deduplicated(docs, length=20, keep_text=True)
-    kept = kept.filter("n_removed < n_words or n_removed = 0").withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    kept = substrings.deduplicated(docs.select("doc_id", "text", F.struct(*others).alias("row")), length=20, keep_text=True)
+    kept = kept.filter("n_removed < n_words or n_removed = 0")
+    shorter = F.col("n_removed") > 0
+    own = {c: F.col("row")[c] for c in others} | {"text": F.col("kept")}
+    if "n_chars" in others:
+        own["n_chars"] = F.when(shorter, F.length("kept")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of their slots: file by file, row by row, sources come at their target weights."""
-    mixed = mixing.interleave(docs, queries.PARTS, block_chars=queries.BLOCK_CHARS)
-    return mixing.in_order(mixed).select(*docs.columns)
+    """All documents in the order of their slots: file by file, row by row, sources come at their target weights.
+
+    The number in a file's name and a row's place in the file tell the order, which the next stage follows. A null source is a source of its own.
+    """
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole"))
+    mixed = mixing.interleave(rows, queries.PARTS, block_chars=queries.BLOCK_CHARS, keep=["whole"])
+    return mixing.in_order(mixed).select("whole.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, tokens.vocabulary(queries.VOCABULARY), queries.END_ID, packing.Limits(max_tokens=2048))
+    """The pieces of all documents in sequences of at most 2048 tokens, which follow the order of the documents' files and rows.
+
+    An empty or null text is its end id. ``docs`` that is no table of numbered files is packed in the order that it is read.
+    """
+    return packing.pack_documents(docs, tokens.vocabulary(queries.VOCABULARY), queries.END_ID, packing.Limits(max_tokens=2048, oldest_first=True), ordered=True)
 
 
 STAGES = [
