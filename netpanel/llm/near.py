@@ -257,8 +257,9 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, s
     """
     counts = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     many = counts.filter(F.col("n") > LEADER_ROWS).select("leader", "n", F.ceil(F.col("n") / LEADER_ROWS).cast("int").alias("salts"))
-    many = shared.written(many, "near-leaders", rows=nodes.count() // LEADER_ROWS)
-    salted = shared.lookup(pairs, many, "leader", "n", pairs.count())
+    total = pairs.count()
+    many = shared.written(many, "near-leaders", rows=total)
+    salted = shared.lookup(pairs, many, "leader", "n", total)
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int"))
     leads = counts.join(many.select("leader", "salts"), "leader", "left")
     leads = leads.select("leader", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))

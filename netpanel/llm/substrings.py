@@ -34,6 +34,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -152,6 +153,14 @@ class FMIndex:
         return self.firsts[self.marks.rank(lo)].astype(np.int64)
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def repeated(stretches: list[list[bytes]], length: int = LENGTH) -> list[np.ndarray]:
     """Of each stretch, in their order: which of its windows also start earlier, found through an FM-index of all."""
     if not stretches:
@@ -160,8 +169,7 @@ def repeated(stretches: list[list[bytes]], length: int = LENGTH) -> list[np.ndar
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.any():
         return [np.zeros(0, bool) for _ in stretches]
-    number: dict[bytes, int] = {}
-    words = np.fromiter((number.setdefault(w, len(number)) for s in stretches for w in s), np.int64, int(sizes.sum()))
+    words = np.fromiter(map(_Numbers().__getitem__, chain.from_iterable(stretches)), np.int64, int(sizes.sum()))
     run = max(d for d in range(1, SYMBOL + 1) if length % d == 0)
     # runs of words in a stretch: those that start at r, r + run, ... are one sequence, with a separator after it
     runs = np.maximum(sizes - run + 1, 0)
@@ -455,7 +463,7 @@ def _kept_windows(found: DataFrame, length: int) -> list[DataFrame]:
 def _round(found: DataFrame, length: int, total: int, words: int) -> DataFrame:
     """_id, _h, starts of the windows that a shard leaves of each part; with ``words`` where the part's key is dealt to several shards."""
     many = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).withColumn("salts", F.ceil(F.col("n") / HOT).cast("int"))
-    many = shared.written(many, "hot-keys", rows=total // HOT)
+    many = shared.written(many, "hot-keys", rows=total)
     marked = shared.lookup(found, many, "key", "n", total)
     shards = max(1, math.ceil(words / SHARD_WORDS))
     salt = F.pmod(F.xxhash64("_id", "_h", "first"), F.coalesce("salts", F.lit(1)))
