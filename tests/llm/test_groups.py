@@ -285,6 +285,25 @@ def test_neighbours(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_neighbours_far_from_the_origin_and_repeated(spark):
+    """Large norms with small differences, rows that share an id (equal or not), and ties."""
+    r = np.random.default_rng(5)
+    x = 1e6 + r.integers(0, 3, size=(300, 4)) * 1e-3
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)]
+    rows += [rows[100], rows[100], rows[7], (7, [1e6 + 0.5] * 4), (200, rows[3][1])]
+    vectors = {}
+    for k, v in rows:
+        vectors.setdefault(k, []).append(np.array(v))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for f in ann.search(table, 10, 100, parts=1).orderBy("query_id", "rank").collect():
+        got.setdefault(f.query_id, []).append((f.vec_id, f.score))
+    assert set(got) == {0, 100, 200}
+    for q, found in got.items():
+        true = sorted((min(np.sqrt(((a - b) ** 2).sum()) for a in vectors[q] for b in vs), k) for k, vs in vectors.items() if k != q)[:10]
+        assert [(k, s) for s, k in true] == found
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     few = vectors_table(spark).filter("vec_id in (100, 3, 4, 5)")
     assert sorted((r.query_id, r.rank) for r in ann.search(few).collect()) == [(100, 1), (100, 2), (100, 3)]
