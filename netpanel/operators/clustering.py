@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 import zlib
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,20 +40,23 @@ def grid(points: DataFrame, edges: DataFrame, methods: Sequence[str], ks: Sequen
     """period, method, k, entity, label, seconds: every method and k on every period's points (entity, x) and graph (i, j, w)."""
     spark = points.sparkSession
     functions = {m: kernels.METHODS[m] for m in methods}  # goes to the tasks, with methods registered here
-    tasks = [(m, int(k)) for m in methods for k in ks]
-    left, right = (rows.crossJoin(F.broadcast(spark.createDataFrame(tasks, "method string, k int"))) for rows in (points.select("period", "entity", "x"), edges.select("period", "i", "j", "w")))
+    ks = [int(k) for k in ks]
+    names = F.broadcast(spark.createDataFrame([(m,) for m in methods], "method string"))
+    left, right = (rows.crossJoin(names) for rows in (points.select("period", "entity", "x"), edges.select("period", "i", "j", "w")))  # a period's rows once for each method
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, for the cogroup
 
     def cluster(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        period, method, k = key
+        period, method = key
         nodes = nodes.sort_values("entity")
         ids = nodes["entity"].to_numpy()
-        began = time.perf_counter()
-        labels = functions[method](np.array(nodes["x"].tolist(), float), _adjacency(ids, links), int(k), _rng(seed, period, method, k)) if len(ids) else []
-        return pd.DataFrame({"period": period, "method": method, "k": k, "entity": ids, "label": np.asarray(labels, "int32"), "seconds": time.perf_counter() - began})
+        x, a, out = np.array(nodes["x"].tolist(), float), _adjacency(ids, links), []
+        for k in ks if len(ids) else ():
+            began = time.perf_counter()
+            labels = functions[method](x, a, k, _rng(seed, period, method, k))
+            out.append(pd.DataFrame({"period": period, "method": method, "k": k, "entity": ids, "label": np.asarray(labels, "int32"), "seconds": time.perf_counter() - began}))
+        return pd.concat(out) if out else pd.DataFrame({"period": [], "method": [], "k": [], "entity": [], "label": [], "seconds": []}).astype({"period": "int64", "method": "str", "k": "int32", "entity": "int64", "label": "int32", "seconds": "float64"})
 
-    key = ["period", "method", "k"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(cluster, "period long, method string, k int, entity long, label int, seconds double")
+    return left.groupBy("period", "method").cogroup(right.groupBy("period", "method")).applyInPandas(cluster, "period long, method string, k int, entity long, label int, seconds double")
 
 
 def temporal(edges: DataFrame, nodes: DataFrame, k: int, omega: float = 0.25, min_size: int = 1, seed: int = 42) -> DataFrame:
@@ -113,44 +117,67 @@ def layer_ablation(labels: DataFrame) -> DataFrame:
     return indices.adjusted_rand(a.join(b, ["method", "period", "entity"]).filter("a < b"), "la", "lb", ["method", "a", "b", "period"])
 
 
-def bootstrap_membership(points: DataFrame, labels: DataFrame, method: str, n: int = 30, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """period, entity, label, votes, probability: in how many of n subsamples the entity gets its own label back.
+def bootstrap_membership(points: DataFrame, edges: DataFrame | None, labels: DataFrame, method: str, n: int = 30, share: float = 0.8, seed: int = 42, chunks: int = 4) -> DataFrame:
+    """period, entity, label, voted, votes, probability: how many of n subsamples give the entity each of its period's labels (``voted``).
 
-    A subsample is clustered, matched to the reference labels, and every entity votes: its own label, or, outside of
-    the subsample, that of the nearest centre. Labels without a match do not vote; the denominator stays n.
+    A subsample's points and the graph among them are clustered and matched to the reference labels, and every entity votes: its own label, or, outside of
+    the subsample, that of the nearest centre. Labels without a match do not vote; the denominator stays n. A task has a period and an
+    n / ``chunks`` share of its subsamples.
     """
     from netpanel.operators.labels import alignment
 
     run = kernels.METHODS[method]
+    part = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
     rows = points.select("period", "entity", "x").join(labels.select("period", "entity", "label"), ["period", "entity"])
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    left = rows.select("period", "entity", "x", "label", part)
+    links = edges.select("period", "i", "j", "w") if edges is not None else rows.limit(0).select("period", F.col("entity").alias("i"), F.col("entity").alias("j"), F.lit(1.0).alias("w"))
+    right = links.select("period", "i", "j", "w", part).select(*[F.col(c).alias(c) for c in ("period", "i", "j", "w", "chunk")])
 
-    def vote(key, group: pd.DataFrame) -> pd.DataFrame:
-        period, rep = key
+    def vote(key, group: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        period, chunk = key
         group = group.sort_values("entity")
-        x, own = np.array(group["x"].tolist(), float), group["label"].to_numpy()
-        rng = _rng(seed, period, rep)
-        k = len(np.unique(own))
-        chosen = np.sort(rng.choice(len(x), max(k, int(round(share * len(x)))), replace=False))
-        found = run(x[chosen], np.zeros((len(chosen), len(chosen))), k, rng)
-        centres = np.stack([x[chosen][found == c].mean(0) for c in np.unique(found)])
-        every = kernels.squared_distances(x, centres).argmin(1)
-        every[chosen] = found
-        table = [(int(a), int(b), 1) for a, b in zip(own[chosen], found, strict=True)]
-        counts: dict[tuple[int, int], int] = {}
-        for a, b, c in table:
-            counts[a, b] = counts.get((a, b), 0) + c
-        names = alignment([(a, b, c) for (a, b), c in counts.items()])
-        known = set(own.tolist())
-        voted = np.array([names.get(int(c), -1) if names.get(int(c), -1) in known else -1 for c in every])
-        return pd.DataFrame({"period": period, "rep": rep, "entity": group["entity"].to_numpy(), "label": own, "hit": (voted == own).astype("int32")})
-
-    votes = reps.groupBy("period", "rep").applyInPandas(vote, "period long, rep long, entity long, label int, hit int")
-    return votes.groupBy("period", "entity", "label").agg(F.sum("hit").alias("votes")).withColumn("probability", F.col("votes") / n)
-
-
-def confidence_summary(membership: DataFrame, threshold: float = 0.7) -> DataFrame:
-    return membership.agg(F.median("probability").alias("median"), F.avg((F.col("probability") >= threshold).cast("int")).alias("share_sure"))
+        ids, own = group["entity"].to_numpy(), group["label"].to_numpy()
+        if not len(ids):
+            return pd.DataFrame({c: [] for c in ("period", "entity", "label", "voted", "votes")}).astype({"period": "int64", "entity": "int64", "label": "int32", "voted": "int32", "votes": "int64"})
+        x, known = np.array(group["x"].tolist(), float), np.unique(own)
+        a = _adjacency(ids, links[links["i"].isin(ids) & links["j"].isin(ids)])
+        k, votes = len(known), np.zeros((len(ids), len(known)), np.int64)
+        for rep in range(int(chunk), n, chunks):
+            rng = _rng(seed, period, rep)
+            chosen = np.sort(rng.choice(len(x), min(len(x), max(k + 1, int(round(share * len(x))))), replace=False))
+            found = run(x[chosen], a[np.ix_(chosen, chosen)], k, rng)
+            names, which = np.unique(found, return_inverse=True)
+            centres = np.stack([x[chosen][which == c].mean(0) for c in range(len(names))])
+            every = kernels.squared_distances(x, centres).argmin(1)
+            every[chosen] = which
+            cells, count = np.unique(np.stack([own[chosen], which], 1), axis=0, return_counts=True)
+            matched = alignment([(int(p), int(q), int(c)) for (p, q), c in zip(cells, count, strict=True)])
+            voted = np.array([matched.get(c, -1) for c in range(len(names))])[every]
+            at = np.minimum(np.searchsorted(known, voted), k - 1)
+            hit = known[at] == voted
+            votes[np.flatnonzero(hit), at[hit]] += 1
+        return pd.DataFrame({"period": period, "entity": np.repeat(ids, k), "label": np.repeat(own, k), "voted": np.tile(known, len(ids)).astype("int32"), "votes": votes.ravel()})
+
+    votes = left.groupBy("period", "chunk").cogroup(right.groupBy("period", "chunk")).applyInPandas(vote, "period long, entity long, label int, voted int, votes long")
+    return votes.groupBy("period", "entity", "label", "voted").agg(F.sum("votes").alias("votes")).withColumn("probability", F.col("votes") / n)
+
+
+def confidence(membership: DataFrame) -> DataFrame:
+    """period, entity, label, modal (the label of most votes; the smaller on ties), confidence (its share), own (the share of the entity's own label)."""
+    order = F.struct("probability", (-F.col("voted")).alias("v"))
+    own = F.max(F.when(F.col("voted") == F.col("label"), F.col("probability")))
+    return membership.groupBy("period", "entity", "label").agg(F.max_by("voted", order).alias("modal"), F.max("probability").alias("confidence"), own.alias("own"))
+
+
+def confidence_summary(found: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """By period: the median confidence, the share of entities above the threshold, and of those whose modal label is their own."""
+    share = lambda c: F.avg(c.cast("int"))
+    return found.groupBy("period").agg(F.median("confidence").alias("median"), share(F.col("confidence") >= threshold).alias("share_sure"), share(F.col("modal") == F.col("label")).alias("share_own"))
+
+
+def metrics_union(*tables: DataFrame) -> DataFrame:
+    """One long table of metric tables; columns that some do not have (a layer, a replicate) are NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def out_of_time(points: DataFrame, labels: DataFrame, train: tuple[int, int], test: tuple[int, int]) -> DataFrame:

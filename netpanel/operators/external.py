@@ -44,6 +44,14 @@ def sections(employment: DataFrame, wages: DataFrame) -> DataFrame:
     return e.join(w, ["oktmo8", "section"], "outer")
 
 
+def assembled(people: DataFrame, sectors: DataFrame, meta: Sequence[str], key: str = "oktmo8") -> DataFrame:
+    """Population and sectors side by side, whichever has a row; columns of ``meta``, which both have, from the first that has a value."""
+    right = sectors.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in meta], *[c for c in sectors.columns if c not in (key, *meta)])
+    rows = people.join(right, F.col(key) == F.col("_key"), "outer")
+    own = [c for c in (*people.columns, *sectors.columns) if c not in (key, *meta)]
+    return rows.select(F.coalesce(key, "_key").alias(key), *own, *[F.coalesce(c, f"_{c}").alias(c) for c in meta])
+
+
 def sector_aggregate(rows: DataFrame, sector_of: Mapping[str, str]) -> DataFrame:
     """By code and sector: employees (all missing: missing) and the mean wage, weighted by employees where both are known, else plain."""
     mapping = F.create_map(*[F.lit(x) for item in sector_of.items() for x in item])

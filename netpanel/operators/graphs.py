@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netpanel.operators import kernels, vectors
+from netpanel.session import shared_folder
 
 
 def both_ways(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -105,11 +106,7 @@ def degrees(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """entity, component (its smallest entity): smallest labels spread and labels of labels are followed, until nothing changes."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="netpanel-"))
+    shared_folder(edges.sparkSession)
     around = both_ways(edges).select("i", "j")
     now = nodes.select("entity", F.col("entity").alias("component")).checkpoint()
     total = None

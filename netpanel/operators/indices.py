@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netpanel.operators import vectors
+from netpanel.operators import kernels, vectors
 from netpanel.operators.graphs import block_sums
 
 #: Whether more is better.
@@ -153,5 +155,25 @@ def oriented(metrics: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(table), "metric").withColumn("oriented", F.col("value") * F.col("direction")).drop("direction")
 
 
-def rank_window(*by: str):
-    return Window.partitionBy(*by)
+def feature_panel(points: DataFrame, found: DataFrame) -> DataFrame:
+    """method, k, period, metric, value: SW, CH, CH_n, DBI and S_Dbw of every partition (method, k, period, entity, label), NULL where undefined.
+
+    A period's points (period, entity, x) go to one task once, whatever the number of its partitions.
+    """
+
+    def measure(nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(nodes) and len(rows):
+            nodes = nodes.sort_values("entity")
+            ids, x = nodes["entity"].to_numpy(), np.array(nodes["x"].tolist(), float)
+            for (method, k), part in rows.groupby(["method", "k"]):
+                part = part[part["entity"].isin(ids)].sort_values("entity")
+                if len(part):
+                    values = kernels.feature_metrics(x[np.searchsorted(ids, part["entity"].to_numpy())], part["label"].to_numpy())
+                    out += [(method, int(k), int(rows["period"].iloc[0]), m, v) for m, v in values.items()]
+        return pd.DataFrame(out, columns=["method", "k", "period", "metric", "value"]).astype({"value": "float64"})
+
+    left, right = points.select("period", "entity", "x"), found.select("method", "k", "period", "entity", "label")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    out = left.groupBy("period").cogroup(right.groupBy("period")).applyInPandas(measure, "method string, k int, period long, metric string, value double")
+    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))

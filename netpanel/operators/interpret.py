@@ -80,37 +80,92 @@ def medians_by_type(df: DataFrame, variables: Sequence[str], label: str = "label
     return _long(df, variables, [label]).groupBy(label, "feature").agg(F.median("value").alias("median"), F.count("value").alias("n"))
 
 
-def rule_names(means: DataFrame, rules: Sequence[Mapping[str, Any]], thresholds: Mapping[str, float], label: str = "label") -> DataFrame:
-    """label, name: the first rule all of whose conditions (feature: min, max) a label's means satisfy; repeats get roman numbers; NULL if none does.
+def _limits(rule: Mapping[str, Any], thresholds: Mapping[str, float]) -> list[tuple[str, str, float]]:
+    """(feature, side, number) of a rule's conditions, with named thresholds as their numbers."""
+    given = [(f, side, limits[side]) for f, limits in rule.get("when", {}).items() for side in ("min", "max") if side in limits]
+    return [(f, side, float(thresholds.get(v, v))) for f, side, v in given]
 
-    ``means`` has a column for each feature. A rule: {"name": ..., "when": {feature: {"min": number or threshold's name, "max": ...}}}.
+
+#: What the second and further types of one rule get after their name; the last one stays from there on.
+NUMERALS = ("", " II", " III", " IV", " V", " VI", " VII", " VIII")
+
+
+def rule_names(means: DataFrame, rules: Sequence[Mapping[str, Any]], thresholds: Mapping[str, float], label: str = "label", leading: DataFrame | None = None, phrases: DataFrame | None = None, fallback: str = "Type") -> DataFrame:
+    """label, name, short, description, rule: by the first rule all of whose conditions a label's means satisfy.
+
+    ``means`` has a column for each feature. A rule: {"name": ..., "short": ..., "description": ..., "when": {feature: {"min": number or threshold's name,
+    "max": ...}}}. The first label of a rule, in their order, has its plain name, the next ones get a numeral. A label that no rule fits is called
+    by its number and its leading features (``leading``, as ``top_features`` gives them). ``phrases`` (label, phrase) end the descriptions.
     """
-    bound = lambda v: float(thresholds[v]) if isinstance(v, str) else float(v)
-    chosen = None
-    for k, rule in enumerate(rules):
-        tests = [F.lit(True)]
-        for feature, limits in rule.get("when", {}).items():
-            if feature not in means.columns:
-                tests.append(F.lit(False))
-                continue
-            tests += [F.col(feature) >= bound(limits["min"])] if "min" in limits else []
-            tests += [F.col(feature) <= bound(limits["max"])] if "max" in limits else []
-        fits = F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
-        chosen = F.when(fits, F.lit(k)) if chosen is None else chosen.when(fits, F.lit(k))
+    chosen = F.lit(None).cast("int")
+    for k, rule in reversed(list(enumerate(rules))):
+        tests = [F.lit(f in means.columns) & ((F.col(f) >= v) if side == "min" else (F.col(f) <= v)) if f in means.columns else F.lit(False) for f, side, v in _limits(rule, thresholds)]
+        chosen = F.when(F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False)), F.lit(k)).otherwise(chosen)
     rows = means.withColumn("_rule", chosen)
-    of = Window.partitionBy("_rule")
-    names = F.create_map(*[x for k, rule in enumerate(rules) for x in (F.lit(k), F.lit(rule["name"]))])
-    roman = F.create_map(*[x for k, r in enumerate(("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"), 1) for x in (F.lit(k), F.lit(r))])
-    many = F.count(F.lit(1)).over(of) > 1
-    place = F.row_number().over(of.orderBy(label))
-    return rows.select(label, F.when(F.col("_rule").isNotNull(), F.when(many, F.concat(names[F.col("_rule")], F.lit(" "), F.coalesce(roman[place], place.cast("string")))).otherwise(names[F.col("_rule")])).alias("name"))
+    if leading is not None:
+        words = F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("place", "feature", "sign"))), lambda x: F.concat(x["feature"], F.lit(" "), x["sign"])))
+        rows = rows.join(leading.groupBy(label).agg(words.alias("_features")), label, "left")
+    else:
+        rows = rows.withColumn("_features", F.lit(None).cast("string"))
+    rows = rows.join(phrases.select(label, F.col("phrase").alias("_phrase")), label, "left") if phrases is not None else rows.withColumn("_phrase", F.lit(None).cast("string"))
+    numeral = F.element_at(F.array(*map(F.lit, NUMERALS)), F.least(F.row_number().over(Window.partitionBy("_rule").orderBy(label)), F.lit(len(NUMERALS))))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values], F.lit(None).cast("string")), F.col("_rule") + 1)
+    plain = F.concat(F.lit(f"{fallback} "), F.col(label).cast("string"))
+    by_rule = F.col("_rule").isNotNull()
+    name = F.when(by_rule, F.concat(pick([r["name"] for r in rules]), numeral)).otherwise(F.concat_ws(": ", plain, F.nullif("_features", F.lit(""))))
+    short = F.when(by_rule, F.concat(pick([r.get("short", r["name"]) for r in rules]), numeral)).otherwise(plain)
+    said = F.when(by_rule, F.nullif(pick([r.get("description") for r in rules]), F.lit(""))).when(F.coalesce("_features", F.lit("")) != "", F.concat(F.lit("Leading features: "), F.col("_features"), F.lit(".")))
+    return rows.select(label, name.alias("name"), short.alias("short"), F.concat_ws(" ", said, "_phrase").alias("description"), pick([r["name"] for r in rules]).alias("rule"))
+
+
+def split_names(names: Sequence[str], levels: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
+    """Raw features as (shares, levels): by the list given, else those whose names speak of a level or a total."""
+    levels = [n for n in names if any(w in n.lower() for w in ("level", "total"))] if levels is None else list(levels)
+    return [n for n in names if n not in levels], levels
+
+
+def display_names(names: Sequence[str], levels: Sequence[str] | None = None, unit: str = "", level_name: str = "Total per head") -> list[str]:
+    """Names with units, in their order: shares in per cent, levels in theirs; a single level has a name of its own."""
+    _, own = split_names(names, levels)
+    of_level = lambda n: ", ".join(x for x in (level_name if len(own) == 1 else n, unit) if x)
+    return [of_level(n) if n in own else f"Share of {n.replace('share_', '')}, %" for n in names]
+
+
+def phrases(readable: DataFrame, shares: Sequence[str], levels: Sequence[str], label: str = "label") -> DataFrame:
+    """label, phrase: the medians of a type (as ``readable_profile`` gives them) where they differ from all entities' by a point or more."""
+    overall = readable.filter(F.col(label).isNull()).select(*[F.col(f"{c}_pct").alias(f"_{c}") for c in shares])
+    rows = readable.filter(F.col(label).isNotNull()).crossJoin(F.broadcast(overall))  # one row
+    number = lambda c, digits: F.format_number(c, digits)
+    parts = [F.when(F.col(f"{c}_rel_pct").isNotNull(), F.concat(F.lit(f"{c} "), number(F.col(f"{c}_rel_pct"), 0), F.lit(" % of the overall median"))) for c in levels]
+    for c in shares:
+        off = F.col(f"{c}_pct") - F.col(f"_{c}")
+        text = F.concat(F.lit(f"share of {c} "), number(F.col(f"{c}_pct"), 1), F.when(off > 0, F.lit(" % (above the overall by ")).otherwise(F.lit(" % (below the overall by ")), number(F.abs(off), 1), F.lit(" points)"))
+        parts.append(F.when((F.col(f"_{c}") > 0) & (F.abs(off) >= 1), text))
+    joined = F.concat_ws("; ", *parts)
+    return rows.select(label, F.when(joined != "", F.concat(F.lit("Medians: "), joined, F.lit("."))).alias("phrase"))
+
+
+def with_locked(names: DataFrame, locked: DataFrame, method: str, k: int, period: str, label: str = "label") -> DataFrame:
+    """Names that people have settled (method, k, period, label, name, short, description) in place of drafts, for the same method, k and period alone."""
+    own = locked.filter((F.col("method") == method) & (F.col("k") == k) & (F.col("period") == period)).select(label, *[F.col(c).alias(f"_{c}") for c in ("name", "short", "description")])
+    return names.join(F.broadcast(own), label, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("name", "short", "description")}).drop("_name", "_short", "_description")  # a row for each type
+
+
+def profile_wide(profile: DataFrame, features: Sequence[str], value: str = "mean", label: str = "label") -> DataFrame:
+    """A row for each label (NULL: all), a column for each feature."""
+    return profile.groupBy(label).pivot("feature", list(features)).agg(F.first(value))
+
+
+def inconsistent_totals(raw: DataFrame, total: str, levels: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
+    """Rows of which the total is not the sum of its levels (missing ones count 0), with the difference."""
+    gap = F.col(total) - reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in levels])
+    return raw.withColumn("gap", gap).filter(F.abs("gap") > tolerance * F.greatest(F.abs(F.col(total)), F.lit(1.0)))
 
 
 def rule_violations(means: DataFrame, declared: Mapping[Any, Mapping[str, Any]], thresholds: Mapping[str, float], label: str = "label") -> DataFrame:
     """label, feature, side, bound, value of every condition of a declared rule that its label's means break."""
-    rows = [(k, f, side, float(thresholds[v]) if isinstance(v, str) else float(v)) for k, rule in declared.items() for f, limits in rule.get("when", {}).items() for side, v in limits.items() if side in ("min", "max")]
-    spark = means.sparkSession
-    bounds = spark.createDataFrame(rows, f"{label} {dict(means.dtypes)[label]}, feature string, side string, bound double")
+    rows = [(k, *limit) for k, rule in declared.items() for limit in _limits(rule, thresholds)]
+    bounds = means.sparkSession.createDataFrame(rows, f"{label} {dict(means.dtypes)[label]}, feature string, side string, bound double")
     values = _long(means, [c for c in means.columns if c != label], [label])
     joined = F.broadcast(bounds).join(values, [label, "feature"], "left")
     broken = F.col("value").isNull() | ((F.col("side") == "min") & (F.col("value") < F.col("bound"))) | ((F.col("side") == "max") & (F.col("value") > F.col("bound")))

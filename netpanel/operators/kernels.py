@@ -141,14 +141,22 @@ def _full_kernel(w: Array, alpha: float) -> Array:
     return out
 
 
-def _local_kernel(w: Array, k: int) -> Array:
+def _local_kernel(w: Array, k: int) -> tuple[Array, Array]:
+    """The k strongest of each node and itself (columns, weights that sum to 1): the rows of a sparse matrix."""
     w = w.copy()
     np.fill_diagonal(w, 0)
     order = np.argsort(-w, axis=1, kind="stable")[:, :k]
-    out = np.zeros_like(w)
-    np.put_along_axis(out, order, np.take_along_axis(w, order, 1), 1)
-    out[np.diag_indices(len(w))] = 1.0
-    return out / out.sum(1, keepdims=True)
+    weight = np.concatenate([np.take_along_axis(w, order, 1), np.ones((len(w), 1))], 1)
+    order[weight[:, :-1] == 0] = 0  # no neighbour: weight 0 of any
+    return np.concatenate([order, np.arange(len(w))[:, None]], 1), weight / weight.sum(1, keepdims=True)
+
+
+def _spread(local: tuple[Array, Array], p: Array) -> Array:
+    """The sparse matrix times a dense one."""
+    out = np.zeros_like(p)
+    for column, weight in zip(local[0].T, local[1].T, strict=True):
+        out += weight[:, None] * p[column]
+    return out
 
 
 def sparsified(f: Array, k: int, mutual: bool = True, tree: bool = True) -> Array:
@@ -172,7 +180,7 @@ def fused(layers: list[Array], k: int = 10, rounds: int = 10, alpha: float = 0.5
     full, local = [_full_kernel(w, alpha) for w in some], [_local_kernel(w, k) for w in some]
     for _ in range(rounds):
         total = sum(full)
-        new = [s @ ((total - p) / (len(full) - 1)) @ s.T for s, p in zip(local, full, strict=True)]
+        new = [_spread(s, _spread(s, (total - p) / (len(full) - 1)).T).T for s, p in zip(local, full, strict=True)]
         full = [_full_kernel((p + p.T) / 2, alpha) for p in new]
     return sparsified(sum(full) / len(full), k, mutual, tree)
 
@@ -220,13 +228,15 @@ def relabelled(labels: Array) -> Array:
     return np.unique(labels, return_inverse=True)[1]
 
 
-def _seeds(x: Array, k: int, rng: np.random.Generator) -> Array:
+def _seeds(x: Array, k: int, rng: np.random.Generator, norms: Array | None = None) -> Array:
+    norms = (x**2).sum(1) if norms is None else norms
+    to = lambda c: np.maximum(norms + norms[c] - 2 * (x @ x[c]), 0)
     chosen = [int(rng.integers(len(x)))]
-    d = squared_distances(x, x[chosen]).ravel()
+    d = to(chosen[0])
     for _ in range(1, k):
         total = d.sum()
         trials = rng.choice(len(x), size=min(len(x), 2 + int(math.log(k + 1))), p=d / total if total > 0 else None)
-        options = [np.minimum(d, squared_distances(x, x[[t]]).ravel()) for t in trials]
+        options = [np.minimum(d, to(t)) for t in trials]
         best = int(np.argmin([o.sum() for o in options]))
         chosen.append(int(trials[best]))
         d = options[best]
@@ -442,7 +452,10 @@ def _refine(nodes: Graph, slices: list[Array], totals: list[float], gamma: float
 
 
 def resolution_for(k: int, probe: Callable[[float], Array], count: Callable[[Array], int], low: float = 0.05, high: float = 5.0, calls: int = 30) -> Array:
-    """The partition of the probe that has k communities, by bisection of the logarithm of the resolution; else the nearest."""
+    """The partition of the probe that has k communities, by bisection of the logarithm of the resolution; else the nearest.
+
+    Parts without links between them stay apart at any resolution: with more than k of them the search ends at a low one.
+    """
     best: tuple[int, Array] | None = None
 
     def look(gamma: float) -> int:
@@ -456,6 +469,8 @@ def resolution_for(k: int, probe: Callable[[float], Array], count: Callable[[Arr
     a, b = low, high
     used = 0
     while used < calls and look(a) > k:
+        if a < 1e-4:
+            return best[1]
         a, used = a / 10, used + 1
     while used < calls and best[0] and look(b) < k:
         b, used = b * 10, used + 1
@@ -543,24 +558,29 @@ def joint_kmeans(y: Array, a: Array, k: int, rng: np.random.Generator, rho: floa
     z = np.hstack([math.sqrt(rho) * y, math.sqrt(xi) * p])
     split = y.shape[1]
     best: Joint | None = None
+    norms = (z**2).sum(1)
+    one = np.zeros((len(z), k))
     for _ in range(n_init):
-        centres = _seeds(z, k, rng)
+        centres = _seeds(z, k, rng, norms)
         labels, history = None, []
         for step in range(rounds):
-            d = squared_distances(z, centres)
+            d = np.maximum(norms[:, None] + (centres**2).sum(1) - 2 * (z @ centres.T), 0)
             new = d.argmin(1)
             for c in range(k):
                 if not (new == c).any():
                     far = int(d[np.arange(len(z)), new].argmax())
                     new[far] = c
                     d[far] = 0
-            centres = np.stack([z[new == c].mean(0) for c in range(k)])
+            one[:] = 0
+            one[np.arange(len(z)), new] = 1
+            sums, sizes = one.T @ z, one.sum(0)
+            centres = sums / sizes[:, None]
             if metric == "cosine":
                 for part in (slice(None, split), slice(split, None)):
                     norm = np.linalg.norm(centres[:, part], axis=1, keepdims=True)
                     scale = math.sqrt(rho if part.stop == split else xi)
                     centres[:, part] = np.where(norm > 1e-12, centres[:, part] / np.maximum(norm, 1e-12) * scale, centres[:, part])
-            history.append(float(((z - centres[new]) ** 2).sum()))
+            history.append(float(max(norms.sum() - 2 * (sums * centres).sum() + (sizes * (centres**2).sum(1)).sum(), 0)))
             same = labels is not None and (new == labels).all()
             labels = new
             if same or len(history) > 1 and history[-2] - history[-1] <= tol * max(history[-2], 1e-300):
@@ -580,6 +600,74 @@ METHODS: dict[str, Callable[[Array, Array, int, np.random.Generator], Array]] =
 }
 
 
+def silhouette(x: Array, labels: Array, block: int = 1024) -> float:
+    """Mean silhouette, exact, Euclidean; 0 for a cluster of one."""
+    ids, which, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    one = np.zeros((len(x), len(ids)))
+    one[np.arange(len(x)), which] = 1
+    out = np.zeros(len(x))
+    x = x - x.mean(0)
+    for s in range(0, len(x), block):
+        part = which[s : s + block]
+        row = np.arange(len(part))
+        total = np.sqrt(squared_distances(x[s : s + block], x)) @ one
+        own = sizes[part]
+        a = total[row, part] / np.maximum(own - 1, 1)
+        other = total / sizes
+        other[row, part] = np.inf
+        b = other.min(1)
+        top = np.maximum(a, b)
+        out[s : s + block] = np.where((own > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0)
+    return float(out.mean())
+
+
+def feature_metrics(x: Array, labels: Array) -> dict[str, float | None]:
+    """SW, CH, CH_n, DBI and S_Dbw of one partition; None unless it has more than one cluster and fewer than points."""
+    ids, which, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    k, n = len(ids), len(x)
+    if k < 2 or k >= n:
+        return dict.fromkeys(("SW", "CH", "CH_n", "DBI", "S_Dbw"))
+    centres = np.stack([x[which == c].mean(0) for c in range(k)])
+    off = x - centres[which]
+    far = np.sqrt((off**2).sum(1))
+    inside = (off**2).sum()
+    between = (sizes[:, None] * (centres - x.mean(0)) ** 2).sum()
+    ch = (between / (k - 1)) / (inside / (n - k)) if inside > 0 else None
+    apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(-1))
+    spread = np.array([far[which == c].mean() for c in range(k)])
+    np.fill_diagonal(apart, np.inf)
+    dbi = float(((spread[:, None] + spread) / np.where(apart > 0, apart, np.nan)).max(1).mean())
+    lengths = np.array([np.linalg.norm(x[which == c].var(0)) for c in range(k)])
+    radius = math.sqrt(lengths.sum()) / k
+    within = lambda c, u: int((np.sqrt(((x[which == c] - u) ** 2).sum(1)) <= radius).sum())
+    dense = 0.0
+    for a in range(k):
+        for b in range(a):
+            middle, at_a, at_b = (within(a, u) + within(b, u) for u in ((centres[a] + centres[b]) / 2, centres[a], centres[b]))
+            dense += middle / max(at_a, at_b) if max(at_a, at_b) else 0.0
+    scatter = float(lengths.mean() / np.linalg.norm(x.var(0)))
+    out = {"SW": silhouette(x, labels), "CH": ch, "CH_n": None if ch is None else ch / n, "DBI": dbi, "S_Dbw": scatter + 2 * dense / (k * (k - 1))}
+    return {m: None if v is None or not math.isfinite(v) else float(v) for m, v in out.items()}
+
+
+def graph_metrics(i: Array, j: Array, w: Array, labels: Array) -> dict[str, float]:
+    """AVI, AVU, ANUI and Q of one partition; i and j are places in ``labels``."""
+    ids, which = np.unique(labels, return_inverse=True)
+    k = len(ids)
+    s = np.bincount(which[i] * k + which[j], w, k * k).reshape(k, k)
+    s = s + s.T
+    inner, row = np.diag(s), s.sum(1)
+    out = row - inner
+    m2 = row.sum()
+    safe = lambda a, b: np.where(b > 0, a / np.where(b > 0, b, 1), 0.0)
+    avi = float(safe(inner, row).mean())
+    low = out[:, None] + out - s
+    pairs = safe(s, low)
+    avu = float((pairs.sum() - np.trace(pairs)) / k) if k > 1 else 0.0
+    q = float((inner / m2 - (row / m2) ** 2).sum()) if m2 > 0 else 0.0
+    return {"AVI": avi, "AVU": avu, "ANUI": 1 / (avu + 1 / avi) if avi > 0 else 0.0, "Q": q}
+
+
 def adjusted_rand(a: Array, b: Array) -> float:
     """Agreement of two partitions, corrected for chance."""
     _, x = np.unique(a, return_inverse=True)

@@ -294,13 +294,17 @@ def align_sequence(labels: DataFrame) -> DataFrame:
     sizes = labels.groupBy("period", "label").agg(F.count(F.lit(1)).alias("n")).collect()
     spark = labels.sparkSession
     periods = sorted({r.period for r in sizes})
-    own = {p: sorted((r.label, r.n) for r in sizes if r.period == p) for p in periods}
+    own, met = ({p: [] for p in periods} for _ in range(2))
+    for r in sizes:
+        own[r.period].append((r.label, r.n))
+    for r in counts:
+        met[r.period].append(r)
     if not periods:
         return labels
     names = {periods[0]: {label: label for label, _ in own[periods[0]]}}
     fresh = max((label for label, _ in own[periods[0]]), default=-1) + 1
     for before, now in zip(periods, periods[1:], strict=False):
-        table = [(names[before][r.label], r.later, r.n) for r in counts if r.period == before] if now == before + 1 else []
+        table = [(names[before][r.label], r.later, r.n) for r in met[before]] if now == before + 1 else []
         found = alignment(table, fresh)
         for label, _ in sorted(own[now], key=lambda x: (-x[1], x[0])):
             if label not in found:
@@ -328,6 +332,11 @@ def flows(labels: DataFrame, first: int, last: int) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("from_label")))
 
 
+def first_events(events: DataFrame, n: int = 200, order: Sequence[str] = ("period", "entity")) -> DataFrame:
+    """The first n events in an order that leaves no ties open."""
+    return events.orderBy(*order, *[c for c in events.columns if c not in order]).limit(n)
+
+
 def event_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Recall, precision and recall at the exact period of events (entity, to_label, period)."""
     key = ["entity", "to_label"]

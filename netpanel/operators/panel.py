@@ -147,3 +147,8 @@ def median_change(df: DataFrame, value: str, by: str = "category") -> DataFrame:
     medians = df.groupBy(by, "period").agg(F.median(value).alias("middle"))
     before = F.lag("middle").over(Window.partitionBy(by).orderBy("period"))
     return medians.select(by, "period", "middle", F.when(before != 0, F.col("middle") / before - 1).alias("change"))
+
+
+def of_period(df: DataFrame, prefix: str | None, column: str = "month") -> DataFrame:
+    """Rows whose period's name begins with the prefix (a year, a month); all rows without one."""
+    return df.filter(F.col(column).cast("string").startswith(prefix)) if prefix else df

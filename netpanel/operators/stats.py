@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from netpanel.functions.scalars import chi2_survival
 from netpanel.operators import graphs, indices, kernels
+from netpanel.session import kept
 
 PANEL = ("SW", "CH", "S_Dbw", "AVI", "AVU", "ANUI", "Q")
 
@@ -75,6 +76,40 @@ def compared_to_null(observed: DataFrame, null: DataFrame, metrics: Sequence[str
     return stats.select("metric", "observed", "mean", "sd", z.alias("z"), ((F.col("_as_good") + 1) / (F.col("n") + 1)).alias("p"))
 
 
+def panel_null(points: DataFrame, edges: DataFrame, labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """period, metric, observed, mean, sd, z, p: the indices of PANEL for each period's partition, against its labels dealt anew n times.
+
+    ``points`` (period, entity, x), ``edges`` (period, i, j, w), ``labels`` (period, entity, label); a task has one period. z is oriented: more is
+    better than chance; NULL where an index is undefined or its null has no spread. p is one-sided, by the +1 rule.
+    """
+    rows = points.select("period", "entity", "x").join(labels.select("period", "entity", "label"), ["period", "entity"])
+
+    def compare(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(nodes):
+            nodes = nodes.sort_values("entity")
+            period, ids, own = int(nodes["period"].iloc[0]), nodes["entity"].to_numpy(), nodes["label"].to_numpy()
+            x = np.array(nodes["x"].tolist(), float)
+            links = links[links["i"].isin(ids) & links["j"].isin(ids)]
+            i, j, w = np.searchsorted(ids, links["i"].to_numpy()), np.searchsorted(ids, links["j"].to_numpy()), links["w"].to_numpy()
+            measure = lambda a: kernels.feature_metrics(x, a) | kernels.graph_metrics(i, j, w, a)
+            seen = measure(own)
+            null = [measure(np.random.default_rng([seed, period, rep]).permutation(own)) for rep in range(n)]
+            for m in PANEL:
+                drawn = np.array([v[m] for v in null], float)
+                if seen[m] is None or np.isnan(drawn).any():
+                    out.append((period, m, seen[m], None, None, None, None))
+                    continue
+                sign, sd = indices.DIRECTION[m], float(drawn.std(ddof=1)) if n > 1 else 0.0
+                z = sign * (seen[m] - drawn.mean()) / sd if sd > 0 else None
+                out.append((period, m, seen[m], float(drawn.mean()), sd, z, (float((sign * drawn >= sign * seen[m]).sum()) + 1) / (n + 1)))
+        return pd.DataFrame(out, columns=["period", "metric", "observed", "mean", "sd", "z", "p"]).astype({c: "float64" for c in ("observed", "mean", "sd", "z", "p")})
+
+    right = edges.select(*[F.col(c).alias(c) for c in ("period", "i", "j", "w")])
+    found = rows.groupBy("period").cogroup(right.groupBy("period")).applyInPandas(compare, "period long, metric string, observed double, mean double, sd double, z double, p double")
+    return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("observed", "mean", "sd", "z", "p")})
+
+
 def configuration_null(edges: DataFrame, labels: DataFrame, n: int, metrics: Sequence[str] = ("AVI", "AVU", "ANUI", "Q"), seed: int = 0, swaps: int = 10) -> DataFrame:
     """As ``permutation_null``, against graphs of the same degrees: a task rewires one replicate."""
 
@@ -202,20 +237,44 @@ def cramers_v(df: DataFrame, category: str, label: str) -> DataFrame:
     return stats.select(F.col("n").cast("long").alias("n"), F.when(fine, F.col("chi2")).alias("chi2"), F.when(fine, F.sqrt(F.col("plain") / F.col("n") / small)).alias("V"), F.when(fine, _survival(F.col("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).cast("double"))).alias("p"))
 
 
-def stability(points: DataFrame, run, k: int, n: int = 10, share: float = 0.8, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """Pairs of subsamples: agreement of their partitions on common entities, by group (columns ``by``: long).
+def stability(points: DataFrame, edges: DataFrame | None, run, k: int, n: int = 10, share: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Pairs of subsamples (period, a, b, ari): agreement of their partitions on common entities. And (period, rep, label, jaccard): how well each
+    cluster of the whole period comes back in each subsample, 0 if it has no entity there.
 
-    ``run(x, k, rng) -> labels`` clusters a subsample; a task has one replicate of a group.
+    ``run(x, a, k, rng) -> labels`` clusters the points and the graph among them; without ``edges`` the graph has none. A task has one period.
     """
-    by = list(by)
-    chosen = replicates(points.select(*by, "entity", "x"), n).filter(mixed(F.col("entity"), F.col("rep"), seed) < F.lit(int(share * 2147483648)))
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("entity")
-        rep = int(rows["rep"].iloc[0])
-        found = run(np.array(rows["x"].tolist(), float), k, np.random.default_rng([seed, rep]))
-        return pd.DataFrame({**{c: rows[c].to_numpy() for c in by}, "rep": rep, "entity": rows["entity"].to_numpy(), "label": np.asarray(found, "int32")})
-
-    done = chosen.groupBy(*by, "rep").applyInPandas(cluster, "".join(f"{c} long, " for c in by) + "rep long, entity long, label int")
-    a, b = done.select(*by, F.col("rep").alias("a"), "entity", F.col("label").alias("la")), done.select(*by, F.col("rep").alias("b"), "entity", F.col("label").alias("lb"))
-    return indices.adjusted_rand(a.join(b, [*by, "entity"]).filter("a < b"), "la", "lb", [*by, "a", "b"])
+    from netpanel.operators.clustering import _adjacency
+
+    def cluster(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if not len(nodes):
+            return pd.DataFrame({c: [] for c in ("period", "rep", "entity", "label")}).astype({"period": "int64", "rep": "int64", "entity": "int64", "label": "int32"})
+        nodes = nodes.sort_values("entity")
+        period, ids, x = int(nodes["period"].iloc[0]), nodes["entity"].to_numpy(), np.array(nodes["x"].tolist(), float)
+        a, out = _adjacency(ids, links), []
+        for rep in range(-1, n):  # -1: all of them
+            rng = np.random.default_rng([seed, period, rep + 1])
+            chosen = np.arange(len(ids)) if rep < 0 else np.sort(rng.choice(len(ids), max(min(k, len(ids)), int(share * len(ids))), replace=False))
+            out.append(pd.DataFrame({"period": period, "rep": rep, "entity": ids[chosen], "label": np.asarray(run(x[chosen], a[np.ix_(chosen, chosen)], k, rng), "int32")}))
+        return pd.concat(out)
+
+    rows = points.select("period", "entity", "x")
+    links = edges.select(*[F.col(c).alias(c) for c in ("period", "i", "j", "w")]) if edges is not None else rows.limit(0).select("period", F.col("entity").alias("i"), F.col("entity").alias("j"), F.lit(1.0).alias("w"))
+    done = kept(rows.groupBy("period").cogroup(links.groupBy("period")).applyInPandas(cluster, "period long, rep long, entity long, label int"))
+    part, whole = done.filter("rep >= 0"), done.filter("rep < 0").drop("rep")
+    a, b = part.select("period", F.col("rep").alias("a"), "entity", F.col("label").alias("la")), part.select("period", F.col("rep").alias("b"), "entity", F.col("label").alias("lb"))
+    pairs = indices.adjusted_rand(a.join(b, ["period", "entity"]).filter("a < b"), "la", "lb", ["period", "a", "b"])
+    met = part.select("period", "rep", "entity", F.col("label").alias("sub")).join(whole, ["period", "entity"])
+    cells = met.groupBy("period", "rep", "label", "sub").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda *c: Window.partitionBy("period", "rep", *c)
+    jaccard = F.col("n") / (F.sum("n").over(of("label")) + F.sum("n").over(of("sub")) - F.col("n"))
+    best = cells.withColumn("jaccard", jaccard).groupBy("period", "rep", "label").agg(F.max("jaccard").alias("jaccard"))
+    every = whole.select("period", "label").distinct().join(part.select("period", "rep").distinct(), "period")
+    return pairs, every.join(best, ["period", "rep", "label"], "left").fillna(0.0, ["jaccard"])
+
+
+def stability_summary(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """period, ari_median, ari_iqr, jaccard_mean, jaccard_worst: the last is the mean of the cluster that comes back worst."""
+    q = F.percentile("ari", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    first = pairs.groupBy("period").agg(q.alias("q")).select("period", F.col("q")[1].alias("ari_median"), (F.col("q")[2] - F.col("q")[0]).alias("ari_iqr"))
+    each = clusters.groupBy("period", "label").agg(F.avg("jaccard").alias("j"))
+    return first.join(each.groupBy("period").agg(F.avg("j").alias("jaccard_mean"), F.min("j").alias("jaccard_worst")), "period")

@@ -1,4 +1,4 @@
-"""Queries on clusterings and their behaviour over time; tested by planted partitions, as SQL can't express the kernels."""
+"""Queries on clusterings and their behaviour over time: the kernels are tested by planted partitions, as SQL can't express them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from netpanel.config import Config
 from netpanel.operators import clustering, graphs, indices, panel, stats, vectors
 from netpanel.operators import kernels as dense
-from netpanel.plans.label_queries import types
-from netpanel.plans.panel_queries import CLR, TOTAL, rounded, wide, zscores
+from netpanel.plans.label_queries import LABELS_SQL, types
+from netpanel.plans.panel_queries import CLR, TOTAL, Z_SQL, rounded, wide, zscores
+from netpanel.session import kept
 from netpanel.sources import tables
 
 CONFIG = Config()
@@ -16,23 +17,23 @@ CONFIG = Config()
 
 def _points(spark, sf_dir):
     rows = zscores(spark, sf_dir)
-    return vectors.complete(rows.select("period", "entity", F.array(*CLR).alias("x"))).persist()
+    return kept(vectors.complete(rows.select("period", "entity", F.array(*CLR).alias("x"))))
 
 
 def _edges(points):
-    return graphs.behaviour_layer(points, 6, 4, mutual=True, by=["period"]).persist()
+    return kept(graphs.behaviour_layer(points, 6, 4, mutual=True, by=["period"]))
 
 
 def cluster_grid(spark, sf_dir):
     points = _points(spark, sf_dir)
     found = clustering.grid(points, _edges(points), ["kmeans", "ward", "spectral", "leiden", "kefrin", "kefrin_balanced"], CONFIG.methods.k_grid)
-    return found.groupBy("period", "method", "k").agg(F.countDistinct("label").alias("clusters"), F.count(F.lit(1)).alias("n"))
+    return found.drop("seconds")
 
 
 def grid_metrics(spark, sf_dir):
     points = _points(spark, sf_dir)
     edges = _edges(points)
-    found = clustering.grid(points, edges, ["kmeans", "kefrin"], CONFIG.methods.k_grid).withColumnRenamed("k", "asked").persist()
+    found = kept(clustering.grid(points, edges, ["kmeans", "kefrin"], CONFIG.methods.k_grid).withColumnRenamed("k", "asked"))
     key = ["period", "method", "asked"]  # the indices have a k of their own
     every = edges.select("period", "i", "j", "w").join(F.broadcast(found.select(key).distinct()), "period")  # a row for each method and k
     return rounded(indices.graph_indices(every, found.select(*key, "entity", "label"), key))
@@ -56,27 +57,32 @@ def fused_layer(spark, sf_dir):
 
 def temporal_clusters(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return clustering.temporal(_edges(points), points.select("period", "entity"), 4).groupBy("period", "label").agg(F.count(F.lit(1)).alias("n"))
+    return clustering.temporal(_edges(points), points.select("period", "entity"), 4)
 
 
 def subsample_stability(spark, sf_dir):
+    """Agreement of all pairs of subsamples of each quarter, and how well its clusters come back in them."""
+    points = _points(spark, sf_dir)
     n_init = CONFIG.methods.n_init
-    return rounded(stats.stability(_points(spark, sf_dir), lambda x, k, rng: dense.kmeans(x, k, rng, n_init), 4, by=["period"]))
+    pairs, clusters = stats.stability(points, _edges(points), lambda x, a, k, rng: dense.kmeans(x, k, rng, n_init), 4)
+    return rounded(stats.stability_summary(pairs, clusters))
 
 
 def bootstrap_confidence(spark, sf_dir):
+    """By quarter: how sure the types of suppliers are under resampling, for a clustering that uses features and graph."""
     points = _points(spark, sf_dir)
-    labels = clustering.grid(points, _edges(points), ["kmeans"], [4]).select("period", "entity", "label").persist()
-    found = clustering.bootstrap_membership(points, labels, "kmeans", CONFIG.dynamics.bootstrap)
-    return rounded(clustering.confidence_summary(found))
+    edges = _edges(points)
+    labels = kept(clustering.grid(points, edges, ["kefrin_balanced"], [4]).select("period", "entity", "label"))
+    found = clustering.bootstrap_membership(points, edges, labels, "kefrin_balanced", CONFIG.dynamics.bootstrap, CONFIG.dynamics.bootstrap_share)
+    return rounded(clustering.confidence_summary(clustering.confidence(found), CONFIG.dynamics.confidence))
 
 
 def layer_ablation(spark, sf_dir):
     points = _points(spark, sf_dir)
     edges = _edges(points)
-    thin = graphs.behaviour_layer(points, 3, 3, mutual=False, by=["period"])
+    thin = kept(graphs.behaviour_layer(points, 3, 3, mutual=False, by=["period"]))
     parts = [clustering.grid(points, e, ["leiden", "spectral"], [4]).select(F.lit(name).alias("layer"), "method", "period", "entity", "label") for name, e in (("wide", edges), ("thin", thin))]
-    return rounded(clustering.layer_ablation(parts[0].unionByName(parts[1])))
+    return rounded(clustering.layer_ablation(kept(parts[0].unionByName(parts[1]))))
 
 
 def _embedded(spark, sf_dir):
@@ -84,13 +90,31 @@ def _embedded(spark, sf_dir):
     return points, types(spark, sf_dir)
 
 
+#: The first half of all quarters, and the rest.
+TRAIN, TEST = (7981, 7994), (7995, 8008)
+
+
 def out_of_time(spark, sf_dir):
-    return rounded(clustering.out_of_time(*_embedded(spark, sf_dir), (7985, 7988), (7989, 7992)))
+    return rounded(clustering.out_of_time(*_embedded(spark, sf_dir), TRAIN, TEST))
 
 
 def classified_online(spark, sf_dir):
-    rows = clustering.classified_online(*_embedded(spark, sf_dir), (7985, 7988), (7989, 7992))
-    return rows.groupBy("period", "label").agg(F.count(F.lit(1)).alias("n"))
+    return clustering.classified_online(*_embedded(spark, sf_dir), TRAIN, TEST)
+
+
+def metric_panel(spark, sf_dir):
+    """Every index of every quarter's types, as long rows: silhouette, Calinski-Harabasz, Davies-Bouldin, S_Dbw."""
+    points, labels = _embedded(spark, sf_dir)
+    found = labels.select(F.lit("flag").alias("method"), F.lit(3).alias("k"), "period", "entity", "label")
+    return rounded(indices.feature_panel(points, found))
+
+
+def panel_null(spark, sf_dir):
+    """All indices of the types of each quarter against labels dealt at random: z-scores by index."""
+    points = _points(spark, sf_dir)
+    edges = _edges(points)
+    labels = types(spark, sf_dir).join(points.select("period", "entity"), ["period", "entity"], "left_semi")
+    return rounded(stats.panel_null(points, edges, labels, CONFIG.compare.permutations))
 
 
 def outside_panel(spark, sf_dir):
@@ -100,13 +124,13 @@ def outside_panel(spark, sf_dir):
 
 
 def kmeans_scaled(spark, sf_dir):
-    """Spark's own k-means, for points that no task can hold: the sizes of the clusters of least cost over seeds."""
+    """Spark's own k-means, for points that no task can hold: the clusters of least cost over seeds."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = tables.embedding_space(spark, sf_dir).withColumn("features", array_to_vector("x"))
     best = min((KMeans(k=6, seed=s, maxIter=20).fit(rows) for s in (1, 2, 3)), key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).groupBy(F.col("prediction").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return best.transform(rows).select("entity", F.col("prediction").alias("cluster"))
 
 
 def type_centres(spark, sf_dir):
@@ -117,4 +141,50 @@ def type_centres(spark, sf_dir):
 
 
 
-QUERIES = {f.__name__: (f, None) for f in (cluster_grid, grid_metrics, comovement_layer, comovement_shrinkage, fused_layer, temporal_clusters, subsample_stability, bootstrap_confidence, layer_ablation, out_of_time, classified_online, outside_panel, kmeans_scaled, type_centres)}
+ROWS_SQL = Z_SQL + f""", {LABELS_SQL},
+pts AS (SELECT z.period AS period, z.entity AS entity, [{", ".join(f'"{c}"' for c in CLR)}] AS x FROM z WHERE entity IN (SELECT entity FROM full_history) AND {" AND ".join(f'"{c}" IS NOT NULL' for c in CLR)}),
+rows AS (SELECT p.period AS period, p.entity AS entity, label, x FROM pts p JOIN labels l ON l.period = p.period AND l.entity = p.entity),
+dims AS (SELECT period, label, entity, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM rows)"""
+CENTRES_SQL = ROWS_SQL + """,
+means AS (SELECT period, label, d, avg(v) AS v, count(*) AS n FROM dims GROUP BY 1, 2, 3),
+centres AS (SELECT period, label, any_value(n) AS n, list(v ORDER BY d) AS c FROM means GROUP BY 1, 2)"""
+#: Every row of the test quarters with the centres of the train quarters, nearest first.
+ONLINE_SQL = ROWS_SQL + f""",
+tm AS (SELECT label, d, avg(v) AS v FROM dims WHERE period BETWEEN {TRAIN[0]} AND {TRAIN[1]} GROUP BY 1, 2), tc AS (SELECT label, list(v ORDER BY d) AS c FROM tm GROUP BY 1),
+met AS (SELECT period, entity, r.label AS label, tc.label AS cl, list_distance(x, c) AS dist, row_number() OVER (PARTITION BY period, entity ORDER BY list_distance(x, c), tc.label) AS place FROM rows r CROSS JOIN tc WHERE period BETWEEN {TEST[0]} AND {TEST[1]}),
+classed AS (SELECT period, entity, label, max(CASE WHEN place = 1 THEN cl END) AS nearest, max(CASE WHEN place = 1 THEN dist END) AS d1, max(CASE WHEN place = 2 THEN dist END) AS d2 FROM met GROUP BY 1, 2, 3)"""
+
+SQL = {
+    "type_centres": f"""WITH {ROWS_SQL} SELECT label, count(*) AS n, CAST(d - 1 AS INTEGER) AS dim, round(avg(v), 6) + 0.0 AS value FROM dims GROUP BY 1, 3""",
+    "classified_online": f"""WITH {ONLINE_SQL} SELECT period, entity, label FROM rows WHERE period BETWEEN {TRAIN[0]} AND {TRAIN[1]} UNION ALL SELECT period, entity, nearest FROM classed""",
+    "out_of_time": f"""WITH {ONLINE_SQL}, c AS (SELECT period, label AS a, nearest AS b, CAST(count(*) AS DOUBLE) AS n FROM classed GROUP BY 1, 2, 3), s AS (SELECT period, sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM c GROUP BY 1),
+        ra AS (SELECT period, sum(n * (n - 1) / 2) AS s FROM (SELECT period, a, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY 1), rb AS (SELECT period, sum(n * (n - 1) / 2) AS s FROM (SELECT period, b, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
+        r AS (SELECT s.period AS period, s.s AS together, ra.s * rb.s / (t * (t - 1) / 2) AS e, (ra.s + rb.s) / 2 AS most FROM s JOIN ra ON ra.period = s.period JOIN rb ON rb.period = s.period),
+        g AS (SELECT period, avg(CASE WHEN nearest = label THEN 1.0 ELSE 0.0 END) AS agreement, avg(CASE WHEN d2 IS NULL THEN 1.0 WHEN d1 > 0 THEN least(1.0, (d2 - d1) / d1) WHEN d2 > 0 THEN 1.0 ELSE 0.0 END) AS margin FROM classed GROUP BY 1)
+        SELECT r.period AS period, round(CASE WHEN most = e THEN 1.0 ELSE (together - e) / (most - e) END, 6) + 0.0 AS ari, round(agreement, 6) + 0.0 AS agreement, round(margin, 6) + 0.0 AS margin FROM r JOIN g ON g.period = r.period""",
+    "outside_panel": f"""WITH {ROWS_SQL}, om AS (SELECT period, label, d, avg(v) AS v FROM dims WHERE entity % 10 <> 0 GROUP BY 1, 2, 3), oc AS (SELECT period, label, list(v ORDER BY d) AS c FROM om GROUP BY 1, 2),
+        met AS (SELECT p.period AS period, entity, label, list_distance(x, c) AS dist, row_number() OVER (PARTITION BY p.period, entity ORDER BY list_distance(x, c), label) AS place FROM pts p JOIN oc ON oc.period = p.period WHERE entity % 10 = 0),
+        q AS (SELECT period, entity, max(CASE WHEN place = 1 THEN label END) AS nearest, max(CASE WHEN place = 1 THEN dist END) AS d1, max(CASE WHEN place = 2 THEN dist END) AS d2 FROM met GROUP BY 1, 2)
+        SELECT period, entity, nearest, round(CASE WHEN d2 IS NULL THEN 1.0 WHEN d1 > 0 THEN least(1.0, (d2 - d1) / d1) WHEN d2 > 0 THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS margin FROM q""",
+    "metric_panel": f"""WITH {CENTRES_SQL}, own AS (SELECT r.period AS period, entity, r.label AS label, x, c, list_distance(x, c) AS e FROM rows r JOIN centres c ON c.period = r.period AND c.label = r.label),
+        size AS (SELECT period, count(*) AS n, count(DISTINCT label) AS k FROM rows GROUP BY 1),
+        gm AS (SELECT period, d, avg(v) AS v, var_pop(v) AS vv FROM dims GROUP BY 1, 2), w AS (SELECT period, sum(e * e) AS w FROM own GROUP BY 1),
+        b AS (SELECT m.period AS period, sum(m.n * (m.v - g.v) * (m.v - g.v)) AS b FROM means m JOIN gm g ON g.period = m.period AND g.d = m.d GROUP BY 1),
+        ch AS (SELECT w.period AS period, (b / (k - 1)) / (w / (n - k)) AS v, n FROM w JOIN b ON b.period = w.period JOIN size s ON s.period = w.period WHERE k > 1 AND n > k AND w > 0),
+        sp AS (SELECT period, label, avg(e) AS s FROM own GROUP BY 1, 2), cs AS (SELECT c.period AS period, c.label AS label, c, s FROM centres c JOIN sp ON sp.period = c.period AND sp.label = c.label),
+        db AS (SELECT period, avg(q) AS v FROM (SELECT a.period AS period, a.label AS l, max((a.s + b.s) / list_distance(a.c, b.c)) AS q FROM cs a JOIN cs b ON a.period = b.period AND a.label <> b.label GROUP BY 1, 2) GROUP BY 1),
+        near AS (SELECT a.period AS period, a.entity AS entity, a.label AS label, b.label AS other, sum(list_distance(a.x, b.x)) / count(*) AS d FROM rows a JOIN rows b ON a.period = b.period AND a.entity <> b.entity GROUP BY 1, 2, 3, 4),
+        sq AS (SELECT period, entity, max(CASE WHEN other = label THEN d END) AS a, min(CASE WHEN other <> label THEN d END) AS b FROM near GROUP BY 1, 2),
+        sw AS (SELECT period, avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS v FROM sq GROUP BY 1),
+        lv AS (SELECT period, label, sqrt(sum(vv * vv)) AS s FROM (SELECT period, label, d, var_pop(v) AS vv FROM dims GROUP BY 1, 2, 3) GROUP BY 1, 2), av AS (SELECT period, sqrt(sum(vv * vv)) AS s FROM gm GROUP BY 1),
+        sc AS (SELECT lv.period AS period, count(*) AS k, avg(lv.s) / max(av.s) AS scatter, sqrt(sum(lv.s)) / count(*) AS radius FROM lv JOIN av ON av.period = lv.period GROUP BY 1),
+        mids AS (SELECT a.period AS period, a.label AS a, b.label AS b, list((a.v + b.v) / 2 ORDER BY a.d) AS m FROM means a JOIN means b ON a.period = b.period AND a.d = b.d AND a.label < b.label GROUP BY 1, 2, 3),
+        t AS (SELECT mids.period AS period, a, b, sum(CASE WHEN list_distance(x, m) <= radius THEN 1 ELSE 0 END) AS dm, sum(CASE WHEN list_distance(x, ca.c) <= radius THEN 1 ELSE 0 END) AS da, sum(CASE WHEN list_distance(x, cb.c) <= radius THEN 1 ELSE 0 END) AS db
+              FROM mids JOIN rows p ON p.period = mids.period AND (p.label = a OR p.label = b) JOIN centres ca ON ca.period = mids.period AND ca.label = a JOIN centres cb ON cb.period = mids.period AND cb.label = b JOIN sc ON sc.period = mids.period GROUP BY 1, 2, 3),
+        f AS (SELECT period, sum(CASE WHEN greatest(da, db) > 0 THEN dm / CAST(greatest(da, db) AS DOUBLE) ELSE 0.0 END) AS f FROM t GROUP BY 1),
+        m AS (SELECT period, 'CH' AS metric, v AS value FROM ch UNION ALL SELECT period, 'CH_n', v / n FROM ch UNION ALL SELECT period, 'DBI', v FROM db UNION ALL SELECT period, 'SW', v FROM sw
+              UNION ALL SELECT sc.period, 'S_Dbw', scatter + CASE WHEN k > 1 THEN f * 2 / (k * (k - 1)) ELSE 0.0 END FROM sc JOIN f ON f.period = sc.period)
+        SELECT 'flag' AS method, 3 AS k, s.period AS period, q.metric AS metric, CASE WHEN k > 1 AND k < n THEN round(value, 6) + 0.0 END AS value FROM size s CROSS JOIN (VALUES ('SW'), ('CH'), ('CH_n'), ('DBI'), ('S_Dbw')) q(metric) LEFT JOIN m ON m.period = s.period AND m.metric = q.metric""",
+}
+
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (cluster_grid, grid_metrics, metric_panel, panel_null, comovement_layer, comovement_shrinkage, fused_layer, temporal_clusters, subsample_stability, bootstrap_confidence, layer_ablation, out_of_time, classified_online, outside_panel, kmeans_scaled, type_centres)}

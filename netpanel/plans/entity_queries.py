@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netpanel.operators import entities, external
+from netpanel.operators import entities, external, panel
 from netpanel.plans.panel_queries import rounded
 from netpanel.sources import tables
 
@@ -114,7 +114,24 @@ def section_outer(spark, sf_dir):
 
 _HAV = "2 * 6371.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))))"
 
+def assembled(spark, sf_dir):
+    """Customers and suppliers of each nation, whichever there are; the nation's name from the first that has it."""
+    nation = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), "n_name")
+    side = lambda t, c, n, odd: tables.table(spark, sf_dir, t).filter(f"{c} % 5 <> {odd}").groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias(n)).join(nation, "key")
+    people, firms = side("customer", "c_nationkey", "customers", 1), side("supplier", "s_nationkey", "suppliers", 2)
+    return external.assembled(people, firms, ["n_name"], "key")
+
+
+def year_events(spark, sf_dir):
+    """Orders of the months of one year, by the beginning of the month's name."""
+    rows = tables.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
+    return rounded(panel.of_period(rows, "1996").groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2)
+
+
 QUERIES = {
+    "assembled": (assembled, """WITH p AS (SELECT c_nationkey AS key, count(*) AS customers FROM customer WHERE c_nationkey % 5 <> 1 GROUP BY 1), f AS (SELECT s_nationkey AS key, count(*) AS suppliers FROM supplier WHERE s_nationkey % 5 <> 2 GROUP BY 1)
+        SELECT coalesce(p.key, f.key) AS key, customers, suppliers, n_name FROM p FULL JOIN f ON p.key = f.key JOIN nation ON n_nationkey = coalesce(p.key, f.key)"""),
+    "year_events": (year_events, """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1"""),
     "asof_version": (asof_version, f"""WITH v(entity, year_from, year_to, name) AS (VALUES {VERSIONS}),
         f AS (SELECT *, year_from <= 2021 AND 2021 < year_to AS is_current FROM v),
         r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY CASE WHEN is_current THEN 0 ELSE 1 END, year_to DESC, year_from DESC) AS n FROM f)

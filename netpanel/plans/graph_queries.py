@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netpanel.operators import graphs, indices, vectors
 from netpanel.plans.label_queries import LABELS_SQL, types
 from netpanel.plans.panel_queries import rounded
+from netpanel.session import kept
 from netpanel.sources import tables
 
 K = 5
@@ -55,7 +56,7 @@ def distances(spark, sf_dir):
 
 
 def graph(spark, sf_dir):
-    return graphs.behaviour_layer(points(spark, sf_dir), K, K + 2, mutual=True).persist()  # several measures read it
+    return kept(graphs.behaviour_layer(points(spark, sf_dir), K, K + 2, mutual=True))  # several measures read it
 
 
 def knn_graph(spark, sf_dir):

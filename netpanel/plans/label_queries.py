@@ -145,7 +145,13 @@ def label_contingency(spark, sf_dir):
 
 _SURE2 = SURE_SQL.replace("length >= 3", "length >= 2")
 
+def first_events(spark, sf_dir):
+    """The first 200 changes, confirmed or not, as a page lists them."""
+    return lab.first_events(lab.confirmed_changes(types(spark, sf_dir)).select("entity", "period", "kind", "from_label", "to_label"), 200)
+
+
 QUERIES = {
+    "first_events": (first_events, f"WITH {SURE_SQL} SELECT entity, period, kind, from_label, to_label FROM changes ORDER BY period, entity, kind, from_label, to_label LIMIT 200"),
     "run_lengths": (run_lengths, f"WITH {RUNS_SQL} SELECT entity, label, start, length, last FROM runs"),
     "event_runs": (event_runs, f"""WITH {EVENT_DAYS_SQL}, codes AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT label FROM days)),
         l AS (SELECT entity, period, code AS label FROM days JOIN codes USING (label)),

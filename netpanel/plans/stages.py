@@ -11,11 +11,12 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netpanel.config import Config
 from netpanel.operators import clustering, graphs, indices, interpret, labels, panel, stats, vectors
+from netpanel.session import kept
 
 
 @dataclass
@@ -51,7 +52,7 @@ def build_layers(features: FeatureSet, distances: DataFrame | None, config: Conf
         known = distances.withColumn("km", F.when(F.col("km") > 0, F.col("km")).otherwise(config.features.zero_distance_km))
         far = graphs.gravity_layer(known, g.k, g.gravity_scale_km).crossJoin(F.broadcast(periods))  # the calendar
         parts.append(far.withColumn("layer", F.lit("gravity")).select(pick))
-    layers = reduce(lambda a, b: a.unionByName(b), parts).persist()
+    layers = kept(reduce(lambda a, b: a.unionByName(b), parts))
     fused = clustering.fused_layer(layers, g.k, g.fusion_rounds, g.fusion_alpha).withColumn("layer", F.lit("fused"))
     return layers.unionByName(fused.select(pick))
 
@@ -63,13 +64,14 @@ def cluster(features: FeatureSet, layers: DataFrame, methods: Sequence[str], con
 
 
 def evaluate(features: FeatureSet, edges: DataFrame, found: DataFrame) -> DataFrame:
-    """method, k, period, metric, value of the network's indices for every partition, in one aggregation."""
+    """method, k, period, metric, value of all indices for every partition: of the network in one aggregation, of the features period by period."""
     key = ["method", "asked", "period"]  # the indices have a k of their own: the clusters found
     found = found.withColumnRenamed("k", "asked")
     runs = found.select(key).distinct()
     every = edges.select("period", "i", "j", "w").join(F.broadcast(runs), "period")  # a row for each method, k and period
     table = indices.graph_indices(every, found.select(*key, "entity", "label"), key)
-    return table.unpivot(key, ["AVI", "AVU", "ANUI", "Q", "TurboMQ"], "metric", "value").withColumnRenamed("asked", "k")
+    network = table.unpivot(key, ["AVI", "AVU", "ANUI", "Q", "Q_density", "TurboMQ", "MQ_basic"], "metric", "value").withColumnRenamed("asked", "k")
+    return network.unionByName(indices.feature_panel(features.points, found.withColumnRenamed("asked", "k")))
 
 
 def fixed_k(metrics: DataFrame, k: int) -> DataFrame:
@@ -77,9 +79,29 @@ def fixed_k(metrics: DataFrame, k: int) -> DataFrame:
     return panel.median_iqr(metrics.filter(F.col("k") == k), ["method", "metric"]).withColumnRenamed("median", "value")
 
 
+def best_k(metrics: DataFrame) -> DataFrame:
+    """method, metric, k, value (median over periods) of the k that serves each method's metric best; the smaller on ties."""
+    every = indices.oriented(panel.median_iqr(metrics, ["method", "metric", "k"]).withColumnRenamed("median", "value").filter("value is not null"))
+    best = F.struct((-F.col("oriented")).alias("o"), F.col("k"))
+    return every.groupBy("method", "metric").agg(F.min_by("k", best).alias("k"), F.min_by("value", best).alias("value"))
+
+
+def paired(metrics: DataFrame, config: Config) -> DataFrame:
+    """By metric and pair of methods: the bootstrap of the difference over periods at the fixed k, more being better."""
+    rows = indices.oriented(metrics.filter((F.col("k") == config.methods.k) & F.col("value").isNotNull()))
+    place = F.dense_rank().over(Window.partitionBy("metric").orderBy("period")) - 1  # periods of one metric
+    rows = kept(rows.select("metric", place.alias("row"), "method", F.col("oriented").alias("value")))
+    one = lambda m: stats.paired_bootstrap(rows.filter(F.col("metric") == m).drop("metric"), config.compare.bootstrap).select(F.lit(m).alias("metric"), "*")
+    return reduce(lambda x, y: x.unionByName(y), map(one, RANKED))
+
+
+#: The metrics that rank methods; the others are variants of these.
+RANKED = ("SW", "CH", "S_Dbw", "AVI", "AVU", "ANUI", "Q")
+
+
 def compare(metrics: DataFrame, config: Config) -> DataFrame:
     """method, score (Borda), rank (threshold rule) and grades, at the fixed k."""
-    table = fixed_k(metrics, config.methods.k).select("method", "metric", "value")
+    table = fixed_k(metrics, config.methods.k).filter(F.col("metric").isin(*RANKED)).select("method", "metric", "value")
     return stats.borda(table).join(stats.threshold_rank(table, config.compare.grades), "method")
 
 

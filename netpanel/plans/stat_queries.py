@@ -77,12 +77,12 @@ def permuted_labels(spark, sf_dir):
 
 def permutation_null(spark, sf_dir):
     edges, rows = graph_queries.graph(spark, sf_dir), graph_queries.points(spark, sf_dir).select("entity", "label")
-    return rounded(stats.permutation_null(edges, rows, 30))
+    return rounded(stats.permutation_null(edges, rows, 100))
 
 
 def configuration_null(spark, sf_dir):
     edges, rows = graph_queries.graph(spark, sf_dir), graph_queries.points(spark, sf_dir).select("entity", "label")
-    return rounded(stats.configuration_null(edges, rows, 10, swaps=3))
+    return rounded(stats.configuration_null(edges, rows, 50))
 
 
 def _monthly(spark, sf_dir):
@@ -92,11 +92,11 @@ def _monthly(spark, sf_dir):
 
 
 def paired_bootstrap(spark, sf_dir):
-    return rounded(stats.paired_bootstrap(_monthly(spark, sf_dir), 200, 3), 4)
+    return rounded(stats.paired_bootstrap(_monthly(spark, sf_dir), 2000, 3), 6)
 
 
 def win_rate(spark, sf_dir):
-    return rounded(stats.win_rate(_monthly(spark, sf_dir), 200, 3))
+    return rounded(stats.win_rate(_monthly(spark, sf_dir), 2000, 3))
 
 
 def _profiled(spark, sf_dir):
@@ -136,13 +136,20 @@ def categorical_validation(spark, sf_dir):
 
 
 def rule_names(spark, sf_dir):
-    return interpret.rule_names(inline(spark, MEANS, "label, level, food"), RULES, THRESHOLDS)
+    return interpret.rule_names(inline(spark, MEANS, "label, level, food"), RULES, THRESHOLDS).select("label", "name", "rule")
 
 
 def rule_violations(spark, sf_dir):
     return interpret.rule_violations(inline(spark, MEANS, "label, level, food"), {0: RULES[0], 2: RULES[0], 3: RULES[1]}, THRESHOLDS)
 
 
+def profile_wide(spark, sf_dir):
+    """Means of suppliers' numbers, a row for each type."""
+    rows = types(spark, sf_dir).join(tables.table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("entity"))
+    means = rows.groupBy("label").agg(F.avg("s_acctbal").alias("balance"), F.avg("s_nationkey").alias("nation"))
+    return rounded(interpret.profile_wide(means.unpivot(["label"], ["balance", "nation"], "feature", "mean"), ["balance", "nation"]))
+
+
 def name_search(spark, sf_dir):
     return interpret.name_search(tables.table(spark, sf_dir, "nation"), "NATION_1", "n_name").select("n_name", "place")
 
@@ -174,7 +181,7 @@ a AS (SELECT feature, avg(v) AS gm, stddev_pop(v) AS sd, var_pop(v) AS vr, count
 j AS (SELECT label, o.feature AS feature, n, n / CAST(an AS DOUBLE) AS share, m, gm, CASE WHEN abs(gm) < 1e-6 * CASE WHEN sd > 0 THEN sd ELSE 1.0 END THEN (m - gm) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END ELSE (m - gm) / abs(gm) END AS rel, n * (m - gm) * (m - gm) AS contrib FROM o JOIN a ON a.feature = o.feature),
 tb AS (SELECT (SELECT sum(vr * an) FROM a) AS t, (SELECT sum(contrib) FROM j) AS b)"""
 _DRAWS = PANEL_SQL + f""", md AS (SELECT period, category AS method, median(value) AS value FROM panel GROUP BY 1, 2), mo AS (SELECT dense_rank() OVER (ORDER BY period) - 1 AS r, method, value FROM md),
-sz AS (SELECT max(r) + 1 AS n FROM mo), dr AS (SELECT rep, {_mix_sql('rep', 'r', '3')} % n AS r FROM (SELECT DISTINCT r FROM mo) CROSS JOIN (SELECT CAST(range AS BIGINT) AS rep FROM range(200)) CROSS JOIN sz),
+sz AS (SELECT max(r) + 1 AS n FROM mo), dr AS (SELECT rep, {_mix_sql('rep', 'r', '3')} % n AS r FROM (SELECT DISTINCT r FROM mo) CROSS JOIN (SELECT CAST(range AS BIGINT) AS rep FROM range(2000)) CROSS JOIN sz),
 bm AS (SELECT rep, method, avg(value) AS m FROM dr JOIN mo ON mo.r = dr.r GROUP BY 1, 2)"""
 
 QUERIES = {
@@ -199,13 +206,24 @@ QUERIES = {
     "average_ranks": (average_ranks, "SELECT p_partkey, p_size, p_brand, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS DOUBLE) AS rank FROM part"),
     "permuted_labels": (permuted_labels, f"""WITH {LABELS_SQL}, l AS (SELECT entity, label FROM labels WHERE period = 7990), s AS (SELECT label, count(*) AS n FROM l GROUP BY 1), u AS (SELECT label, sum(n) OVER (ORDER BY label) AS t, n FROM s),
         d AS (SELECT rep, entity, row_number() OVER (PARTITION BY rep ORDER BY {_mix_sql('entity', 'rep', '7')}, entity) AS k FROM l CROSS JOIN (SELECT CAST(range AS BIGINT) AS rep FROM range(20))) SELECT rep, entity, label FROM d JOIN u ON k <= t AND k > t - n"""),
-    "permutation_null": (permutation_null, None),
+    "permutation_null": (permutation_null, f"""WITH {graph_queries.NEAR_SQL}, n AS (SELECT label, count(*) AS n FROM points GROUP BY 1), upto AS (SELECT label, n, sum(n) OVER (ORDER BY label) AS t FROM n),
+        dealt AS (SELECT rep, entity, row_number() OVER (PARTITION BY rep ORDER BY {_mix_sql('entity', 'rep', '0')}, entity) AS k FROM points CROSS JOIN (SELECT CAST(range AS BIGINT) AS rep FROM range(100))),
+        lab AS (SELECT -1 AS rep, entity, label FROM points UNION ALL SELECT rep, entity, label FROM dealt JOIN upto ON k <= t AND k > t - n), e AS (SELECT i, j, w FROM graph UNION ALL SELECT j, i, w FROM graph),
+        bl AS (SELECT x.rep AS rep, x.label AS a, y.label AS b, sum(w) AS s FROM e JOIN lab x ON x.entity = i JOIN lab y ON y.entity = j AND y.rep = x.rep GROUP BY 1, 2, 3),
+        cl AS (SELECT z.rep AS rep, z.label AS label, coalesce(sum(s), 0.0) AS r, coalesce(sum(CASE WHEN a = b THEN s END), 0.0) AS q FROM (SELECT DISTINCT rep, label FROM lab) z LEFT JOIN bl ON bl.rep = z.rep AND a = z.label GROUP BY 1, 2),
+        wh AS (SELECT rep, count(*) AS k, sum(r) AS m FROM cl GROUP BY 1), one AS (SELECT cl.rep AS rep, max(k) AS k, avg(CASE WHEN r > 0 THEN q / r ELSE 0.0 END) AS avi, sum(q / m - (r / m) * (r / m)) AS q FROM cl JOIN wh ON wh.rep = cl.rep GROUP BY 1),
+        two AS (SELECT bl.rep AS rep, sum(CASE WHEN (x.r - x.q) + (y.r - y.q) - s > 0 THEN s / ((x.r - x.q) + (y.r - y.q) - s) ELSE 0.0 END) AS u FROM bl JOIN cl x ON x.rep = bl.rep AND x.label = a JOIN cl y ON y.rep = bl.rep AND y.label = b WHERE a <> b GROUP BY 1),
+        v AS (SELECT one.rep AS rep, avi, coalesce(u, 0.0) / k AS avu, q FROM one LEFT JOIN two ON two.rep = one.rep),
+        x AS (SELECT rep, 'AVI' AS metric, 1 AS d, avi AS v FROM v UNION ALL SELECT rep, 'AVU', -1, avu FROM v UNION ALL SELECT rep, 'ANUI', 1, CASE WHEN avi > 0 THEN 1 / (avu + 1 / avi) ELSE 0.0 END FROM v UNION ALL SELECT rep, 'Q', 1, q FROM v),
+        o AS (SELECT metric, v AS observed FROM x WHERE rep = -1)
+        SELECT x.metric AS metric, round(any_value(observed), 6) + 0.0 AS observed, round(avg(v), 6) + 0.0 AS mean, round(stddev_samp(v), 6) + 0.0 AS sd, round(any_value(d) * (any_value(observed) - avg(v)) / stddev_samp(v), 6) + 0.0 AS z,
+               round(CAST(count(CASE WHEN v * d >= observed * d THEN 1 END) + 1 AS DOUBLE) / CAST(101 AS DOUBLE), 6) + 0.0 AS p FROM x JOIN o ON o.metric = x.metric WHERE rep >= 0 GROUP BY 1"""),
     "configuration_null": (configuration_null, None),
     "paired_bootstrap": (paired_bootstrap, f"""WITH {_DRAWS}, d AS (SELECT a.method AS a, b.method AS b, a.m - b.m AS d FROM bm a JOIN bm b ON a.rep = b.rep AND a.method < b.method), pm AS (SELECT method, avg(value) AS m FROM mo GROUP BY 1),
         q AS (SELECT a, b, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS p FROM d GROUP BY 1, 2)
-        SELECT a, b, round(x.m - y.m, 4) + 0.0 AS diff, round(lo, 4) + 0.0 AS ci_low, round(hi, 4) + 0.0 AS ci_high, round(p, 4) + 0.0 AS p_better, lo > 0 OR hi < 0 AS significant FROM q JOIN pm x ON x.method = a JOIN pm y ON y.method = b"""),
+        SELECT a, b, round(x.m - y.m, 6) + 0.0 AS diff, round(lo, 6) + 0.0 AS ci_low, round(hi, 6) + 0.0 AS ci_high, round(p, 6) + 0.0 AS p_better, lo > 0 OR hi < 0 AS significant FROM q JOIN pm x ON x.method = a JOIN pm y ON y.method = b"""),
     "win_rate": (win_rate, f"""WITH {_DRAWS}, r AS (SELECT method, row_number() OVER (PARTITION BY rep ORDER BY m DESC, method) AS k FROM bm), w AS (SELECT method, count(*) AS n FROM r WHERE k = 1 GROUP BY 1)
-        SELECT p.method AS method, round(coalesce(n, 0) / 200.0, 6) + 0.0 AS win_rate FROM (SELECT DISTINCT method FROM mo) p LEFT JOIN w ON w.method = p.method""".replace("coalesce(n, 0) / 200.0", "CAST(coalesce(n, 0) AS DOUBLE) / CAST(200 AS DOUBLE)")),
+        SELECT p.method AS method, round(coalesce(n, 0) / 2000.0, 6) + 0.0 AS win_rate FROM (SELECT DISTINCT method FROM mo) p LEFT JOIN w ON w.method = p.method""".replace("coalesce(n, 0) / 2000.0", "CAST(coalesce(n, 0) AS DOUBLE) / CAST(2000 AS DOUBLE)")),
     "mirkin_profile": (mirkin_profile, f"""WITH {_MIRKIN} SELECT label, feature, n, round(share, 4) + 0.0 AS share, round(m, 4) + 0.0 AS mean, round(gm, 4) + 0.0 AS global_mean, round(rel, 4) + 0.0 AS rel_dev, round(contrib, 4) + 0.0 AS contrib, round(100 * contrib / t, 4) + 0.0 AS "contrib_pct_T", round(100 * contrib / b, 4) + 0.0 AS "contrib_pct_B" FROM j, tb"""),
     "spread_totals": (spread_totals, f"""WITH {_MIRKIN}, w AS (SELECT sum(ov * n) AS w FROM o) SELECT round(t, 4) + 0.0 AS "T", round(w, 4) + 0.0 AS "W", round(t - w, 4) + 0.0 AS "B", round((t - w) / t, 4) + 0.0 AS "B_over_T" FROM tb, w"""),
     "top_features": (top_features, f"""WITH {_MIRKIN}, r AS (SELECT label, feature, rel, 100 * contrib / b AS pct, row_number() OVER (PARTITION BY label ORDER BY contrib DESC, feature) AS place FROM j, tb) SELECT label, CAST(place AS INTEGER) AS place, feature, CASE WHEN rel >= 0 THEN '+' ELSE '-' END AS sign, round(pct, 4) + 0.0 AS "contrib_pct_B" FROM r WHERE place <= 3"""),
@@ -218,11 +236,12 @@ QUERIES = {
         x AS (SELECT 'c_nationkey' AS f, n AS a, l AS b FROM p UNION ALL SELECT 'rich', r, l FROM p), c AS (SELECT f, a, b, CAST(count(*) AS DOUBLE) AS o FROM x GROUP BY 1, 2, 3), ra AS (SELECT f, a, sum(o) AS n FROM c GROUP BY 1, 2), rb AS (SELECT f, b, sum(o) AS n FROM c GROUP BY 1, 2), t AS (SELECT f, sum(o) AS n FROM c GROUP BY 1),
         g AS (SELECT ra.f AS f, coalesce(o, 0.0) AS o, ra.n * rb.n / t.n AS e FROM ra JOIN rb ON rb.f = ra.f JOIN t ON t.f = ra.f LEFT JOIN c ON c.f = ra.f AND c.a = ra.a AND c.b = rb.b), s AS (SELECT f, sum((o - e) * (o - e) / e) AS chi2 FROM g GROUP BY 1), k AS (SELECT f, least(count(DISTINCT a), count(DISTINCT b)) - 1 AS k FROM c GROUP BY 1)
         SELECT s.f AS feature, CAST(n AS BIGINT) AS n, round(chi2, 6) + 0.0 AS chi2, round(sqrt(chi2 / n / k), 6) + 0.0 AS "V" FROM s JOIN t ON t.f = s.f JOIN k ON k.f = s.f"""),
-    "rule_names": (rule_names, f"""WITH m(label, level, food) AS (VALUES {MEANS}), r AS (SELECT label, CASE WHEN level >= 1.0 THEN 0 WHEN level <= -0.5 AND food >= 0.5 THEN 1 END AS r FROM m), n AS (SELECT label, r, count(*) OVER (PARTITION BY r) AS c, row_number() OVER (PARTITION BY r ORDER BY label) AS k FROM r)
-        SELECT label, CASE WHEN r IS NULL THEN NULL ELSE CASE r WHEN 0 THEN 'rich' ELSE 'poor' END || CASE WHEN c > 1 THEN ' ' || CASE k WHEN 1 THEN 'I' WHEN 2 THEN 'II' ELSE 'III' END ELSE '' END END AS name FROM n"""),
+    "rule_names": (rule_names, f"""WITH m(label, level, food) AS (VALUES {MEANS}), r AS (SELECT label, CASE WHEN level >= 1.0 THEN 'rich' WHEN level <= -0.5 AND food >= 0.5 THEN 'poor' END AS r FROM m), n AS (SELECT label, r, row_number() OVER (PARTITION BY r ORDER BY label) AS k FROM r)
+        SELECT label, CASE WHEN r IS NULL THEN 'Type ' || label ELSE r || list_extract(['', ' II', ' III', ' IV', ' V', ' VI', ' VII', ' VIII'], least(k, 8)) END AS name, r AS rule FROM n"""),
     "rule_violations": (rule_violations, f"""WITH m(label, level, food) AS (VALUES {MEANS}), b(label, feature, side, bound) AS (VALUES (0, 'level', 'min', CAST(1.0 AS DOUBLE)), (2, 'level', 'min', CAST(1.0 AS DOUBLE)), (3, 'level', 'max', CAST(-0.5 AS DOUBLE)), (3, 'food', 'min', CAST(0.5 AS DOUBLE))),
         v AS (SELECT b.label AS label, feature, side, bound, CASE feature WHEN 'level' THEN level ELSE food END AS value FROM b JOIN m ON m.label = b.label) SELECT * FROM v WHERE (side = 'min' AND value < bound) OR (side = 'max' AND value > bound)"""),
     "name_search": (name_search, """SELECT n_name, CAST(CASE WHEN lower(n_name) LIKE 'nation_1%' THEN 0 WHEN ' ' || lower(n_name) LIKE '% nation_1%' THEN 1 ELSE 2 END AS INTEGER) AS place FROM nation WHERE lower(n_name) LIKE '%nation_1%'"""),
+    "profile_wide": (profile_wide, f"WITH {LABELS_SQL} SELECT label, round(avg(s_acctbal), 6) + 0.0 AS balance, round(avg(s_nationkey), 6) + 0.0 AS nation FROM labels JOIN supplier ON s_suppkey = entity GROUP BY 1"),
     "type_summaries": (type_summaries, None),
     "surrogate_leaves": (surrogate_leaves, None),
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +28,20 @@ def session(name: str = "netpanel", master: str | None = None, **conf: str) -> S
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing is NULL throughout: NaN in double and float columns becomes NULL on the way in."""
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(t)) for c, t in df.dtypes if t in ("double", "float")})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder; a new one only on one machine."""
+    context, base = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not base and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="netpanel-"))
+    return base or context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and plans built on it begin with a scan, however long its own is."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/netpanel/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -152,9 +152,51 @@ def test_bootstrap_membership_is_sure_of_clear_clusters(spark, planted):
     x, _, labels = planted
     points = spark.createDataFrame([(1, k, [float(v) for v in row]) for k, row in enumerate(x)], "period long, entity long, x array<double>")
     own = spark.createDataFrame([(1, k, int(v)) for k, v in enumerate(labels)], "period long, entity long, label int")
-    found = clustering.bootstrap_membership(points, own, "kmeans", 6)
-    assert clustering.confidence_summary(found).first().share_sure > 0.9
+    found = clustering.bootstrap_membership(points, None, own, "kmeans", 6)
+    assert clustering.confidence_summary(clustering.confidence(found)).first().share_sure > 0.9
     assert found.agg(F.max("probability")).first()[0] <= 1
+    assert found.groupBy("entity").count().agg(F.min("count"), F.max("count")).first() == (len(set(labels)),) * 2  # every label's probability
+
+
+@pytest.mark.parametrize("method", ["leiden", "kefrin"])
+def test_bootstrap_and_stability_use_the_graph(spark, planted, method):
+    """Blocks that only the graph shows: the points say nothing."""
+    from netpanel.operators import kernels
+
+    _, a, labels = planted
+    noise = np.random.default_rng(2).normal(size=(len(labels), 2)) * 1e-3
+    points = spark.createDataFrame([(1, k, [float(v) for v in row]) for k, row in enumerate(noise)], "period long, entity long, x array<double>")
+    own = spark.createDataFrame([(1, k, int(v)) for k, v in enumerate(labels)], "period long, entity long, label int")
+    i, j = np.nonzero(np.triu(a, 1))
+    edges = spark.createDataFrame([(1, int(p), int(q), 1.0) for p, q in zip(i, j, strict=True)], "period long, i long, j long, w double")
+    found = clustering.confidence(clustering.bootstrap_membership(points, edges, own, method, 6, 0.9))
+    assert clustering.confidence_summary(found, 0.7).first().share_own > 0.85
+    pairs, clusters = stats.stability(points, edges, kernels.METHODS[method], len(set(labels)), 4, 0.9)
+    summary = stats.stability_summary(pairs, clusters).first()
+    assert summary.ari_median > 0.8 and summary.jaccard_worst > 0.7 and pairs.count() == 6
+
+
+def test_panel_of_metrics_against_chance(spark, planted):
+    from netpanel.operators import indices
+
+    x, a, labels = planted
+    rows = [(p, k, [float(v) for v in row], int(v)) for p in (1, 2) for k, (row, v) in enumerate(zip(x, labels, strict=True))]
+    points = spark.createDataFrame(rows, "period long, entity long, x array<double>, label int")
+    i, j = np.nonzero(np.triu(a, 1))
+    edges = spark.createDataFrame([(t, int(p), int(q), 1.0) for t in (1, 2) for p, q in zip(i, j, strict=True)], "period long, i long, j long, w double")
+    found = {(r.period, r.metric): r for r in stats.panel_null(points, edges, points, 15).collect()}
+    assert {m for _, m in found} == set(stats.PANEL)
+    assert all(found[1, m].z > 3 and found[1, m].p == 1 / 16 for m in ("SW", "CH", "AVI", "Q"))
+    one = points.filter("period = 1")
+    panel = {r.metric: r.value for r in indices.feature_panel(points, points.selectExpr("'m' AS method", "4 AS k", "period", "entity", "label")).filter("period = 1").collect()}
+    assert math.isclose(panel["CH"], indices.calinski_harabasz(one).first().CH, rel_tol=1e-9)
+    assert math.isclose(panel["DBI"], indices.davies_bouldin(one).first().DBI, rel_tol=1e-9)
+    assert math.isclose(panel["S_Dbw"], indices.s_dbw(one).first().S_Dbw, rel_tol=1e-9)
+    assert math.isclose(panel["SW"], indices.silhouettes(one).agg(F.avg("silhouette")).first()[0], rel_tol=1e-9)
+    network = indices.graph_indices(edges.filter("period = 1"), one.select("entity", "label")).first()
+    assert all(math.isclose(found[1, m].observed, network[m], rel_tol=1e-9) for m in ("AVI", "AVU", "ANUI", "Q"))
+    single = indices.feature_panel(points, points.selectExpr("'m' AS method", "1 AS k", "period", "entity", "0 AS label"))
+    assert {r.value for r in single.collect()} == {None}
 
 
 def test_null_models(spark, planted):

@@ -122,3 +122,34 @@ def test_importance_finds_the_telling_feature(spark):
     rows = spark.createDataFrame([(k, k % 2, 10.0 * (k % 2) + k / 100, float(k * 7 % 5)) for k in range(60)], "entity long, label int, a double, b double")
     found = {(r.label, r.feature): r["drop"] for r in interpret.permutation_importance(rows, ["a", "b"]).collect()}
     assert all(found[k, "a"] > 0.2 and abs(found[k, "b"]) < 0.05 for k in (0, 1))
+
+
+def test_names_as_rules_and_leading_features_give_them(spark):
+    means = spark.createDataFrame([(k, 2.0 if k < 10 else 0.1) for k in range(12)], "label int, level double")
+    rules = [{"name": "rich", "short": "R", "description": "High level.", "when": {"level": {"min": "high"}}}]
+    leading = spark.createDataFrame([(10, 1, "food", "+"), (10, 2, "travel", "-")], "label int, place int, feature string, sign string")
+    said = spark.createDataFrame([(0, "Medians: x."), (11, "Medians: y.")], "label int, phrase string")
+    rows = {r.label: r for r in interpret.rule_names(means, rules, {"high": 1.0}, leading=leading, phrases=said).collect()}
+    assert [rows[k].name for k in (0, 1, 2, 7, 8, 9)] == ["rich", "rich II", "rich III", "rich VIII", "rich VIII", "rich VIII"]
+    assert rows[1].short == "R II" and rows[0].description == "High level. Medians: x." and rows[1].description == "High level." and rows[0].rule == "rich"
+    assert (rows[10].name, rows[10].short, rows[10].description, rows[10].rule) == ("Type 10: food +, travel -", "Type 10", "Leading features: food +, travel -.", None)
+    assert (rows[11].name, rows[11].description) == ("Type 11", "Medians: y.")
+    names = interpret.rule_names(means, rules, {"high": 1.0})
+    settled = spark.createDataFrame([("ward", 6, "2024-12", 1, "agreed", None, None), ("ward", 5, "2024-12", 2, "other", "o", "o")], "method string, k int, period string, label int, name string, short string, description string")
+    got = {r.label: r for r in interpret.with_locked(names, settled, "ward", 6, "2024-12").collect()}
+    assert (got[1].name, got[1].short, got[2].name) == ("agreed", "R II", "rich III")
+
+
+def test_readable_names_and_phrases(spark):
+    raw = ["share_food", "share_cafe", "total"]
+    assert interpret.split_names(raw) == (["share_food", "share_cafe"], ["total"]) and interpret.split_names(raw, ["share_cafe"])[1] == ["share_cafe"]
+    assert interpret.display_names(raw, unit="EUR") == ["Share of food, %", "Share of cafe, %", "Total per head, EUR"]
+    rows = [(k % 2, 0.2 + 0.2 * (k % 2), 0.1, 100.0 + 100 * (k % 2)) for k in range(10)]
+    df = spark.createDataFrame(rows, "label int, food double, cafe double, total double")
+    said = {r.label: r.phrase for r in interpret.phrases(interpret.readable_profile(df, ["food", "cafe"], ["total"]), ["food", "cafe"], ["total"]).collect()}
+    assert said[1] == "Medians: total 133 % of the overall median; share of food 40.0 % (above the overall by 10.0 points)."
+    assert interpret.inconsistent_totals(spark.createDataFrame([(3.0, 1.0, 2.0), (5.0, 1.0, None)], "t double, a double, b double"), "t", ["a", "b"]).count() == 1
+
+
+def test_kept_tables_need_a_shared_folder(spark):
+    assert session.kept(spark.range(5)).count() == 5 and session.shared_folder(spark)
