@@ -397,3 +397,66 @@ def test_different_texts_with_one_hash(spark, monkeypatch):
     texts = [" ".join(f"{k}w{n}" for n in range(30 + k % 2)) for k in range(10)] + ["", None]
     got = near.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == list(range(11))
+
+
+def plain_tree(g, h, n):
+    """The best cut of any leaf, found anew each time from the rows themselves."""
+    value = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + quality.SHRINK)
+    leaves = [(0, len(g))]
+    while len(leaves) < quality.LEAVES:
+        cuts = [(value(a, m) + value(m, b) - value(a, b), a, m, b) for a, b in leaves for m in range(a + 1, b) if min(sum(n[a:m]), sum(n[m:b])) >= quality.LEAST_ROWS]
+        if not cuts or max(cuts)[0] <= 1e-9:
+            break
+        _, a, m, b = max(cuts)
+        leaves.remove((a, b))
+        leaves += [(a, m), (m, b)]
+    return [next(sum(g[a:b]) / (sum(h[a:b]) + quality.SHRINK) for a, b in leaves if a <= i < b) for i in range(len(g))]
+
+
+def plain_quadrants(g, h, n):
+    best = (-1.0, None)
+    for i in range(1, g.shape[0]):
+        for j in range(1, g.shape[1]):
+            parts = [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, None)), (slice(i, None), slice(0, j)), (slice(i, None), slice(j, None))]
+            fine = [p for p in parts if n[p].sum() >= quality.LEAST_ROWS]
+            gain = sum(g[p].sum() ** 2 / (h[p].sum() + quality.SHRINK) for p in fine)
+            if gain > best[0]:
+                out = np.zeros_like(g)
+                for p in fine:
+                    out[p] = g[p].sum() / (h[p].sum() + quality.SHRINK)
+                best = (gain, out)
+    return best
+
+
+def test_cuts_against_exhaustive_search():
+    r = np.random.default_rng(9)
+    for bins in (2, 5, 17):
+        for _ in range(20):
+            n = r.integers(0, 4 * quality.LEAST_ROWS, bins)
+            g, h = r.normal(size=bins) * n, r.random(bins) * n + 0.1
+            assert np.allclose(quality._tree(g, h, n), plain_tree(g.tolist(), h.tolist(), n.tolist()))
+            n = r.integers(0, 2 * quality.LEAST_ROWS, (bins, bins + 1)).astype(float)
+            g, h = r.normal(size=n.shape) * n, r.random(n.shape) * n + 0.1
+            gain, out = quality._quadrants(g, h, n)
+            want, cells = plain_quadrants(g, h, n)
+            assert np.isclose(gain, want) and np.allclose(out, cells)
+
+
+def test_scores_are_sums_of_table_entries():
+    """Vectorised bins against a look-up row by row."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, len(quality.FEATURES)))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        total = model.intercept + sum(t[sum(e <= v for e in edges)] for v, edges, t in zip(row, model.edges, model.tables, strict=True))
+        for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
+            total += t[sum(e <= row[i] for e in model.pair_edges[i]), sum(e <= row[j] for e in model.pair_edges[j])]
+        assert np.isclose(score, 1 / (1 + np.exp(-total)))
+
+
+def test_training_takes_one_row_of_each_document(spark):
+    docs = documents(spark)
+    labels = spark.createDataFrame([(3 * k + 1, k % 2) for k in range(60)], "doc_id long, quality int")
+    twice = docs.unionByName(docs).repartition(5)
+    a, b = quality.train(docs, labels), quality.train(twice, labels)
+    assert [t.tolist() for t in a.tables] == [t.tolist() for t in b.tables] and a.intercept == b.intercept

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from netpanel.llm import fingerprints, packing, records, shared, tokens, wordpieces
@@ -216,3 +217,73 @@ def test_token_counts_of_a_table(spark):
     want = sorted((r.doc_id or -1, len(w := (r.text or "").encode().split()), sum(greedy(pieces, mark.encode() + x) for x in w if len(x) < 100) + sum(wordpieces.Counter(path).count(x.decode())[1] for x in w if len(x) >= 100)) for r in docs.collect())
     assert sorted((r.doc_id or -1, r.n_words, r.n_tokens) for r in wordpieces.token_counts(docs, path).collect()) == want
     assert wordpieces.token_counts(empty(spark), path).count() == 0
+
+
+def plain_fingerprint(text):
+    """Byte by byte, with Python's integers."""
+    data, top, mix, base = text.encode(), 1 << 64, 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D
+    if not data:
+        return "1:::"
+    levels = []
+    for i in range(len(data)):
+        h = int.from_bytes((bytes(8) + data[: i + 1])[-8:], "little") * mix % top
+        h = (h ^ h >> 29) * mix % top >> 32
+        level = 0
+        while h >> level & 1:
+            level += 1
+        levels.append(level)
+    k = 0
+    if len(data) > 64:
+        k = max(j for j in range(34) if sum(v >= j for v in levels) + 1 >= 32)
+    signatures = []
+    for size in (k, k + 1, k + 2):
+        pieces, begin = [], 0
+        for i, v in enumerate(levels):
+            if v >= size:
+                pieces.append(data[begin : i + 1])
+                begin = i + 1
+        if begin < len(data):
+            pieces.append(data[begin:])
+        letters = []
+        for piece in pieces:
+            s = sum((b + 1) * pow(base, i, top) for i, b in enumerate(piece)) % top
+            letters.append(((s ^ s >> 31) * mix % top) >> 58)
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        out = "".join(alphabet[c] for i, c in enumerate(letters) if i < 3 or letters[i - 3 : i] != [c] * 3)
+        if len(out) > 64:
+            out = out[:63] + alphabet[hashlib.md5(out[63:].encode()).digest()[0] & 63]
+        signatures.append(out)
+    return f"{1 << k}:" + ":".join(signatures)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    (x, *s), (y, *t) = a.split(":"), b.split(":")
+    best = 0.0
+    for i, p in enumerate(s):
+        for j, q in enumerate(t):
+            if int(x) << i == int(y) << j and p and q:
+                n = min(5, max(1, min(len(p), len(q)) // 2))
+                if any(p[u : u + n] == q[v : v + n] for u in range(len(p) - n + 1) for v in range(len(q) - n + 1)):
+                    best = max(best, 2 * common_subsequence(p, q) / (len(p) + len(q)))
+    return best
+
+
+def test_fingerprints_byte_by_byte():
+    r = random.Random(11)
+    cases = [(t or "")[:6000] for t in texts()] + ["a" * 300, "ab" * 200, "x", "é", "".join(r.choice("abc \n") for _ in range(63)), "".join(r.choice("abc \n") for _ in range(65))]
+    cases += ["".join(chr(r.randrange(32, 0x250)) for _ in range(r.randint(1, 900))) for _ in range(60)]
+    assert [fingerprints.fingerprint(t) for t in cases] == [plain_fingerprint(t) for t in cases]
+    prints = [plain_fingerprint(t) for t in cases]
+    edited = [plain_fingerprint(t[: len(t) // 2] + u[: len(t) // 2]) for t, u in zip(cases, cases[1:] + cases[:1], strict=True)]
+    pairs = list(zip(prints, edited, strict=True)) + list(zip(prints, prints[1:], strict=False))
+    assert np.allclose(fingerprints.likeness(pairs), [plain_likeness(a, b) for a, b in pairs], rtol=0, atol=1e-15)
+
+
+def test_fingerprints_of_nulls_alone_and_of_one_row(spark):
+    alone = documents(spark).filter("doc_id = 61").limit(1).withColumn("text", F.lit(None).cast("string"))
+    r = fingerprints.with_next(alone).first()
+    assert (r.n_chars, r.fingerprint, r.near_edited, r.near_next) == (0, "1:::", 1.0, 1.0)
+    nulls = spark.createDataFrame([(k, None) for k in range(5)], "doc_id long, text string")
+    assert {(x.fingerprint, x.near_next) for x in fingerprints.with_next(nulls).collect()} == {("1:::", 1.0)}
