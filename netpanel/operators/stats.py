@@ -19,6 +19,8 @@ from netpanel.functions.scalars import chi2_survival
 from netpanel.operators import graphs, indices, kernels
 from netpanel.session import kept
 
+#: Distinct values of a range that ranks are found in, about.
+RANGE_VALUES = 1_000_000
 PANEL = ("SW", "CH", "S_Dbw", "AVI", "AVU", "ANUI", "Q")
 
 
@@ -202,12 +204,20 @@ def k_selection(z: DataFrame, stability: DataFrame | None = None) -> DataFrame:
 def kruskal(df: DataFrame, value: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """H with ties, its chance, and the effect (H - k + 1) / (n - k) cut to 0 .. 1; missing values do not count; NULL if degenerate.
 
-    Ranks come from counts of equal values and of smaller ones, so the largest window holds distinct values.
+    Ranks come from counts of equal values and of smaller ones: distinct values lie in ranges of about RANGE_VALUES, and
+    a window holds one range.
     """
     rows = df.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
-    values = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("_rank", F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2)
+    values = kept(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")))
+    ranges = -(-values.count() // RANGE_VALUES)
+    cuts = sorted(set(values.select(F.col(value).cast("double")).approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value).cast("double"))) if cuts else F.lit(0)
+    values = values.withColumn("_at", at)
+    upto = lambda *keys: Window.partitionBy(*by, *keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = values.groupBy(*by, "_at").agg(F.sum("_c").alias("_s"))
+    sums = sums.select(*by, "_at", F.coalesce(F.sum("_s").over(upto().orderBy("_at")), F.lit(0)).alias("_before"))  # a row for each range
+    smaller = F.col("_before") + F.coalesce(F.sum("_c").over(upto("_at").orderBy(value)), F.lit(0))
+    values = values.join(sums, [*by, "_at"]).withColumn("_rank", smaller + (F.col("_c") + 1) / 2).drop("_at", "_before")
     ties = values.groupBy(*by).agg(F.sum(F.col("_c").cast("double") * F.col("_c") * F.col("_c") - F.col("_c")).alias("_t"))
     sums = rows.join(values, [*by, value]).groupBy(*by, label).agg(F.sum("_rank").alias("_r"), F.count(F.lit(1)).alias("_n"))
     whole = sums.groupBy(*by).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_q"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -43,27 +42,26 @@ def variances(points: DataFrame, by: Sequence[str] = (), x: str = "x") -> DataFr
 
 
 def to_centres(points: DataFrame, centre_rows: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """Every point with every centre and their distance; centres (label, centre) are few: K rows, or K for each value of ``on``."""
-    rows = centre_rows.select(*on, F.col("label").alias("centre_label"), "centre")
-    joined = points.join(F.broadcast(rows), list(on)) if on else points.crossJoin(F.broadcast(rows))
-    return joined.withColumn("d", distance("x", "centre")).drop("centre")
+    """Every point with ``met``: (d, centre_label) of all centres, nearest first, ties by label. Centres (label, centre) are few: one broadcast array of K,
+    or one for each value of ``on``; points stay where they are."""
+    arrays = centre_rows.groupBy(*on).agg(F.collect_list(F.struct(F.col("label").alias("centre_label"), "centre")).alias("_c"))
+    joined = points.join(F.broadcast(arrays), list(on)) if on else points.crossJoin(F.broadcast(arrays))  # one row
+    met = F.transform("_c", lambda c: F.struct(distance("x", c["centre"]).alias("d"), c["centre_label"].alias("centre_label")))
+    return joined.filter(F.size("_c") > 0).withColumn("met", F.array_sort(met)).drop("_c")
 
 
 def nearest_centre(points: DataFrame, centre_rows: DataFrame, keys: Sequence[str] = ("entity",), on: Sequence[str] = ()) -> DataFrame:
-    """keys, nearest (label; the smaller on ties), d1, d2, margin = (d2 - d1) / d1 cut at 1 (1 if there is no second)."""
-    met = to_centres(points, centre_rows, on)
-    ordered = F.array_sort(F.collect_list(F.struct("d", "centre_label")))  # K values
-    rows = met.groupBy(*keys).agg(ordered.alias("c"))
-    first, second = F.col("c")[0], F.when(F.size("c") > 1, F.element_at("c", 2)["d"])
-    d1 = first["d"]
+    """keys, nearest (label; the smaller on ties), d1, d2, margin = (d2 - d1) / d1 cut at 1 (1 if there is no second); a row for each point."""
+    rows = to_centres(points, centre_rows, on)
+    d1, second = F.col("met")[0]["d"], F.when(F.size("met") > 1, F.element_at("met", 2)["d"])
     margin = F.when(second.isNull(), 1.0).when(d1 > 0, F.least(F.lit(1.0), (second - d1) / d1)).when(second > 0, 1.0).otherwise(0.0)
-    return rows.select(*keys, first["centre_label"].alias("nearest"), d1.alias("d1"), second.alias("d2"), margin.alias("margin"))
+    return rows.select(*keys, F.col("met")[0]["centre_label"].alias("nearest"), d1.alias("d1"), second.alias("d2"), margin.alias("margin"))
 
 
 def membership_margin(points: DataFrame, centre_rows: DataFrame) -> DataFrame:
     """entity, label, d_own, d_other, margin = (other - own) / (other + own) in -1 .. 1, 1 if both are 0."""
-    met = to_centres(points, centre_rows)
-    rows = met.groupBy("entity", "label").agg(F.min(F.when(F.col("centre_label") == F.col("label"), F.col("d"))).alias("d_own"), F.min(F.when(F.col("centre_label") != F.col("label"), F.col("d"))).alias("d_other"))
+    first = lambda own: F.filter("met", lambda m: (m["centre_label"] == F.col("label")) if own else (m["centre_label"] != F.col("label")))[0]["d"]
+    rows = to_centres(points, centre_rows).select("entity", "label", first(True).alias("d_own"), first(False).alias("d_other"))
     total = F.col("d_own") + F.col("d_other")
     return rows.withColumn("margin", F.when(total > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("d_other") - F.col("d_own")) / total))).otherwise(F.lit(1.0)))
 
@@ -100,14 +98,18 @@ def neighbours(points: DataFrame, k: int, by: Sequence[str] = (), block: int = B
         if len(a) and len(b):
             x, y = np.array(a["x"].tolist(), float), np.array(b["x"].tolist(), float)
             ids = b["entity"].to_numpy()
-            norms = (y**2).sum(1)
+            middle = y.mean(0)  # distances are of differences: less rounding near the middle
+            u, v = x - middle, y - middle
+            norms = (v**2).sum(1)
+            slack = 16 * x.shape[1] * np.finfo(float).eps  # of the sums, relative to the norms
             for s in range(0, len(x), 256):
-                d = (x[s : s + 256] ** 2).sum(1)[:, None] + norms - 2 * x[s : s + 256] @ y.T
+                own_norms = (u[s : s + 256] ** 2).sum(1)
+                d = own_norms[:, None] + norms - 2 * u[s : s + 256] @ v.T
                 for t, own in enumerate(a["entity"].to_numpy()[s : s + 256]):
                     row = np.where(ids == own, np.inf, d[t])
                     m = min(k, len(row))
                     kth = np.partition(row, m - 1)[m - 1]
-                    near = np.flatnonzero((row <= kth + 1e-9 * (1 + abs(kth))) & np.isfinite(row)) if np.isfinite(kth) else np.flatnonzero(np.isfinite(row))
+                    near = np.flatnonzero((row <= kth + slack * (own_norms[t] + norms.max())) & np.isfinite(row)) if np.isfinite(kth) else np.flatnonzero(np.isfinite(row))
                     exact = np.sqrt(((y[near] - x[s + t]) ** 2).sum(1))
                     best = np.lexsort((ids[near], exact))[:k]
                     out.append(pd.DataFrame({"i": own, "j": ids[near][best], "d": exact[best]}))
@@ -146,6 +148,3 @@ def distance_sums(points: DataFrame, block: int = BLOCK) -> DataFrame:
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(sums, "entity long, label int, other int, total double, n long")
     return found.groupBy("entity", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
-
-def blocks_for(rows: int, block: int = BLOCK) -> int:
-    return max(1, math.ceil(rows / block))

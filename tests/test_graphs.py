@@ -257,3 +257,15 @@ def test_study_has_the_whole_panel_and_is_registered(spark, sf_dir):
     periods = {r.period for r in tables.sales_panel(spark, sf_dir).select("period").distinct().collect()}
     assert {r.period for r in features.points.select("period").distinct().collect()} == periods
     assert config == Config() and "panel_study" in serving_queries.QUERIES
+
+
+def test_ranks_do_not_depend_on_ranges(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(int(g), int(a), float(v)) for g, a, v in zip(r.integers(0, 2, 400), r.integers(0, 3, 400), r.integers(0, 60, 400) / 4, strict=True)]
+    df = spark.createDataFrame(rows, "g int, label int, v double")
+    whole = sorted(map(tuple, stats.kruskal(df, "v", "label", ["g"]).collect()))
+    monkeypatch.setattr(stats, "RANGE_VALUES", 7)
+    parts = sorted(map(tuple, stats.kruskal(df, "v", "label", ["g"]).collect()))
+    assert np.allclose(np.array(whole, float), np.array(parts, float)) and len(whole) == 2
+    # p against the survival function of chi-squared with two degrees of freedom
+    assert all(math.isclose(p, math.exp(-h / 2), rel_tol=1e-9) for _, _, _, h, _, p in whole)
