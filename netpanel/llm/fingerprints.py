@@ -258,7 +258,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     hands on its first and last document, of which there are two for each task.
     """
     shared.bound_batches(docs)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     found = shared.written(ranged.mapInArrow(_of_sorted, COLUMNS + ", part long, edge int, edge_text string"), "fingerprints")
     first = found.filter("edge = 0").select("part", F.col("edge_text").alias("next_text"), F.col("fingerprint").alias("next_print"))
     order = Window.orderBy("part")  # a row for each task

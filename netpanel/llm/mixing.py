@@ -11,13 +11,14 @@ left, with their parts: at most one schedule for each number of rounds at which
 document is dropped or repeated.
 
 Block numbers are running sums of characters within a source. A source may hold most rows, so they are
-taken within (source, first hex digits of the md5), of bounded size, plus the sums of the buckets before.
+taken within (source, first hex digits of the md5), of bounded size, plus the sums of the buckets before. Rows without a doc_id, whose
+md5 is one, are divided by the digits of their text's hash.
 A document longer than a block uses up the blocks it spans; it stands where its first one does.
 
 Nulls, empties, repeats: a null source is a source of its own, with the default part, as is the empty
 one. A null text counts as empty and is kept; an empty one takes up one
 character. Rows with equal doc_id come in the order of their text's hash; a null doc_id has the md5 of the
-empty string. An empty table gives no row. Columns named like
+empty string. More than MOST_SOURCES different sources raise an error, before anything is written. An empty table gives no row. Columns named like
 the result's are replaced by it.
 """
 
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from netpanel.llm import shared
 
-#: A mixture names its sources; more of them would need a schedule of their own.
+#: More sources than this are refused: every number of rounds at which one ends has a schedule of its own, of a slot for each part.
 MOST_SOURCES = 4096
+#: The md5 of the empty string.
+NO_ID = "d41d8cd98f00b204e9800998ecf8427e"
 #: Rows of a bucket of a source, about.
 BUCKET_ROWS = 2_000
 
@@ -65,7 +68,10 @@ def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_par
     rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), source.alias("_source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_md5"), chars.alias("_chars"), F.xxhash64(F.col("text").cast("string")).alias("_tie"))
     total = docs.count()
     digits = min(7, max(1, math.ceil(math.log(max(total / BUCKET_ROWS, 1), 16))))
-    rows = rows.withColumn("_bucket", F.substring("_md5", 1, digits))
+    # buckets in the order (md5, hash): rows without an id have one md5, and buckets of their own between those of smaller and larger ones
+    tie = F.lpad(F.hex(F.col("_tie").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    side = F.when(F.col("_id").isNull(), F.concat(F.lit("1"), F.substring(F.coalesce(tie, F.lit("")), 1, digits))).when(F.col("_md5") < NO_ID, "0").otherwise("2")
+    rows = rows.withColumn("_bucket", F.concat(F.substring("_md5", 1, digits), side))
 
     # characters before each bucket of a source
     sums = shared.written(rows.groupBy("_source", "_bucket").agg(F.sum("_chars").alias("chars"), F.count(F.lit(1)).alias("copies")), "mixing-buckets", rows=total // 50)

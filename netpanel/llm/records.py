@@ -137,7 +137,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [f"{folder}/{name}"], "records": [n], "ids": [ids]})
 
     shared.bound_batches(docs)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     manifest = shared.written(ranged.mapInArrow(shard, "shard long, path string, records long, ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))

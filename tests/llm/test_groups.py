@@ -460,3 +460,14 @@ def test_training_takes_one_row_of_each_document(spark):
     twice = docs.unionByName(docs).repartition(5)
     a, b = quality.train(docs, labels), quality.train(twice, labels)
     assert [t.tolist() for t in a.tables] == [t.tolist() for t in b.tables] and a.intercept == b.intercept
+
+
+def test_mixing_of_many_rows_without_an_id(spark, monkeypatch):
+    """They lie in many buckets, in the order of their texts' hashes, between the ids whose md5 is smaller and larger."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    rows = [(None, f"text {k}", "hot") for k in range(150)] + [(k, f"with id {k}", "hot") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.interleave(docs, block_chars=40).withColumn("h", F.xxhash64("text")).orderBy("slot", "rank").collect()
+    md5 = lambda d: hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()
+    want = sorted(got, key=lambda r: (md5(r.doc_id), r.doc_id or 0, r.h))
+    assert len(got) == 300 and [r.text for r in got] == [r.text for r in want]
