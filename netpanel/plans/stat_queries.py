@@ -92,7 +92,7 @@ def _monthly(spark, sf_dir):
 
 
 def paired_bootstrap(spark, sf_dir):
-    return rounded(stats.paired_bootstrap(_monthly(spark, sf_dir), 2000, 3), 6)
+    return rounded(stats.paired_bootstrap(_monthly(spark, sf_dir), 2000, 3), 5)
 
 
 def win_rate(spark, sf_dir):
@@ -221,7 +221,7 @@ QUERIES = {
     "configuration_null": (configuration_null, None),
     "paired_bootstrap": (paired_bootstrap, f"""WITH {_DRAWS}, d AS (SELECT a.method AS a, b.method AS b, a.m - b.m AS d FROM bm a JOIN bm b ON a.rep = b.rep AND a.method < b.method), pm AS (SELECT method, avg(value) AS m FROM mo GROUP BY 1),
         q AS (SELECT a, b, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS p FROM d GROUP BY 1, 2)
-        SELECT a, b, round(x.m - y.m, 6) + 0.0 AS diff, round(lo, 6) + 0.0 AS ci_low, round(hi, 6) + 0.0 AS ci_high, round(p, 6) + 0.0 AS p_better, lo > 0 OR hi < 0 AS significant FROM q JOIN pm x ON x.method = a JOIN pm y ON y.method = b"""),
+        SELECT a, b, round(x.m - y.m, 5) + 0.0 AS diff, round(lo, 5) + 0.0 AS ci_low, round(hi, 5) + 0.0 AS ci_high, round(p, 5) + 0.0 AS p_better, lo > 0 OR hi < 0 AS significant FROM q JOIN pm x ON x.method = a JOIN pm y ON y.method = b"""),
     "win_rate": (win_rate, f"""WITH {_DRAWS}, r AS (SELECT method, row_number() OVER (PARTITION BY rep ORDER BY m DESC, method) AS k FROM bm), w AS (SELECT method, count(*) AS n FROM r WHERE k = 1 GROUP BY 1)
         SELECT p.method AS method, round(coalesce(n, 0) / 2000.0, 6) + 0.0 AS win_rate FROM (SELECT DISTINCT method FROM mo) p LEFT JOIN w ON w.method = p.method""".replace("coalesce(n, 0) / 2000.0", "CAST(coalesce(n, 0) AS DOUBLE) / CAST(2000 AS DOUBLE)")),
     "mirkin_profile": (mirkin_profile, f"""WITH {_MIRKIN} SELECT label, feature, n, round(share, 4) + 0.0 AS share, round(m, 4) + 0.0 AS mean, round(gm, 4) + 0.0 AS global_mean, round(rel, 4) + 0.0 AS rel_dev, round(contrib, 4) + 0.0 AS contrib, round(100 * contrib / t, 4) + 0.0 AS "contrib_pct_T", round(100 * contrib / b, 4) + 0.0 AS "contrib_pct_B" FROM j, tb"""),
