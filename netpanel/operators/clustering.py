@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netpanel.operators import indices, kernels, vectors
+from netpanel.session import dealt
 
 
 def register(name: str, method: Callable) -> None:
@@ -56,7 +57,8 @@ def grid(points: DataFrame, edges: DataFrame, methods: Sequence[str], ks: Sequen
             out.append(pd.DataFrame({"period": period, "method": method, "k": k, "entity": ids, "label": np.asarray(labels, "int32"), "seconds": time.perf_counter() - began}))
         return pd.concat(out) if out else pd.DataFrame({"period": [], "method": [], "k": [], "entity": [], "label": [], "seconds": []}).astype({"period": "int64", "method": "str", "k": "int32", "entity": "int64", "label": "int32", "seconds": "float64"})
 
-    return left.groupBy("period", "method").cogroup(right.groupBy("period", "method")).applyInPandas(cluster, "period long, method string, k int, entity long, label int, seconds double")
+    key = ("period", "method")
+    return dealt(left, *key).groupBy(*key).cogroup(dealt(right, *key).groupBy(*key)).applyInPandas(cluster, "period long, method string, k int, entity long, label int, seconds double")
 
 
 def temporal(edges: DataFrame, nodes: DataFrame, k: int, omega: float = 0.25, min_size: int = 1, seed: int = 42) -> DataFrame:
@@ -84,7 +86,7 @@ def comovement_layer(growth: DataFrame, k: int = 10, lags: Sequence[int] = (0, 1
         ids = wide.columns.to_numpy()
         return pd.DataFrame({"t": int(rows["t"].iloc[0]), "i": ids[i], "j": ids[j], "w": w[i, j]})
 
-    return growth.groupBy("t").applyInPandas(layer, "t long, i long, j long, w double")
+    return dealt(growth, "t").groupBy("t").applyInPandas(layer, "t long, i long, j long, w double")
 
 
 def comovement_shrinkage(growth: DataFrame, lags: Sequence[int] = (0, 1)) -> DataFrame:
@@ -107,7 +109,7 @@ def fused_layer(layers: DataFrame, k: int = 10, rounds: int = 10, alpha: float =
         i, j = np.nonzero(np.triu(w, 1))
         return pd.DataFrame({"period": int(rows["period"].iloc[0]), "i": ids[i], "j": ids[j], "w": w[i, j]})
 
-    return layers.groupBy("period").applyInPandas(fuse, "period long, i long, j long, w double")
+    return dealt(layers, "period").groupBy("period").applyInPandas(fuse, "period long, i long, j long, w double")
 
 
 def layer_ablation(labels: DataFrame) -> DataFrame:
@@ -158,7 +160,8 @@ def bootstrap_membership(points: DataFrame, edges: DataFrame | None, labels: Dat
             votes[np.flatnonzero(hit), at[hit]] += 1
         return pd.DataFrame({"period": period, "entity": np.repeat(ids, k), "label": np.repeat(own, k), "voted": np.tile(known, len(ids)).astype("int32"), "votes": votes.ravel()})
 
-    votes = left.groupBy("period", "chunk").cogroup(right.groupBy("period", "chunk")).applyInPandas(vote, "period long, entity long, label int, voted int, votes long")
+    key = ("period", "chunk")
+    votes = dealt(left, *key).groupBy(*key).cogroup(dealt(right, *key).groupBy(*key)).applyInPandas(vote, "period long, entity long, label int, voted int, votes long")
     return votes.groupBy("period", "entity", "label", "voted").agg(F.sum("votes").alias("votes")).withColumn("probability", F.col("votes") / n)
 
 

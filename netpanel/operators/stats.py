@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from netpanel.functions.scalars import chi2_survival
 from netpanel.operators import graphs, indices, kernels
-from netpanel.session import kept
+from netpanel.session import dealt, kept
 
 #: Distinct values of a range that ranks are found in, about.
 RANGE_VALUES = 1_000_000
@@ -51,8 +51,8 @@ def permuted(labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_size"))
     upto = sizes.withColumn("_to", F.sum("_size").over(Window.orderBy("label")))  # a row for each label
     order = Window.partitionBy("rep").orderBy(mixed(F.col("entity"), F.col("rep"), seed), "entity")
-    dealt = replicates(labels.select("entity"), n).withColumn("_n", F.row_number().over(order))
-    met = dealt.join(F.broadcast(upto), (F.col("_n") <= F.col("_to")) & (F.col("_n") > F.col("_to") - F.col("_size")))
+    drawn = replicates(labels.select("entity"), n).withColumn("_n", F.row_number().over(order))
+    met = drawn.join(F.broadcast(upto), (F.col("_n") <= F.col("_to")) & (F.col("_n") > F.col("_to") - F.col("_size")))
     return met.select("rep", "entity", "label")
 
 
@@ -108,7 +108,7 @@ def panel_null(points: DataFrame, edges: DataFrame, labels: DataFrame, n: int, s
         return pd.DataFrame(out, columns=["period", "metric", "observed", "mean", "sd", "z", "p"]).astype({c: "float64" for c in ("observed", "mean", "sd", "z", "p")})
 
     right = edges.select(*[F.col(c).alias(c) for c in ("period", "i", "j", "w")])
-    found = rows.groupBy("period").cogroup(right.groupBy("period")).applyInPandas(compare, "period long, metric string, observed double, mean double, sd double, z double, p double")
+    found = dealt(rows, "period").groupBy("period").cogroup(dealt(right, "period").groupBy("period")).applyInPandas(compare, "period long, metric string, observed double, mean double, sd double, z double, p double")
     return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("observed", "mean", "sd", "z", "p")})
 
 
@@ -122,8 +122,8 @@ def configuration_null(edges: DataFrame, labels: DataFrame, n: int, metrics: Seq
         return pd.DataFrame({"rep": rep, "i": i, "j": j, "w": w})
 
     every = edges.select("i", "j", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("rep"))
-    dealt = every.groupBy("rep").applyInPandas(rewire, "rep long, i long, j long, w double")
-    null = graphs_by_replicate(dealt, replicates(labels, n), metrics)
+    drawn = dealt(every, "rep").groupBy("rep").applyInPandas(rewire, "rep long, i long, j long, w double")
+    null = graphs_by_replicate(drawn, replicates(labels, n), metrics)
     return compared_to_null(indices.graph_indices(edges, labels), null, metrics)
 
 
@@ -269,7 +269,7 @@ def stability(points: DataFrame, edges: DataFrame | None, run, k: int, n: int =
 
     rows = points.select("period", "entity", "x")
     links = edges.select(*[F.col(c).alias(c) for c in ("period", "i", "j", "w")]) if edges is not None else rows.limit(0).select("period", F.col("entity").alias("i"), F.col("entity").alias("j"), F.lit(1.0).alias("w"))
-    done = kept(rows.groupBy("period").cogroup(links.groupBy("period")).applyInPandas(cluster, "period long, rep long, entity long, label int"))
+    done = kept(dealt(rows, "period").groupBy("period").cogroup(dealt(links, "period").groupBy("period")).applyInPandas(cluster, "period long, rep long, entity long, label int"))
     part, whole = done.filter("rep >= 0"), done.filter("rep < 0").drop("rep")
     a, b = part.select("period", F.col("rep").alias("a"), "entity", F.col("label").alias("la")), part.select("period", F.col("rep").alias("b"), "entity", F.col("label").alias("lb"))
     pairs = indices.adjusted_rand(a.join(b, ["period", "entity"]).filter("a < b"), "la", "lb", ["period", "a", "b"])

@@ -45,3 +45,9 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/netpanel/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to tasks by key for work that is dear and data that are small: adaptive execution, which goes by bytes, would make one task of many keys."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism), *keys)
