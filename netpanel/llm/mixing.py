@@ -5,10 +5,13 @@ with a_s of the H parts of all sources has weight w = a_s / H. Its block i may n
 (release) and must have run by slot ceil((i + 1) / w) (deadline). Earliest deadline first among the released
 blocks meets all deadlines, so after any number of slots each source has run its weighted share of
 blocks to within less than one block. Releases and deadlines repeat every H slots (a round), so one round
-is scheduled, by a fold over its H slots, and every block's slot follows from its number: round
-i div a_s, place i mod a_s. When a source's blocks end, the following rounds are of the sources that are
+is scheduled, and every block's slot follows from its number: round i div a_s, place i mod a_s. All parts add up to H, so no
+slot is idle, and between one release and the next the blocks that are ready run in the order of their deadlines: a fold
+over the round's different releases, of which there are no more than the different parts have in all, whatever the number of sources.
+When a source's blocks end, the following rounds are of the sources that are
 left, with their parts: at most one schedule for each number of rounds at which some source ends. No
-document is dropped or repeated.
+document is dropped or repeated. The schedules of all phases have no more entries than the sources' rounds have slots; one
+round's slots, at least one for each source, are an array of one task.
 
 Block numbers are running sums of characters within a source. A source may hold most rows, so they are
 taken within (source, first hex digits of the md5), of bounded size, plus the sums of the buckets before. Rows without a doc_id, whose
@@ -18,8 +21,7 @@ A document longer than a block uses up the blocks it spans; it stands where its
 Nulls, empties, repeats: a null source is a source of its own, with the default part, as is the empty
 one. A null text counts as empty and is kept; an empty one takes up one
 character. Rows with equal doc_id come in the order of their text's hash; a null doc_id has the md5 of the
-empty string. More than MOST_SOURCES different sources raise an error, before anything is written. An empty table gives no row. Columns named like
-the result's are replaced by it.
+empty string. An empty table gives no row. Columns named like the result's are replaced by it.
 """
 
 from __future__ import annotations
@@ -31,22 +33,34 @@ from pyspark.sql import functions as F
 
 from netpanel.llm import shared
 
-#: More sources than this are refused: every number of rounds at which one ends has a schedule of its own, of a slot for each part.
-MOST_SOURCES = 4096
 #: The md5 of the empty string.
 NO_ID = "d41d8cd98f00b204e9800998ecf8427e"
 #: Rows of a bucket of a source, about.
 BUCKET_ROWS = 2_000
 
-#: One round: a fold over its slots. c: blocks run of each source; o: the source of each slot.
+#: Rows that meet one place of a source's schedule in one task, about.
+PLACE_ROWS = 100_000
+#: A schedule of up to so many entries is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ENTRIES = 65_536
+
+#: One round: a fold over its releases. ready: released blocks, by deadline, then source; run: those run between one release and the next.
 _ROUND = """
 aggregate(
-  sequence(0, H - 1),
-  named_struct('c', transform(parts, a -> 0), 'o', cast(array() as array<int>)),
-  (acc, t) -> transform(array(array_min(transform(parts, (a, i) ->
-      if(acc.c[i] < a and (acc.c[i] * H) div a <= t, struct(((acc.c[i] + 1) * H + a - 1) div a as deadline, i as i), null)))),
-    best -> named_struct('c', transform(acc.c, (n, i) -> if(i = best.i, n + 1, n)), 'o', concat(acc.o, array(best.i))))[0],
-  acc -> acc.o)
+  sequence(0, size(events) - 1),
+  named_struct('ready', filter(events[0].blocks, b -> false), 'run', filter(array(events[0].blocks), b -> false)),
+  (acc, k) -> transform(array(sort_array(concat(acc.ready, events[k].blocks))),
+    ready -> transform(array(cast(coalesce(get(events, k + 1).release, H) - events[k].release as int)),
+      gap -> named_struct('ready', slice(ready, gap + 1, size(ready)), 'run', concat(acc.run, array(slice(ready, 1, gap))))))[0][0],
+  acc -> flatten(acc.run))
+"""
+#: The phase that holds a round: binary search in an array sorted by begin.
+_PHASE = """
+phases[aggregate(
+  sequence(0, cast(log2(size(phases)) as int)),
+  named_struct('lo', 0, 'hi', size(phases)),
+  (acc, k) -> transform(array(cast((acc.lo + acc.hi) div 2 as int)),
+    mid -> if(phases[mid].begin <= round, named_struct('lo', mid, 'hi', acc.hi), named_struct('lo', acc.lo, 'hi', mid)))[0],
+  acc -> acc.lo)]
 """
 
 
@@ -73,47 +87,47 @@ def interleave(docs: DataFrame, parts: dict[str, int] | None = None, default_par
     side = F.when(F.col("_id").isNull(), F.concat(F.lit("1"), F.substring(F.coalesce(tie, F.lit("")), 1, digits))).when(F.col("_md5") < NO_ID, "0").otherwise("2")
     rows = rows.withColumn("_bucket", F.concat(F.substring("_md5", 1, digits), side))
 
-    # characters before each bucket of a source
-    sums = shared.written(rows.groupBy("_source", "_bucket").agg(F.sum("_chars").alias("chars"), F.count(F.lit(1)).alias("copies")), "mixing-buckets", rows=total // 50)
+    # characters before each bucket of a source, and tasks that a place of its schedule is dealt to
+    given = F.create_map(*[x for s, a in (parts or {}).items() for x in (F.lit("+" + s), F.lit(a))]) if parts else None
+    part = (F.coalesce(given[F.col("_source")], F.lit(default_part)) if parts else F.lit(default_part)).cast("int")
+    salts = F.greatest(F.ceil(F.col("copies") / (part.cast("long") * PLACE_ROWS)), F.lit(1)).cast("int")
+    sums = shared.written(rows.groupBy("_source", "_bucket").agg(F.sum("_chars").alias("chars"), F.count(F.lit(1)).alias("n")), "mixing-buckets", rows=total // 50)
     of_source = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_source", "_bucket", F.coalesce(F.sum("chars").over(of_source), F.lit(0)).alias("_before"))
+    offsets = sums.select("_source", "_bucket", F.coalesce(F.sum("chars").over(of_source), F.lit(0)).alias("_before"), F.sum("n").over(Window.partitionBy("_source")).alias("copies"))
+    offsets = offsets.select("_source", "_bucket", "_before", salts.alias("_salts"))
     within = Window.partitionBy("_source", "_bucket").orderBy("_md5", "_id", "_tie")
     placed = rows.join(offsets, ["_source", "_bucket"])
     placed = placed.withColumn("_at", F.col("_before") + F.sum("_chars").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_chars"))
     placed = placed.withColumn("block", F.expr(f"_at div {block_chars}L"))
 
     # sources, their parts and rounds
-    given = F.create_map(*[x for s, a in (parts or {}).items() for x in (F.lit("+" + s), F.lit(a))]) if parts else None
-    part = F.coalesce(given[F.col("_source")], F.lit(default_part)) if parts else F.lit(default_part)
-    sources = sums.groupBy("_source").agg(F.sum("chars").alias("chars")).withColumn("part", part.cast("int"))
+    sources = sums.groupBy("_source").agg(F.sum("chars").alias("chars"), F.sum("n").alias("copies")).withColumn("part", part)
     sources = sources.withColumn("rounds", F.expr(f"greatest(1L, ((chars - 1L) div {block_chars}L + part) div part)"))
-    sources = shared.written(sources.select("_source", "part", "rounds"), "mixing-sources", rows=MOST_SOURCES)
-    n = sources.count()
-    if n > MOST_SOURCES:
-        raise ValueError(f"{n} sources; a mixture has at most {MOST_SOURCES}")
+    sources = shared.written(sources.select("_source", "part", "rounds", salts.alias("salts")), "mixing-sources", rows=total // 50)
 
-    # a phase: the rounds between two numbers of rounds at which some source ends
+    # a phase: the rounds between two numbers of rounds at which some source ends. Of B blocks in all there are at most sqrt(2 B) phases
     ends = sources.select(F.col("rounds").alias("end")).distinct()
-    by_end = Window.orderBy("end")  # at most a row for each source
+    by_end = Window.orderBy("end")
     phases = ends.select("end", F.coalesce(F.lag("end").over(by_end), F.lit(0)).alias("begin"))
-    active = phases.join(F.broadcast(sources), F.col("rounds") >= F.col("end"))
-    phases = active.groupBy("begin", "end").agg(F.sort_array(F.collect_list(F.struct("_source", "part"))).alias("s"), F.sum("part").cast("int").alias("H"))
-    phases = phases.withColumn("parts", F.expr("transform(s, x -> x.part)"))
+    active = sources.join(F.broadcast(phases), F.col("rounds") >= F.col("end"))
     before = Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    phases = phases.withColumn("base", F.coalesce(F.sum(F.expr("H * (end - begin)")).over(before), F.lit(0)))
-    slots = phases.select("begin", "end", "base", "H", "s", F.posexplode(F.expr(_ROUND)).alias("in_round", "i"))
-    slots = slots.select("begin", "end", "base", "H", F.expr("s[i]._source").alias("_source"), F.expr("s[i].part").alias("part"), "in_round")
-    nth = Window.partitionBy("begin", "_source").orderBy("in_round")
-    schedule = slots.withColumn("place", F.row_number().over(nth) - 1)
-    # a source's schedules by (source, place): at most one for each phase
-    schedule = schedule.groupBy("_source", "place", "part").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "base", "H", "in_round"))).alias("phases"))
-    schedule = shared.written(schedule, "mixing-schedule", rows=n)
-
-    out = placed.join(F.broadcast(sources.select("_source", F.col("part").alias("_part"))), "_source")
-    out = out.withColumns({"round": F.expr("least(block div _part, block)"), "_place": F.expr("block % _part")})
-    bounded = F.broadcast(schedule.select(F.col("_source").alias("_s"), F.col("place").alias("_p"), "phases")) if n * n <= 65536 else schedule.select(F.col("_source").alias("_s"), F.col("place").alias("_p"), "phases")
-    out = out.join(bounded, (F.col("_source") == F.col("_s")) & (F.col("_place") == F.col("_p")))
-    out = out.withColumn("_phase", F.expr("filter(phases, p -> p.begin <= round and round < p.end)[0]"))
+    heads = active.groupBy("begin", "end").agg(F.sum("part").alias("H"))
+    heads = heads.select("begin", "H", F.coalesce(F.sum(F.expr("H * (end - begin)")).over(before), F.lit(0)).alias("base"))
+    blocks = active.join(F.broadcast(heads), "begin").select("begin", "base", "H", "_source", "part", "salts", F.explode(F.expr("sequence(0, part - 1)")).alias("place"))
+    block = F.struct(F.expr("((place + 1) * H + part - 1) div part").alias("deadline"), "_source", "place", "salts")
+    events = blocks.groupBy("begin", "base", "H", F.expr("place * H div part").alias("release")).agg(F.collect_list(block).alias("blocks"))
+    events = events.groupBy("begin", "base", "H").agg(F.sort_array(F.collect_list(F.struct("release", "blocks"))).alias("events"))
+    slots = events.select("begin", "base", "H", F.posexplode(F.expr(_ROUND)).alias("in_round", "b"))
+    # a source's schedules by (source, place): at most one for each phase, and in all no more than there are blocks
+    schedule = slots.groupBy("b._source", "b.place", "b.salts").agg(F.sort_array(F.collect_list(F.struct("begin", "base", "H", "in_round"))).alias("phases"))
+    schedule = shared.written(schedule, "mixing-schedule", rows=total // 50)
+    entries = schedule.agg(F.sum(F.size("phases") * F.col("salts").cast("long"))).first()[0] or 0
+
+    out = placed.withColumn("_part", part).withColumns({"round": F.expr("block div _part"), "_place": F.expr("block % _part"), "_salt": F.expr("pmod(xxhash64(_md5, _tie), _salts)")})
+    dealt = schedule.select(F.col("_source").alias("_s"), F.col("place").alias("_p"), F.explode(F.expr("sequence(0L, salts - 1L)")).alias("_n"), "phases")
+    dealt = F.broadcast(dealt) if entries <= BROADCAST_ENTRIES else dealt
+    out = out.join(dealt, (F.col("_source") == F.col("_s")) & (F.col("_place") == F.col("_p")) & (F.col("_salt") == F.col("_n")))
+    out = out.withColumn("_phase", F.expr(_PHASE))
     out = out.withColumn("slot", F.expr("_phase.base + (round - _phase.begin) * _phase.H + _phase.in_round"))
     return out.withColumn("rank", F.expr(f"_at - block * {block_chars}L")).select("_row.*", "block", "round", "slot", "rank")
 

@@ -471,3 +471,23 @@ def test_mixing_of_many_rows_without_an_id(spark, monkeypatch):
     md5 = lambda d: hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()
     want = sorted(got, key=lambda r: (md5(r.doc_id), r.doc_id or 0, r.h))
     assert len(got) == 300 and [r.text for r in got] == [r.text for r in want]
+
+
+@pytest.mark.parametrize("entries", [0, 1 << 16])
+def test_mixing_of_many_sources(spark, monkeypatch, entries):
+    """Thousands of sources, hot ones among them, in the order that a simulation gives; places dealt to several tasks."""
+    monkeypatch.setattr(mixing, "BROADCAST_ENTRIES", entries)
+    monkeypatch.setattr(mixing, "PLACE_ROWS", 20)
+    rows = [(k, "x" * (k % 13), "hot" if k % 3 == 0 else "warm" if k % 7 == 0 else f"site{k % 701}") for k in range(4000)]
+    parts = {"hot": 40, "warm": 9, "site1": 4}
+    got = mixing.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), parts, block_chars=10).collect()
+    blocks, slots = mixed_by_hand(rows, parts, 10)
+    assert len(got) == len(rows)
+    assert all((r.source, r.block) in blocks[r.doc_id] and slots[r.source, r.block] == r.slot for r in got)
+
+
+def test_mixing_of_sources_beyond_thousands(spark):
+    """Every source's first block lies in the first round."""
+    docs = spark.range(30_000).selectExpr("id doc_id", "'text' text", "concat('host', id % 10000) source")
+    got = mixing.interleave(docs, block_chars=65536).agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).first()
+    assert (got.n, got.slots, got.last) == (30_000, 10_000, 9_999)
