@@ -1,74 +1,80 @@
-"""Queries on versions, distances, keys and external statistics; inline fixtures and star-schema tables."""
+"""Queries on versions, distances, keys and external statistics, all from the star-schema tables."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from netpanel.operators import entities, external, panel
 from netpanel.plans.panel_queries import rounded
 from netpanel.sources import tables
 
-# Small inputs that both engines read as inline rows.
-VERSIONS = "(1, 2010, 2020, 'old'), (1, 2020, 9999, 'new'), (2, 2005, 2015, 'gone'), (2, 2001, 2005, 'first'), (3, 2021, 9999, 'future'), (4, 2000, 2022, 'x'), (4, 2022, 9999, 'y')"
-PAIRS = "(2, 1, CAST(100 AS DOUBLE), 'highway'), (3, 1, CAST(0 AS DOUBLE), 'highway'), (3, 2, CAST(50 AS DOUBLE), 'railway'), (2, 3, CAST(60 AS DOUBLE), 'railway'), (9, 1, CAST(7 AS DOUBLE), 'highway')"
-PLACES = "(1, CAST(55 AS DOUBLE), CAST(37 AS DOUBLE)), (2, CAST(55 AS DOUBLE), CAST(38 AS DOUBLE)), (3, CAST(56 AS DOUBLE), CAST(37 AS DOUBLE)), (4, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)), (5, CAST(60 AS DOUBLE), CAST(30 AS DOUBLE))"
-POINTS = "(4, CAST(58 AS DOUBLE), CAST(39 AS DOUBLE)), (5, CAST(1 AS DOUBLE), CAST(1 AS DOUBLE))"
-CODES = "('1512000'), ('01512000'), ('46-701-000-001'), (''), ('abc'), ('123456789012'), (CAST(NULL AS STRING))"
-SECTIONS = "('Раздел А Сельское'), ('Раздел B Добыча'), ('РАЗДЕЛ с'), ('Всего по обследуемым'), ('прочее'), ('Раздел  М x')"
-SECTOR_ROWS = "('01', 'A', CAST(100 AS DOUBLE), CAST(40000 AS DOUBLE)), ('01', 'B', CAST(75 AS DOUBLE), CAST(60000 AS DOUBLE)), ('01', 'C', CAST(25 AS DOUBLE), CAST(40000 AS DOUBLE)), ('01', 'D', CAST(NULL AS DOUBLE), CAST(30000 AS DOUBLE)), ('01', 'E', CAST(NULL AS DOUBLE), CAST(50000 AS DOUBLE)), ('02', 'A', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)), ('02', 'Z', CAST(5 AS DOUBLE), CAST(1 AS DOUBLE))"
+# Inputs of the operators, taken from whole tables; both engines read the same text, in which tables stand in braces.
+VERSIONS = "SELECT o_custkey AS entity, CAST(year(o_orderdate) AS BIGINT) AS year_from, CAST(year(o_orderdate) + 1 + count(*) % 3 AS BIGINT) AS year_to, min(o_orderpriority) AS name FROM {orders} GROUP BY o_custkey, year(o_orderdate)"
+PAIRS = "SELECT l_suppkey AS x, l_orderkey % 97 AS y, l_quantity - 1 AS distance, CASE WHEN l_linestatus = 'O' THEN 'highway' ELSE 'railway' END AS type FROM {lineitem}"
+PLACES = "SELECT s_suppkey AS entity, CASE WHEN s_acctbal > 0 THEN 40 + s_acctbal / 1000 END AS lat, CASE WHEN s_acctbal > 0 THEN CAST(30 + s_nationkey AS DOUBLE) END AS lon FROM {supplier}"
+POINTS = "SELECT c_custkey AS entity, CAST(50 + c_nationkey AS DOUBLE) AS lat, CAST(c_nationkey AS DOUBLE) AS lon FROM {customer} WHERE c_acctbal > 5000"
+CODES = "SELECT c_name AS raw FROM {customer} UNION SELECT s_name FROM {supplier} UNION SELECT p_brand FROM {part} UNION SELECT p_type FROM {part} UNION SELECT o_orderpriority FROM {orders}"
+SECTIONS = "SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'Раздел ' WHEN 1 THEN 'РАЗДЕЛ  ' WHEN 2 THEN 'Всего ' ELSE '' END || substr('АВЕКМНОРСТХABCabc', CAST(p_partkey % 17 + 1 AS INT), 1) || ' ' || p_name AS label FROM {part}"
+SECTOR_ROWS = "SELECT CAST(l_suppkey AS STRING) AS oktmo8, substr('ABCDEZ', CAST(l_linenumber % 6 + 1 AS INT), 1) AS section, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS employees, CASE WHEN l_discount < 0.09 THEN l_extendedprice END AS wage FROM {lineitem}"
 SECTOR_OF = {"A": "farm", "B": "energy", "C": "energy", "D": "estate", "E": "estate"}
-KEYED_A = "('01', '10', 1), ('02', '20', 2), ('20', '99', 3), ('05', '30', 4), ('06', '30', 5), ('07', NULL, 6)"
-KEYED_B = "('01'), ('20'), ('30'), ('10')"
-MATCH_DICT = "(1, 'c1', NULL, NULL), (2, 'c2', NULL, NULL), (3, 'c3', NULL, NULL), (4, 'c4', 'u1', NULL), (5, 'c5', NULL, 'u1'), (6, 'c6', NULL, 'u1'), (7, 'c7', NULL, NULL)"
-MATCH_ROWS = "('c1', 's1', CAST(10 AS DOUBLE), CAST(50 AS DOUBLE), CAST(10 AS DOUBLE)), ('x2', 'c2', CAST(4 AS DOUBLE), CAST(70 AS DOUBLE), CAST(20 AS DOUBLE)), ('c5', 's5', CAST(100 AS DOUBLE), CAST(100 AS DOUBLE), CAST(10 AS DOUBLE)), ('c6', 's6', CAST(300 AS DOUBLE), CAST(300 AS DOUBLE), CAST(30 AS DOUBLE)), ('x7', 'c7', CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)), ('y7', 'c7', CAST(2 AS DOUBLE), CAST(5 AS DOUBLE), CAST(6 AS DOUBLE))"
-DERIVED = "('a', CAST(100 AS DOUBLE), CAST(10 AS DOUBLE), CAST(20 AS DOUBLE), CAST(50000 AS DOUBLE)), ('b', CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(25000 AS DOUBLE)), ('c', CAST(80 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)), ('d', CAST(60 AS DOUBLE), CAST(30 AS DOUBLE), CAST(40 AS DOUBLE), CAST(75000 AS DOUBLE))"
+KEYED_A = "SELECT CAST(c_custkey * 2 + 1 AS STRING) AS code, CAST(c_custkey - c_custkey % 4 AS STRING) AS stable, c_custkey AS v FROM {customer}"
+KEYED_B = "SELECT CAST(s_suppkey AS STRING) AS code FROM {supplier}"
+_UNION = "'u' || CAST(s_suppkey - s_suppkey % 10 AS STRING)"
+MATCH_DICT = f"SELECT s_suppkey AS entity, 'c' || CAST(s_suppkey AS STRING) AS code, CASE WHEN s_nationkey % 5 = 4 THEN {_UNION} END AS change_from, CASE WHEN s_nationkey % 5 = 1 THEN {_UNION} END AS change_to FROM {{supplier}}"
+MATCH_ROWS = "SELECT CASE WHEN c_nationkey < 8 THEN 'c' ELSE 'x' END || CAST(c_custkey AS STRING) AS code, 'c' || CAST(c_custkey - c_custkey % 3 AS STRING) AS stable, CAST(c_nationkey + 1 AS DOUBLE) AS weight, CASE WHEN c_acctbal > -500 THEN CAST(c_nationkey AS DOUBLE) END AS population, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal + 1000 END AS mean_wage FROM {customer}"
+DERIVED = "SELECT l_suppkey AS code, sum(l_quantity) AS total, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS farm, sum(CASE WHEN l_returnflag = 'A' AND l_discount > 0.095 AND l_quantity > 45 THEN l_quantity END) AS energy, max(l_extendedprice) AS wage FROM {lineitem} GROUP BY l_suppkey"
 
 
-def inline(spark, rows: str, columns: str):
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+def relation(spark, sf_dir, sql: str):
+    """The rows of such a text."""
+    names = set(re.findall(r"{(\w+)}", sql))
+    return spark.sql(sql, **{n: tables.table(spark, sf_dir, n) for n in names})
 
 
-def _duck(rows: str) -> str:
-    return rows.replace("AS STRING", "AS VARCHAR")
+def in_sql(sql: str) -> str:
+    """The text for an engine that has the tables as views."""
+    return re.sub(r"{(\w+)}", r"\1", sql)
 
 
 def asof_version(spark, sf_dir):
-    rows = inline(spark, VERSIONS, "entity, year_from, year_to, name")
-    return entities.as_of(rows, 2021).select("entity", "name", "is_current")
+    rows = relation(spark, sf_dir, VERSIONS)
+    return entities.as_of(rows, 1998).select("entity", "name", "is_current")
 
 
 def distances(spark, sf_dir):
-    located = entities.centres(inline(spark, PLACES, "entity, lat, lon"), inline(spark, POINTS, "entity, lat, lon"))
-    return rounded(entities.distances(located, inline(spark, PAIRS, "x, y, distance, type")), 4)
+    located = entities.centres(relation(spark, sf_dir, PLACES), relation(spark, sf_dir, POINTS))
+    return rounded(entities.distances(located, relation(spark, sf_dir, PAIRS)), 4)
 
 
 def code_normalise(spark, sf_dir):
     from netpanel.functions.scalars import code8
 
-    return inline(spark, CODES, "raw").select("raw", code8("raw").alias("code"))
+    return relation(spark, sf_dir, CODES).select("raw", code8("raw").alias("code"))
 
 
 def section_code(spark, sf_dir):
     from netpanel.functions.scalars import section_code as code
 
-    return inline(spark, SECTIONS, "label").select("label", code("label").alias("section"))
+    return relation(spark, sf_dir, SECTIONS).select("label", code("label").alias("section"))
 
 
 def sector_aggregate(spark, sf_dir):
-    return rounded(external.sector_aggregate(inline(spark, SECTOR_ROWS, "oktmo8, section, employees, wage"), SECTOR_OF))
+    return rounded(external.sector_aggregate(relation(spark, sf_dir, SECTOR_ROWS), SECTOR_OF), 4)
 
 
 def rekeyed(spark, sf_dir):
-    return entities.rekeyed(inline(spark, KEYED_A, "code, stable, v"), inline(spark, KEYED_B, "code"), "code", "stable")
+    return entities.rekeyed(relation(spark, sf_dir, KEYED_A), relation(spark, sf_dir, KEYED_B), "code", "stable")
 
 
 def keyed_fallback_match(spark, sf_dir):
-    d = inline(spark, MATCH_DICT, "entity, code, change_from, change_to").selectExpr("entity", "code", "cast(change_from as string) change_from", "cast(change_to as string) change_to")
-    return rounded(entities.fallback_match(d, inline(spark, MATCH_ROWS, "code, stable, weight, population, mean_wage"), ["population", "mean_wage"]))
+    d = relation(spark, sf_dir, MATCH_DICT)
+    return rounded(entities.fallback_match(d, relation(spark, sf_dir, MATCH_ROWS), ["population", "mean_wage"]))
 
 
 def derived_shares(spark, sf_dir):
-    return rounded(external.derive(inline(spark, DERIVED, "code, total, farm, energy, wage"), ["farm", "energy"]))
+    return rounded(external.derive(relation(spark, sf_dir, DERIVED), ["farm", "energy"]))
 
 
 def weighted_wage(spark, sf_dir):
@@ -115,10 +121,10 @@ def section_outer(spark, sf_dir):
 _HAV = "2 * 6371.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))))"
 
 def assembled(spark, sf_dir):
-    """Customers and suppliers of each nation, whichever there are; the nation's name from the first that has it."""
+    """Rich customers and suppliers of each nation, whichever there are; the nation's name from the first that has it."""
     nation = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), "n_name")
-    side = lambda t, c, n, odd: tables.table(spark, sf_dir, t).filter(f"{c} % 5 <> {odd}").groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias(n)).join(nation, "key")
-    people, firms = side("customer", "c_nationkey", "customers", 1), side("supplier", "s_nationkey", "suppliers", 2)
+    side = lambda t, c, n, rich: tables.table(spark, sf_dir, t).filter(rich).groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias(n)).join(nation, "key")
+    people, firms = side("customer", "c_nationkey", "customers", "c_acctbal > 9500"), side("supplier", "s_nationkey", "suppliers", "s_acctbal > 5000")
     return external.assembled(people, firms, ["n_name"], "key")
 
 
@@ -129,14 +135,14 @@ def year_events(spark, sf_dir):
 
 
 QUERIES = {
-    "assembled": (assembled, """WITH p AS (SELECT c_nationkey AS key, count(*) AS customers FROM customer WHERE c_nationkey % 5 <> 1 GROUP BY 1), f AS (SELECT s_nationkey AS key, count(*) AS suppliers FROM supplier WHERE s_nationkey % 5 <> 2 GROUP BY 1)
+    "assembled": (assembled, """WITH p AS (SELECT c_nationkey AS key, count(*) AS customers FROM customer WHERE c_acctbal > 9500 GROUP BY 1), f AS (SELECT s_nationkey AS key, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
         SELECT coalesce(p.key, f.key) AS key, customers, suppliers, n_name FROM p FULL JOIN f ON p.key = f.key JOIN nation ON n_nationkey = coalesce(p.key, f.key)"""),
     "year_events": (year_events, """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1"""),
-    "asof_version": (asof_version, f"""WITH v(entity, year_from, year_to, name) AS (VALUES {VERSIONS}),
-        f AS (SELECT *, year_from <= 2021 AND 2021 < year_to AS is_current FROM v),
+    "asof_version": (asof_version, f"""WITH v(entity, year_from, year_to, name) AS ({in_sql(VERSIONS)}),
+        f AS (SELECT *, year_from <= 1998 AND 1998 < year_to AS is_current FROM v),
         r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY CASE WHEN is_current THEN 0 ELSE 1 END, year_to DESC, year_from DESC) AS n FROM f)
         SELECT entity, name, is_current FROM r WHERE n = 1"""),
-    "distances": (distances, f"""WITH d(entity, lat0, lon0) AS (VALUES {PLACES}), p(entity, plat, plon) AS (VALUES {POINTS}), e(x, y, distance, type) AS (VALUES {PAIRS}),
+    "distances": (distances, f"""WITH d(entity, lat0, lon0) AS ({in_sql(PLACES)}), p(entity, plat, plon) AS ({in_sql(POINTS)}), e(x, y, distance, type) AS ({in_sql(PAIRS)}),
         l AS (SELECT d.entity AS entity, coalesce(lat0, plat) AS lat, coalesce(lon0, plon) AS lon FROM d LEFT JOIN p ON d.entity = p.entity),
         c AS (SELECT least(x, y) AS i, greatest(x, y) AS j, type, min(distance) AS distance FROM e GROUP BY 1, 2, 3),
         q AS (SELECT a.entity AS i, b.entity AS j, h.distance AS hw, r.distance AS rw, {_HAV} * 1.3 AS gc
@@ -144,18 +150,18 @@ QUERIES = {
               LEFT JOIN c h ON h.i = a.entity AND h.j = b.entity AND h.type = 'highway' LEFT JOIN c r ON r.i = a.entity AND r.j = b.entity AND r.type = 'railway')
         SELECT i, j, round(CASE WHEN coalesce(hw, rw, gc) <= 0 THEN 5.0 ELSE coalesce(hw, rw, gc) END, 4) + 0.0 AS km,
                CASE WHEN hw IS NOT NULL THEN 'highway' WHEN rw IS NOT NULL THEN 'railway' ELSE 'circle' END AS source FROM q WHERE coalesce(hw, rw, gc) IS NOT NULL"""),
-    "code_normalise": (code_normalise, f"""WITH c(raw) AS (VALUES {_duck(CODES)}), d AS (SELECT raw, regexp_replace(raw, '[^0-9]', '', 'g') AS x FROM c)
+    "code_normalise": (code_normalise, f"""WITH c(raw) AS ({in_sql(CODES)}), d AS (SELECT raw, regexp_replace(raw, '[^0-9]', '', 'g') AS x FROM c)
         SELECT raw, CASE WHEN x <> '' THEN lpad(x, 8, '0') END AS code FROM d"""),
-    "section_code": (section_code, f"""WITH s(label) AS (VALUES {SECTIONS}), x AS (SELECT label, upper(regexp_extract(lower(trim(label)), 'раздел\\s+(\\S)', 1)) AS l FROM s)
+    "section_code": (section_code, f"""WITH s(label) AS ({in_sql(SECTIONS)}), x AS (SELECT label, upper(regexp_extract(lower(trim(label)), 'раздел\\s+(\\S)', 1)) AS l FROM s)
         SELECT label, CASE WHEN lower(trim(label)) LIKE 'всего%' THEN '_total' WHEN l <> '' THEN translate(l, 'АВЕКМНОРСТХ', 'ABEKMHOPCTX') END AS section FROM x"""),
-    "sector_aggregate": (sector_aggregate, f"""WITH r(oktmo8, section, employees, wage) AS (VALUES {SECTOR_ROWS}),
+    "sector_aggregate": (sector_aggregate, f"""WITH r(oktmo8, section, employees, wage) AS ({in_sql(SECTOR_ROWS)}),
         s AS (SELECT *, CASE section {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SECTOR_OF.items())} END AS sector, CASE WHEN employees IS NOT NULL AND wage IS NOT NULL THEN employees END AS b FROM r)
-        SELECT oktmo8, sector, round(sum(employees), 6) + 0.0 AS employees, round(coalesce(sum(b * wage) / nullif(sum(b), 0), avg(wage)), 6) + 0.0 AS wage, count(employees) AS reported FROM s WHERE sector IS NOT NULL GROUP BY 1, 2"""),
-    "rekeyed": (rekeyed, f"""WITH a(code, stable, v) AS (VALUES {KEYED_A}), b(code) AS (VALUES {KEYED_B}),
+        SELECT oktmo8, sector, round(sum(employees), 4) + 0.0 AS employees, round(coalesce(sum(b * wage) / nullif(sum(b), 0), avg(wage)), 4) + 0.0 AS wage, count(employees) AS reported FROM s WHERE sector IS NOT NULL GROUP BY 1, 2"""),
+    "rekeyed": (rekeyed, f"""WITH a(code, stable, v) AS ({in_sql(KEYED_A)}), b(code) AS ({in_sql(KEYED_B)}),
         m AS (SELECT *, code NOT IN (SELECT code FROM b) AND coalesce(stable IN (SELECT code FROM b), false) AND NOT coalesce(stable IN (SELECT code FROM a), false) AS moved FROM a),
         k AS (SELECT CASE WHEN moved THEN stable ELSE code END AS code, stable, v, row_number() OVER (PARTITION BY CASE WHEN moved THEN stable ELSE code END ORDER BY CASE WHEN moved THEN 1 ELSE 0 END, code) AS n FROM m)
         SELECT code, stable, v FROM k WHERE n = 1"""),
-    "keyed_fallback_match": (keyed_fallback_match, f"""WITH d(entity, code, change_from, change_to) AS (VALUES {MATCH_DICT}), s(code, stable, weight, population, mean_wage) AS (VALUES {MATCH_ROWS}),
+    "keyed_fallback_match": (keyed_fallback_match, f"""WITH d(entity, code, change_from, change_to) AS ({in_sql(MATCH_DICT)}), s(code, stable, weight, population, mean_wage) AS ({in_sql(MATCH_ROWS)}),
         f AS (SELECT entity, 1 AS via, population, mean_wage, weight FROM d JOIN s ON d.code = s.code
               UNION ALL SELECT entity, 2, population, mean_wage, weight FROM d JOIN s ON d.code = s.stable
               UNION ALL SELECT d.entity, 3, population, mean_wage, weight FROM d JOIN d o ON o.change_to = d.change_from JOIN s ON s.code = o.code),
@@ -165,7 +171,7 @@ QUERIES = {
               FROM f JOIN b ON f.entity = b.entity AND f.via = b.via GROUP BY 1, 2)
         SELECT d.entity AS entity, CASE WHEN via = 1 THEN 'exact' WHEN via = 2 AND n_sources = 1 THEN 'stable' WHEN via = 2 THEN 'aggregated' WHEN via = 3 THEN 'union' ELSE 'missing' END AS quality,
                coalesce(n_sources, 0) AS n_sources, round(population, 6) + 0.0 AS population, round(mean_wage, 6) + 0.0 AS mean_wage FROM d LEFT JOIN g ON d.entity = g.entity"""),
-    "derived_shares": (derived_shares, f"""WITH w(code, total, farm, energy, wage) AS (VALUES {DERIVED}),
+    "derived_shares": (derived_shares, f"""WITH w(code, total, farm, energy, wage) AS ({in_sql(DERIVED)}),
         s AS (SELECT *, farm / CASE WHEN total > 0 THEN total END AS share_farm, energy / CASE WHEN total > 0 THEN total END AS share_energy, coalesce(farm, energy) IS NOT NULL AND total > 0 AS known FROM w),
         t AS (SELECT *, CASE WHEN known THEN greatest(0.0, 1 - (coalesce(share_farm, 0.0) + coalesce(share_energy, 0.0))) END AS share_rest FROM s), m AS (SELECT median(wage) AS med FROM w)
         SELECT code, round(total, 6) + 0.0 AS total, round(farm, 6) + 0.0 AS farm, round(energy, 6) + 0.0 AS energy, round(wage, 6) + 0.0 AS wage, round(share_farm, 6) + 0.0 AS share_farm, round(share_energy, 6) + 0.0 AS share_energy, round(share_rest, 6) + 0.0 AS share_rest,

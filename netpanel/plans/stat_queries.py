@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from netpanel.operators import indices, interpret, stats
 from netpanel.plans import graph_queries
-from netpanel.plans.entity_queries import inline
+from netpanel.plans.entity_queries import in_sql, relation
 from netpanel.plans.label_queries import LABELS_SQL, types
 from netpanel.plans.panel_queries import CLR, PANEL_SQL, RAW_SQL, Z_SQL, _PARTS, raw, rounded, zscores
 from netpanel.sources import tables
 
-# method, metric, value: seven methods by six metrics, by a rule that gives ties.
-SCORES = ", ".join(f"('m{i}', '{k}', CAST({((i * 7 + j * 5) % 6) / 10 + 0.1} AS DOUBLE))" for i in range(7) for j, k in enumerate(("SW", "CH", "S_Dbw", "AVI", "AVU", "Q")))
-Z_ROWS = ", ".join(f"('{m}', {k}, '{c}', {t}, CAST({v} AS DOUBLE))" for m, base in (("a", 1), ("b", 2)) for k in (4, 5, 6) for c, s in (("AVU", 3), ("SW", 5)) for t in (1, 2) for v in [round(((k * s * base) % 7) + t / 10, 3)])
-ARI_ROWS = "('a', 4, CAST(0.9 AS DOUBLE)), ('a', 5, CAST(0.7 AS DOUBLE)), ('a', 5, CAST(0.8 AS DOUBLE))"
-MEANS = "(0, CAST(1.2 AS DOUBLE), CAST(0.1 AS DOUBLE)), (1, CAST(1.4 AS DOUBLE), CAST(-0.2 AS DOUBLE)), (2, CAST(-0.9 AS DOUBLE), CAST(0.8 AS DOUBLE)), (3, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE))"
-RULES = [{"name": "rich", "when": {"level": {"min": "high"}}}, {"name": "poor", "when": {"level": {"max": -0.5}, "food": {"min": 0.5}}}]
-THRESHOLDS = {"high": 1.0}
+_RATIO = "CAST(count(CASE WHEN {} THEN 1 END) AS DOUBLE) / CAST(count(*) AS DOUBLE)".format
+# method, metric, value: figures of each nation's lines under the names of metrics, some with ties.
+SCORES = f"""WITH b AS (SELECT 'm' || CAST(s_nationkey AS STRING) AS method, {_RATIO("l_returnflag = 'R'")} AS sw, CAST(count(*) AS DOUBLE) AS ch, CAST(max(l_linenumber) AS DOUBLE) AS sd, {_RATIO("l_linestatus = 'O'")} AS avi, {_RATIO("l_quantity <= 25")} AS avu, CAST(count(DISTINCT l_quantity) AS DOUBLE) AS q
+    FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey GROUP BY s_nationkey)
+    SELECT method, 'SW' AS metric, sw AS value FROM b UNION ALL SELECT method, 'CH', ch FROM b UNION ALL SELECT method, 'S_Dbw', sd FROM b UNION ALL SELECT method, 'AVI', avi FROM b UNION ALL SELECT method, 'AVU', avu FROM b UNION ALL SELECT method, 'Q', q FROM b"""
+# method, k, metric, period, z; and method, k, ari, which the largest k lacks.
+Z_ROWS = f"""WITH b AS (SELECT l_returnflag AS method, CAST(3 + l_linenumber AS BIGINT) AS k, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS BIGINT) AS period, {_RATIO("l_quantity <= 25")} AS avu, {_RATIO("l_discount <= 0.05")} AS sw FROM {{lineitem}} GROUP BY 1, 2, 3)
+    SELECT method, k, 'AVU' AS metric, period, avu AS z FROM b UNION ALL SELECT method, k, 'SW', period, sw FROM b"""
+ARI_ROWS = f"SELECT l_returnflag AS method, CAST(3 + l_linenumber AS BIGINT) AS k, {_RATIO('l_tax <= 0.04')} AS ari FROM {{lineitem}} WHERE l_linenumber < 7 GROUP BY l_returnflag, l_linenumber, year(l_shipdate)"
+# label, level, food: shares of each nation's customers.
+MEANS = f"SELECT c_nationkey AS label, {_RATIO('c_acctbal > 5000')} AS level, {_RATIO("c_mktsegment = 'BUILDING'")} AS food FROM {{customer}} GROUP BY c_nationkey"
+RULES = [{"name": "rich", "when": {"level": {"min": "high"}}}, {"name": "poor", "when": {"level": {"max": 0.4}, "food": {"min": 0.2}}}]
+THRESHOLDS = {"high": 0.5}
+#: The rule that a nation's name came from.
+NAMED = {k: k % 2 for k in range(25)}
+BOUNDS_SQL = ", ".join(b for k, rule in NAMED.items() for b in ([f"({k}, 'level', 'min', CAST(0.5 AS DOUBLE))"] if rule == 0 else [f"({k}, 'level', 'max', CAST(0.4 AS DOUBLE))", f"({k}, 'food', 'min', CAST(0.2 AS DOUBLE))"]))
 DIRECTIONS_SQL = "dir(metric, d) AS (VALUES " + ", ".join(f"('{m}', CAST({d} AS DOUBLE))" for m, d in indices.DIRECTION.items()) + ")"
 
 
@@ -33,23 +42,23 @@ def _mix_sql(*keys: str) -> str:
 
 
 def oriented_metrics(spark, sf_dir):
-    return rounded(indices.oriented(inline(spark, SCORES, "method, metric, value")))
+    return rounded(indices.oriented(relation(spark, sf_dir, SCORES)))
 
 
 def borda(spark, sf_dir):
-    return rounded(stats.borda(inline(spark, SCORES, "method, metric, value")))
+    return rounded(stats.borda(relation(spark, sf_dir, SCORES)))
 
 
 def threshold_rank(spark, sf_dir):
-    return stats.threshold_rank(inline(spark, SCORES, "method, metric, value"), 3)
+    return stats.threshold_rank(relation(spark, sf_dir, SCORES), 3)
 
 
 def best_by_metric(spark, sf_dir):
-    return rounded(interpret.best_by_metric(inline(spark, SCORES, "method, metric, value")))
+    return rounded(interpret.best_by_metric(relation(spark, sf_dir, SCORES)))
 
 
 def k_selection(spark, sf_dir):
-    return rounded(stats.k_selection(inline(spark, Z_ROWS, "method, k, metric, period, z"), inline(spark, ARI_ROWS, "method, k, ari")))
+    return rounded(stats.k_selection(relation(spark, sf_dir, Z_ROWS), relation(spark, sf_dir, ARI_ROWS)))
 
 
 def kruskal_eta(spark, sf_dir):
@@ -136,11 +145,11 @@ def categorical_validation(spark, sf_dir):
 
 
 def rule_names(spark, sf_dir):
-    return interpret.rule_names(inline(spark, MEANS, "label, level, food"), RULES, THRESHOLDS).select("label", "name", "rule")
+    return interpret.rule_names(relation(spark, sf_dir, MEANS), RULES, THRESHOLDS).select("label", "name", "rule")
 
 
 def rule_violations(spark, sf_dir):
-    return interpret.rule_violations(inline(spark, MEANS, "label, level, food"), {0: RULES[0], 2: RULES[0], 3: RULES[1]}, THRESHOLDS)
+    return interpret.rule_violations(relation(spark, sf_dir, MEANS), {k: RULES[r] for k, r in NAMED.items()}, THRESHOLDS)
 
 
 def profile_wide(spark, sf_dir):
@@ -185,15 +194,15 @@ sz AS (SELECT max(r) + 1 AS n FROM mo), dr AS (SELECT rep, {_mix_sql('rep', 'r',
 bm AS (SELECT rep, method, avg(value) AS m FROM dr JOIN mo ON mo.r = dr.r GROUP BY 1, 2)"""
 
 QUERIES = {
-    "oriented_metrics": (oriented_metrics, f"WITH s(method, metric, value) AS (VALUES {SCORES}), {DIRECTIONS_SQL} SELECT method, s.metric AS metric, round(value, 6) + 0.0 AS value, round(value * d, 6) + 0.0 AS oriented FROM s JOIN dir ON dir.metric = s.metric"),
-    "borda": (borda, f"""WITH s(method, metric, value) AS (VALUES {SCORES}), {DIRECTIONS_SQL}, o AS (SELECT method, s.metric AS metric, value * d AS v FROM s JOIN dir ON dir.metric = s.metric),
+    "oriented_metrics": (oriented_metrics, f"WITH s(method, metric, value) AS ({in_sql(SCORES)}), {DIRECTIONS_SQL} SELECT method, s.metric AS metric, round(value, 6) + 0.0 AS value, round(value * d, 6) + 0.0 AS oriented FROM s JOIN dir ON dir.metric = s.metric"),
+    "borda": (borda, f"""WITH s(method, metric, value) AS ({in_sql(SCORES)}), {DIRECTIONS_SQL}, o AS (SELECT method, s.metric AS metric, value * d AS v FROM s JOIN dir ON dir.metric = s.metric),
         r AS (SELECT method, rank() OVER (PARTITION BY metric ORDER BY v DESC) + (count(*) OVER (PARTITION BY metric, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY metric) AS n FROM o) SELECT method, round(CAST(sum(n - r) AS DOUBLE), 6) + 0.0 AS score FROM r GROUP BY 1"""),
-    "threshold_rank": (threshold_rank, f"""WITH s(method, metric, value) AS (VALUES {SCORES}), {DIRECTIONS_SQL}, o AS (SELECT method, s.metric AS metric, value * d AS v FROM s JOIN dir ON dir.metric = s.metric),
+    "threshold_rank": (threshold_rank, f"""WITH s(method, metric, value) AS ({in_sql(SCORES)}), {DIRECTIONS_SQL}, o AS (SELECT method, s.metric AS metric, value * d AS v FROM s JOIN dir ON dir.metric = s.metric),
         r AS (SELECT method, greatest(1, CAST(ceil((row_number() OVER (PARTITION BY metric ORDER BY v, method) - 1) * 3 / CAST(count(*) OVER (PARTITION BY metric) - 1 AS DOUBLE)) AS BIGINT)) AS g FROM o),
         c AS (SELECT method, count(CASE WHEN g = 1 THEN 1 END) AS n1, count(CASE WHEN g = 2 THEN 1 END) AS n2, count(CASE WHEN g = 3 THEN 1 END) AS n3 FROM r GROUP BY 1) SELECT method, n1, n2, n3, CAST(row_number() OVER (ORDER BY n1, n2, method) AS INTEGER) AS rank FROM c"""),
-    "best_by_metric": (best_by_metric, f"""WITH s(method, metric, value) AS (VALUES {SCORES}), {DIRECTIONS_SQL}, r AS (SELECT s.metric AS metric, method, value, row_number() OVER (PARTITION BY s.metric ORDER BY value * d DESC, method) AS k FROM s JOIN dir ON dir.metric = s.metric)
+    "best_by_metric": (best_by_metric, f"""WITH s(method, metric, value) AS ({in_sql(SCORES)}), {DIRECTIONS_SQL}, r AS (SELECT s.metric AS metric, method, value, row_number() OVER (PARTITION BY s.metric ORDER BY value * d DESC, method) AS k FROM s JOIN dir ON dir.metric = s.metric)
         SELECT metric, method, round(value, 6) + 0.0 AS value FROM r WHERE k = 1"""),
-    "k_selection": (k_selection, f"""WITH z(method, k, metric, period, z) AS (VALUES {Z_ROWS}), a(method, k, ari) AS (VALUES {ARI_ROWS}), w AS (SELECT method, k, avg(CASE WHEN metric = 'AVU' THEN z END) AS avu, avg(CASE WHEN metric = 'SW' THEN z END) AS sw FROM z GROUP BY 1, 2),
+    "k_selection": (k_selection, f"""WITH z(method, k, metric, period, z) AS ({in_sql(Z_ROWS)}), a(method, k, ari) AS ({in_sql(ARI_ROWS)}), w AS (SELECT method, k, avg(CASE WHEN metric = 'AVU' THEN z END) AS avu, avg(CASE WHEN metric = 'SW' THEN z END) AS sw FROM z GROUP BY 1, 2),
         g AS (SELECT method, k, avg(ari) AS st FROM a GROUP BY 1, 2), j AS (SELECT w.*, st, coalesce(st, min(st) OVER (PARTITION BY w.method)) AS f FROM w LEFT JOIN g ON g.method = w.method AND g.k = w.k),
         m AS (SELECT method, min(avu) AS a0, max(avu) AS a1, min(sw) AS s0, max(sw) AS s1, min(f) AS f0, max(f) AS f1 FROM j GROUP BY 1),
         q AS (SELECT j.method AS method, k, avu, sw, st, CASE WHEN a1 > a0 THEN (avu - a0) / (a1 - a0) ELSE 0.5 END + CASE WHEN s1 > s0 THEN (sw - s0) / (s1 - s0) ELSE 0.5 END + CASE WHEN f1 IS NULL THEN 0.0 WHEN f1 > f0 THEN (f - f0) / (f1 - f0) ELSE 0.5 END AS score FROM j JOIN m ON m.method = j.method)
@@ -236,9 +245,9 @@ QUERIES = {
         x AS (SELECT 'c_nationkey' AS f, n AS a, l AS b FROM p UNION ALL SELECT 'rich', r, l FROM p), c AS (SELECT f, a, b, CAST(count(*) AS DOUBLE) AS o FROM x GROUP BY 1, 2, 3), ra AS (SELECT f, a, sum(o) AS n FROM c GROUP BY 1, 2), rb AS (SELECT f, b, sum(o) AS n FROM c GROUP BY 1, 2), t AS (SELECT f, sum(o) AS n FROM c GROUP BY 1),
         g AS (SELECT ra.f AS f, coalesce(o, 0.0) AS o, ra.n * rb.n / t.n AS e FROM ra JOIN rb ON rb.f = ra.f JOIN t ON t.f = ra.f LEFT JOIN c ON c.f = ra.f AND c.a = ra.a AND c.b = rb.b), s AS (SELECT f, sum((o - e) * (o - e) / e) AS chi2 FROM g GROUP BY 1), k AS (SELECT f, least(count(DISTINCT a), count(DISTINCT b)) - 1 AS k FROM c GROUP BY 1)
         SELECT s.f AS feature, CAST(n AS BIGINT) AS n, round(chi2, 6) + 0.0 AS chi2, round(sqrt(chi2 / n / k), 6) + 0.0 AS "V" FROM s JOIN t ON t.f = s.f JOIN k ON k.f = s.f"""),
-    "rule_names": (rule_names, f"""WITH m(label, level, food) AS (VALUES {MEANS}), r AS (SELECT label, CASE WHEN level >= 1.0 THEN 'rich' WHEN level <= -0.5 AND food >= 0.5 THEN 'poor' END AS r FROM m), n AS (SELECT label, r, row_number() OVER (PARTITION BY r ORDER BY label) AS k FROM r)
+    "rule_names": (rule_names, f"""WITH m(label, level, food) AS ({in_sql(MEANS)}), r AS (SELECT label, CASE WHEN level >= 0.5 THEN 'rich' WHEN level <= 0.4 AND food >= 0.2 THEN 'poor' END AS r FROM m), n AS (SELECT label, r, row_number() OVER (PARTITION BY r ORDER BY label) AS k FROM r)
         SELECT label, CASE WHEN r IS NULL THEN 'Type ' || label ELSE r || list_extract(['', ' II', ' III', ' IV', ' V', ' VI', ' VII', ' VIII'], least(k, 8)) END AS name, r AS rule FROM n"""),
-    "rule_violations": (rule_violations, f"""WITH m(label, level, food) AS (VALUES {MEANS}), b(label, feature, side, bound) AS (VALUES (0, 'level', 'min', CAST(1.0 AS DOUBLE)), (2, 'level', 'min', CAST(1.0 AS DOUBLE)), (3, 'level', 'max', CAST(-0.5 AS DOUBLE)), (3, 'food', 'min', CAST(0.5 AS DOUBLE))),
+    "rule_violations": (rule_violations, f"""WITH m(label, level, food) AS ({in_sql(MEANS)}), b(label, feature, side, bound) AS (VALUES {BOUNDS_SQL}),
         v AS (SELECT b.label AS label, feature, side, bound, CASE feature WHEN 'level' THEN level ELSE food END AS value FROM b JOIN m ON m.label = b.label) SELECT * FROM v WHERE (side = 'min' AND value < bound) OR (side = 'max' AND value > bound)"""),
     "name_search": (name_search, """SELECT n_name, CAST(CASE WHEN lower(n_name) LIKE 'nation_1%' THEN 0 WHEN ' ' || lower(n_name) LIKE '% nation_1%' THEN 1 ELSE 2 END AS INTEGER) AS place FROM nation WHERE lower(n_name) LIKE '%nation_1%'"""),
     "profile_wide": (profile_wide, f"WITH {LABELS_SQL} SELECT label, round(avg(s_acctbal), 6) + 0.0 AS balance, round(avg(s_nationkey), 6) + 0.0 AS nation FROM labels JOIN supplier ON s_suppkey = entity GROUP BY 1"),
