@@ -8,7 +8,7 @@ from netpanel.config import Config
 from netpanel.operators import clustering, graphs, indices, panel, stats, vectors
 from netpanel.operators import kernels as dense
 from netpanel.plans.label_queries import LABELS_SQL, types
-from netpanel.plans.panel_queries import CLR, TOTAL, Z_SQL, rounded, wide, zscores
+from netpanel.plans.panel_queries import CLR, TOTAL, WIDE_SQL, Z_SQL, rounded, wide, zscores
 from netpanel.session import kept
 from netpanel.sources import tables
 
@@ -118,9 +118,10 @@ def panel_null(spark, sf_dir):
 
 
 def outside_panel(spark, sf_dir):
+    """Suppliers in debt are the ones outside the panel."""
     points, labels = _embedded(spark, sf_dir)
-    odd = F.col("entity") % 10 == 0
-    return rounded(clustering.outside_panel(points.filter(~odd), labels, points.filter(odd)))
+    debt = tables.table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("entity"))
+    return rounded(clustering.outside_panel(points.join(debt, "entity", "left_anti"), labels, points.join(debt, "entity", "left_semi")))
 
 
 def kmeans_scaled(spark, sf_dir):
@@ -154,7 +155,29 @@ tm AS (SELECT label, d, avg(v) AS v FROM dims WHERE period BETWEEN {TRAIN[0]} AN
 met AS (SELECT period, entity, r.label AS label, tc.label AS cl, list_distance(x, c) AS dist, row_number() OVER (PARTITION BY period, entity ORDER BY list_distance(x, c), tc.label) AS place FROM rows r CROSS JOIN tc WHERE period BETWEEN {TEST[0]} AND {TEST[1]}),
 classed AS (SELECT period, entity, label, max(CASE WHEN place = 1 THEN cl END) AS nearest, max(CASE WHEN place = 1 THEN dist END) AS d1, max(CASE WHEN place = 2 THEN dist END) AS d2 FROM met GROUP BY 1, 2, 3)"""
 
+#: Standardised growth of each window: by lag, columns (side, entity; side 1 is an earlier period) and rows, with the intensity of shrinkage.
+GROWTH_SQL = f"""{WIDE_SQL}, steps AS (SELECT entity, period, CASE WHEN lag(period) OVER o = period - 1 AND total > 0 AND lag(total) OVER o > 0 THEN ln(total) - ln(lag(total) OVER o) END AS change FROM wide WINDOW o AS (PARTITION BY entity ORDER BY period)),
+med AS (SELECT period, median(change) AS m FROM steps GROUP BY 1), g AS (SELECT entity, s.period AS period, change - m AS growth FROM steps s JOIN med USING (period) WHERE change IS NOT NULL),
+ends AS (SELECT DISTINCT period AS t FROM g), win AS (SELECT t, entity, period, growth, dense_rank() OVER (PARTITION BY t ORDER BY period) AS r FROM g JOIN ends ON g.period > t - 12 AND g.period <= t),
+size AS (SELECT t, max(r) AS n, count(DISTINCT entity) AS p FROM win GROUP BY 1 HAVING max(r) >= 3),
+lags AS (SELECT t, 0 AS lag, n, p FROM size UNION ALL SELECT t, 1, n - 1, 2 * p FROM size WHERE n >= 4),
+x AS (SELECT win.t AS t, lag, side, entity, r + side - lag AS r, growth FROM win JOIN lags ON lags.t = win.t CROSS JOIN (SELECT unnest([0, 1]) AS side) WHERE side <= lag AND r + side - lag BETWEEN 1 AND n),
+st AS (SELECT t, lag, side, entity, avg(growth) AS m, stddev_pop(growth) AS s FROM x GROUP BY 1, 2, 3, 4),
+z AS (SELECT x.t AS t, x.lag AS lag, x.side AS side, x.entity AS entity, r, (growth - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END AS z FROM x JOIN st ON st.t = x.t AND st.lag = x.lag AND st.side = x.side AND st.entity = x.entity),
+gram AS (SELECT a.t AS t, a.lag AS lag, a.r AS a, b.r AS b, sum(a.z * b.z) AS v FROM z a JOIN z b ON b.t = a.t AND b.lag = a.lag AND b.side = a.side AND b.entity = a.entity GROUP BY 1, 2, 3, 4),
+mom AS (SELECT l.t AS t, l.lag AS lag, any_value(n) AS n, any_value(p) AS p, sum(CASE WHEN a = b THEN v END) / any_value(n) / any_value(p) AS mu, sum(v * v) / any_value(n * n) AS sq, sum(CASE WHEN a = b THEN v * v END) / any_value(n) AS own FROM lags l JOIN gram ON gram.t = l.t AND gram.lag = l.lag GROUP BY 1, 2),
+shrunk AS (SELECT t, lag, n, mu, CASE WHEN (sq - p * mu * mu) / p > 1e-15 THEN least(greatest((own - sq) / (p * n), 0.0), (sq - p * mu * mu) / p) / ((sq - p * mu * mu) / p) ELSE 1.0 END AS delta FROM mom)"""
+#: The correlation of each pair after shrinkage, the largest over lags and orders.
+CORRELATION_SQL = GROWTH_SQL + """,
+own AS (SELECT z.t AS t, z.lag AS lag, side, entity, sqrt((1 - any_value(delta)) * sum(z * z) / any_value(n) + any_value(delta * mu)) AS sd FROM z JOIN shrunk q ON q.t = z.t AND q.lag = z.lag GROUP BY 1, 2, 3, 4),
+prod AS (SELECT a.t AS t, a.lag AS lag, a.entity AS a, b.entity AS b, sum(a.z * b.z) AS c FROM z a JOIN z b ON b.t = a.t AND b.lag = a.lag AND b.r = a.r AND b.side = a.lag AND a.side = 0 AND b.entity <> a.entity GROUP BY 1, 2, 3, 4),
+corr AS (SELECT c.t AS t, least(a, b) AS i, greatest(a, b) AS j, max((1 - delta) * c / n / x.sd / y.sd) AS s FROM prod c JOIN shrunk q ON q.t = c.t AND q.lag = c.lag JOIN own x ON x.t = c.t AND x.lag = c.lag AND x.side = 0 AND x.entity = a
+         JOIN own y ON y.t = c.t AND y.lag = c.lag AND y.side = c.lag AND y.entity = b GROUP BY 1, 2, 3),
+ranked AS (SELECT t, i, j, s, row_number() OVER (PARTITION BY t, i ORDER BY s DESC, j) AS place FROM (SELECT * FROM corr UNION ALL SELECT t, j, i, s FROM corr) WHERE s >= 1e-12)"""
+
 SQL = {
+    "comovement_shrinkage": f"""WITH {GROWTH_SQL} SELECT t, CAST(lag AS INTEGER) AS lag, round(delta, 6) + 0.0 AS delta FROM shrunk""",
+    "comovement_layer": f"""WITH {CORRELATION_SQL} SELECT t, least(i, j) AS i, greatest(i, j) AS j, round(least(max(s), 1.0), 6) + 0.0 AS w FROM ranked WHERE place <= 8 GROUP BY t, least(i, j), greatest(i, j) HAVING count(*) = 2""",
     "type_centres": f"""WITH {ROWS_SQL} SELECT label, count(*) AS n, CAST(d - 1 AS INTEGER) AS dim, round(avg(v), 6) + 0.0 AS value FROM dims GROUP BY 1, 3""",
     "classified_online": f"""WITH {ONLINE_SQL} SELECT period, entity, label FROM rows WHERE period BETWEEN {TRAIN[0]} AND {TRAIN[1]} UNION ALL SELECT period, entity, nearest FROM classed""",
     "out_of_time": f"""WITH {ONLINE_SQL}, c AS (SELECT period, label AS a, nearest AS b, CAST(count(*) AS DOUBLE) AS n FROM classed GROUP BY 1, 2, 3), s AS (SELECT period, sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM c GROUP BY 1),
@@ -162,8 +185,8 @@ SQL = {
         r AS (SELECT s.period AS period, s.s AS together, ra.s * rb.s / (t * (t - 1) / 2) AS e, (ra.s + rb.s) / 2 AS most FROM s JOIN ra ON ra.period = s.period JOIN rb ON rb.period = s.period),
         g AS (SELECT period, avg(CASE WHEN nearest = label THEN 1.0 ELSE 0.0 END) AS agreement, avg(CASE WHEN d2 IS NULL THEN 1.0 WHEN d1 > 0 THEN least(1.0, (d2 - d1) / d1) WHEN d2 > 0 THEN 1.0 ELSE 0.0 END) AS margin FROM classed GROUP BY 1)
         SELECT r.period AS period, round(CASE WHEN most = e THEN 1.0 ELSE (together - e) / (most - e) END, 6) + 0.0 AS ari, round(agreement, 6) + 0.0 AS agreement, round(margin, 6) + 0.0 AS margin FROM r JOIN g ON g.period = r.period""",
-    "outside_panel": f"""WITH {ROWS_SQL}, om AS (SELECT period, label, d, avg(v) AS v FROM dims WHERE entity % 10 <> 0 GROUP BY 1, 2, 3), oc AS (SELECT period, label, list(v ORDER BY d) AS c FROM om GROUP BY 1, 2),
-        met AS (SELECT p.period AS period, entity, label, list_distance(x, c) AS dist, row_number() OVER (PARTITION BY p.period, entity ORDER BY list_distance(x, c), label) AS place FROM pts p JOIN oc ON oc.period = p.period WHERE entity % 10 = 0),
+    "outside_panel": f"""WITH {ROWS_SQL}, om AS (SELECT period, label, d, avg(v) AS v FROM dims WHERE entity NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1, 2, 3), oc AS (SELECT period, label, list(v ORDER BY d) AS c FROM om GROUP BY 1, 2),
+        met AS (SELECT p.period AS period, entity, label, list_distance(x, c) AS dist, row_number() OVER (PARTITION BY p.period, entity ORDER BY list_distance(x, c), label) AS place FROM pts p JOIN oc ON oc.period = p.period WHERE entity IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)),
         q AS (SELECT period, entity, max(CASE WHEN place = 1 THEN label END) AS nearest, max(CASE WHEN place = 1 THEN dist END) AS d1, max(CASE WHEN place = 2 THEN dist END) AS d2 FROM met GROUP BY 1, 2)
         SELECT period, entity, nearest, round(CASE WHEN d2 IS NULL THEN 1.0 WHEN d1 > 0 THEN least(1.0, (d2 - d1) / d1) WHEN d2 > 0 THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS margin FROM q""",
     "metric_panel": f"""WITH {CENTRES_SQL}, own AS (SELECT r.period AS period, entity, r.label AS label, x, c, list_distance(x, c) AS e FROM rows r JOIN centres c ON c.period = r.period AND c.label = r.label),
