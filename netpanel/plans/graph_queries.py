@@ -45,6 +45,18 @@ means AS (SELECT label, d, avg(v) AS v, count(*) AS n FROM dims GROUP BY 1, 2),
 centres AS (SELECT label, list(v ORDER BY d) AS c, max(n) AS n FROM means GROUP BY 1)"""
 
 
+def _tree_sql(rounds: int = 10) -> str:
+    """The minimum spanning tree of up to 2^rounds points, by Boruvka: in each round every component takes its least edge to another one."""
+    out = [POINTS_SQL, "e AS MATERIALIZED (SELECT a.entity AS i, b.entity AS j, list_distance(a.x, b.x) AS d FROM points a JOIN points b ON a.entity < b.entity)", "c0 AS (SELECT entity, entity AS c FROM points)"]
+    for r in range(rounds):
+        out.append(f"""b{r} AS MATERIALIZED (SELECT c, min({{'d': d, 'i': i, 'j': j, 'o': o}}) AS m FROM (SELECT x.c AS c, y.c AS o, d, i, j FROM e JOIN c{r} x ON x.entity = i JOIN c{r} y ON y.entity = j WHERE x.c <> y.c
+            UNION ALL SELECT y.c, x.c, d, i, j FROM e JOIN c{r} x ON x.entity = i JOIN c{r} y ON y.entity = j WHERE x.c <> y.c) GROUP BY 1)""")
+        out.append(f"h{r}_0 AS MATERIALIZED (SELECT b.c AS c, CASE WHEN back.m.o = b.c AND b.c < b.m.o THEN b.c ELSE b.m.o END AS p FROM b{r} b JOIN b{r} back ON back.c = b.m.o)")
+        out += [f"h{r}_{k + 1} AS MATERIALIZED (SELECT h.c AS c, up.p AS p FROM h{r}_{k} h JOIN h{r}_{k} up ON up.c = h.p)" for k in range(rounds - r)]
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT entity, coalesce(p, n.c) AS c FROM c{r} n LEFT JOIN h{r}_{rounds - r} h ON h.c = n.c)")
+    return ", ".join(out) + ", tree AS (" + " UNION ".join(f"SELECT m.i AS i, m.j AS j, m.d AS d FROM b{r}" for r in range(rounds)) + ")"
+
+
 def points(spark, sf_dir):
     return tables.embedding_space(spark, sf_dir)
 
@@ -124,7 +136,7 @@ def laplacian_spectrum(spark, sf_dir):
 
 
 def spanning_tree(spark, sf_dir):
-    return rounded(graphs.minimum_spanning_tree(points(spark, sf_dir)))
+    return rounded(graphs.minimum_spanning_tree(points(spark, sf_dir)).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d"))
 
 
 def merged_small(spark, sf_dir):
@@ -210,7 +222,7 @@ QUERIES = {
         t AS (SELECT sum(w * (a.x - b.x) * (a.x - b.x)) AS top FROM g JOIN x a ON a.e = i JOIN x b ON b.e = j), l AS (SELECT sum(x * x) AS plain, sum(coalesce(s, 0.0) * x * x) AS weighted FROM x LEFT JOIN st ON st.e = x.e)
         SELECT round(top / plain, 6) + 0.0 AS rayleigh, round(top / weighted, 6) + 0.0 AS rayleigh_normalised FROM t, l"""),
     "laplacian_spectrum": (laplacian_spectrum, None),
-    "spanning_tree": (spanning_tree, None),
+    "spanning_tree": (spanning_tree, f"WITH {_tree_sql()} SELECT i, j, round(d, 6) + 0.0 AS d FROM tree"),
     "merged_small": (merged_small, f"""WITH {BLOCKS_SQL}, z AS (SELECT label, count(*) AS n FROM points GROUP BY 1), lg AS (SELECT label FROM z ORDER BY n DESC, label LIMIT 1),
         b AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM blocks JOIN z x ON x.label = a AND x.n < 52 JOIN z y ON y.label = b AND y.n >= 52)
         SELECT p.entity AS entity, CASE WHEN z.n >= 52 THEN p.label ELSE coalesce((SELECT b FROM b WHERE b.a = p.label AND k = 1), (SELECT label FROM lg WHERE (SELECT max(n) FROM z) >= 52), p.label) END AS label FROM points p JOIN z ON z.label = p.label"""),

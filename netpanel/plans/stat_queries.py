@@ -80,7 +80,8 @@ def average_ranks(spark, sf_dir):
 
 
 def permuted_labels(spark, sf_dir):
-    rows = types(spark, sf_dir).filter("period = 7990").select("entity", "label")
+    """The types of all quarters, dealt anew among suppliers and quarters (one number for both)."""
+    rows = types(spark, sf_dir).select((F.col("entity") * 100000 + F.col("period")).alias("entity"), "label")
     return stats.permuted(rows, 20, 7)
 
 
@@ -213,7 +214,7 @@ QUERIES = {
         g AS (SELECT coalesce(o, 0.0) AS o, ra.n * rb.n / t.n AS e FROM ra CROSS JOIN rb CROSS JOIN t LEFT JOIN c ON c.a = ra.a AND c.b = rb.b), s AS (SELECT sum((o - e) * (o - e) / e) AS chi2 FROM g)
         SELECT CAST(n AS BIGINT) AS n, round(chi2, 6) + 0.0 AS chi2, round(sqrt(chi2 / n / (least((SELECT count(*) FROM ra), (SELECT count(*) FROM rb)) - 1)), 6) + 0.0 AS "V" FROM s, t"""),
     "average_ranks": (average_ranks, "SELECT p_partkey, p_size, p_brand, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS DOUBLE) AS rank FROM part"),
-    "permuted_labels": (permuted_labels, f"""WITH {LABELS_SQL}, l AS (SELECT entity, label FROM labels WHERE period = 7990), s AS (SELECT label, count(*) AS n FROM l GROUP BY 1), u AS (SELECT label, sum(n) OVER (ORDER BY label) AS t, n FROM s),
+    "permuted_labels": (permuted_labels, f"""WITH {LABELS_SQL}, l AS (SELECT entity * 100000 + period AS entity, label FROM labels), s AS (SELECT label, count(*) AS n FROM l GROUP BY 1), u AS (SELECT label, sum(n) OVER (ORDER BY label) AS t, n FROM s),
         d AS (SELECT rep, entity, row_number() OVER (PARTITION BY rep ORDER BY {_mix_sql('entity', 'rep', '7')}, entity) AS k FROM l CROSS JOIN (SELECT CAST(range AS BIGINT) AS rep FROM range(20))) SELECT rep, entity, label FROM d JOIN u ON k <= t AND k > t - n"""),
     "permutation_null": (permutation_null, f"""WITH {graph_queries.NEAR_SQL}, n AS (SELECT label, count(*) AS n FROM points GROUP BY 1), upto AS (SELECT label, n, sum(n) OVER (ORDER BY label) AS t FROM n),
         dealt AS (SELECT rep, entity, row_number() OVER (PARTITION BY rep ORDER BY {_mix_sql('entity', 'rep', '0')}, entity) AS k FROM points CROSS JOIN (SELECT CAST(range AS BIGINT) AS rep FROM range(100))),
