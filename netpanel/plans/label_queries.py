@@ -212,7 +212,12 @@ QUERIES = {
         t AS (SELECT DISTINCT entity, label AS to_label, start AS period FROM sure WHERE before <> label), f AS (SELECT DISTINCT entity, label AS to_label, start AS period FROM sure2 WHERE before <> label),
         tk AS (SELECT DISTINCT entity, to_label FROM t), fk AS (SELECT DISTINCT entity, to_label FROM f), h AS (SELECT count(*) AS hits FROM tk JOIN fk USING (entity, to_label)), x AS (SELECT count(*) AS exact FROM t JOIN f USING (entity, to_label, period))
         SELECT (SELECT count(*) FROM tk) AS n_truth, (SELECT count(*) FROM fk) AS n_found, round(hits / CAST((SELECT count(*) FROM tk) AS DOUBLE), 6) + 0.0 AS recall, round(hits / CAST((SELECT count(*) FROM fk) AS DOUBLE), 6) + 0.0 AS precision, round(exact / CAST((SELECT count(*) FROM t) AS DOUBLE), 6) + 0.0 AS exact_recall FROM h, x"""),
-    "aligned_types": (aligned_types, None),
+    # of the six ways to match three types, that of the largest total similarity; names are handed on from quarter to quarter
+    "aligned_types": (aligned_types, f"""WITH RECURSIVE {LABELS_SQL}, c AS (SELECT a.period AS period, a.label AS x, b.label AS y, CAST(count(*) AS DOUBLE) AS n FROM labels a JOIN labels b ON b.entity = a.entity AND b.period = a.period + 1 GROUP BY 1, 2, 3),
+        j AS (SELECT period, x, y, n / (sum(n) OVER (PARTITION BY period, x) + sum(n) OVER (PARTITION BY period, y) - n) AS s FROM c),
+        best AS (SELECT a.period AS period, arg_max([a.y, b.y, d.y], a.s + b.s + d.s) AS y FROM j a JOIN j b ON b.period = a.period AND b.y <> a.y JOIN j d ON d.period = a.period AND d.y <> a.y AND d.y <> b.y WHERE a.x = 0 AND b.x = 1 AND d.x = 2 GROUP BY 1),
+        names(period, label, aligned) AS (SELECT DISTINCT period, label, label FROM labels WHERE period = (SELECT min(period) FROM labels) UNION ALL SELECT n.period + 1, y[n.label + 1], aligned FROM names n JOIN best ON best.period = n.period)
+        SELECT l.period AS period, aligned, count(*) AS n FROM labels l JOIN names n ON n.period = l.period AND n.label = l.label GROUP BY 1, 2"""),
     "label_contingency": (label_contingency, f"""WITH {LABELS_SQL}, l AS (SELECT entity, arg_max(label, period) AS last FROM labels GROUP BY 1), c AS (SELECT entity, label, count(*) AS n FROM labels GROUP BY 1, 2),
         r AS (SELECT c.entity AS entity, label, row_number() OVER (PARTITION BY c.entity ORDER BY n DESC, CASE WHEN label = last THEN 0 ELSE 1 END, label) AS k FROM c JOIN l ON l.entity = c.entity)
         SELECT b.label AS label, r.label AS modal, count(*) AS n FROM labels b JOIN r ON r.entity = b.entity AND k = 1 GROUP BY 1, 2"""),
