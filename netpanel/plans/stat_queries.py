@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netpanel.operators import indices, interpret, stats
+from netpanel.operators import indices, interpret, stats, vectors
 from netpanel.plans import graph_queries
 from netpanel.plans.entity_queries import in_sql, relation
 from netpanel.plans.label_queries import LABELS_SQL, types
@@ -165,14 +165,16 @@ def name_search(spark, sf_dir):
 
 
 def type_summaries(spark, sf_dir):
+    """The documents of the types as rows: features in order of contribution, typical and border members (supplier and quarter as one number)."""
     rows = _profiled(spark, sf_dir)
-    points = rows.filter("period = 7990").select("entity", "label", F.array(*CLR).alias("x"))
-    from netpanel.operators import vectors
-
+    points = vectors.complete(rows.select((F.col("entity") * 100000 + F.col("period")).alias("entity"), "label", F.array(*CLR).alias("x")))
     margins = vectors.membership_margin(points, vectors.centres(points))
     profile = interpret.mirkin_profile(rows, CLR)
     names = profile.select("label").distinct().withColumn("name", F.concat(F.lit("type "), F.col("label").cast("string")))
-    return interpret.summary_documents(profile, names, vectors.typical_and_border(margins)).select("label", F.to_json(F.struct("n", "name", "features", "typical", "border")).alias("document"))
+    found = interpret.summary_documents(profile, names, vectors.typical_and_border(margins))
+    feature = F.transform("features", lambda x, i: F.struct(F.lit("feature").alias("part"), (i + 1).alias("place"), x["feature"].alias("item"), x["mean"].alias("value")))
+    member = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("part"), x["place"].cast("int").alias("place"), x["entity"].cast("string").alias("item"), F.lit(None).cast("double").alias("value")))
+    return rounded(found.select("label", "n", "name", F.explode(F.concat(feature, member("typical"), member("border"))).alias("row")).select("label", "n", "name", "row.*"), 4)
 
 
 def surrogate_leaves(spark, sf_dir):
@@ -252,6 +254,12 @@ QUERIES = {
         v AS (SELECT b.label AS label, feature, side, bound, CASE feature WHEN 'level' THEN level ELSE food END AS value FROM b JOIN m ON m.label = b.label) SELECT * FROM v WHERE (side = 'min' AND value < bound) OR (side = 'max' AND value > bound)"""),
     "name_search": (name_search, """SELECT n_name, CAST(CASE WHEN lower(n_name) LIKE 'nation_1%' THEN 0 WHEN ' ' || lower(n_name) LIKE '% nation_1%' THEN 1 ELSE 2 END AS INTEGER) AS place FROM nation WHERE lower(n_name) LIKE '%nation_1%'"""),
     "profile_wide": (profile_wide, f"WITH {LABELS_SQL} SELECT label, round(avg(s_acctbal), 6) + 0.0 AS balance, round(avg(s_nationkey), 6) + 0.0 AS nation FROM labels JOIN supplier ON s_suppkey = entity GROUP BY 1"),
-    "type_summaries": (type_summaries, None),
+    "type_summaries": (type_summaries, f"""WITH {_MIRKIN}, pt AS (SELECT entity * 100000 + period AS entity, label, [{", ".join(f'"{c}"' for c in CLR)}] AS x FROM p WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in CLR)}),
+        ds AS (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM pt), ce AS (SELECT label, list(v ORDER BY d) AS c FROM (SELECT label, d, avg(v) AS v FROM ds GROUP BY 1, 2) GROUP BY 1),
+        md AS (SELECT pt.entity AS entity, pt.label AS label, min(CASE WHEN ce.label = pt.label THEN list_distance(x, c) END) AS o, min(CASE WHEN ce.label <> pt.label THEN list_distance(x, c) END) AS r FROM pt CROSS JOIN ce GROUP BY 1, 2),
+        rk AS (SELECT label, entity, row_number() OVER (PARTITION BY label ORDER BY o, entity) AS t, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN o + r > 0 THEN (r - o) / (r + o) ELSE 1.0 END, entity) AS b FROM md),
+        rw AS (SELECT label, 'feature' AS part, row_number() OVER (PARTITION BY label ORDER BY contrib DESC, feature DESC) AS place, feature AS item, m AS value FROM j
+               UNION ALL SELECT label, 'typical', t, CAST(entity AS VARCHAR), NULL FROM rk WHERE t <= 3 UNION ALL SELECT label, 'border', b, CAST(entity AS VARCHAR), NULL FROM rk WHERE b <= 3)
+        SELECT w.label AS label, n, 'type ' || w.label AS name, part, CAST(place AS INTEGER) AS place, item, round(value, 4) + 0.0 AS value FROM rw w JOIN (SELECT label, any_value(n) AS n FROM j GROUP BY 1) s ON s.label = w.label"""),
     "surrogate_leaves": (surrogate_leaves, None),
 }
