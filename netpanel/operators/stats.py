@@ -236,12 +236,15 @@ def cramers_v(df: DataFrame, category: str, label: str) -> DataFrame:
     rows = df.filter(F.col(category).isNotNull() & F.col(label).isNotNull())
     cells = rows.groupBy(category, label).agg(F.count(F.lit(1)).cast("double").alias("o"))
     a, b = cells.groupBy(category).agg(F.sum("o").alias("ra")), cells.groupBy(label).agg(F.sum("o").alias("rb"))
-    total = a.agg(F.sum("ra").alias("n"), F.count(F.lit(1)).alias("ka")).crossJoin(b.agg(F.count(F.lit(1)).alias("kb")))  # one row each
-    grid = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(total)).join(cells, [category, label], "left").fillna(0.0, ["o"])  # categories x labels
-    e = F.col("ra") * F.col("rb") / F.col("n")
-    gap = F.abs(F.col("o") - e)
-    yates = F.when((F.col("ka") == 2) & (F.col("kb") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    stats = grid.groupBy("n", "ka", "kb").agg(F.sum(gap * gap / e).alias("plain"), F.sum(yates * yates / e).alias("chi2"))
+    of_b = b.agg(F.count(F.lit(1)).alias("kb"), F.sum(1 / F.col("rb")).alias("ib"))
+    total = a.agg(F.sum("ra").alias("n"), F.count(F.lit(1)).alias("ka"), F.sum(1 / F.col("ra")).alias("ia")).crossJoin(of_b)  # one row each
+    seen = cells.join(a, category).join(b, label).crossJoin(F.broadcast(total)).withColumn("e", F.col("ra") * F.col("rb") / F.col("n"))
+    gap = F.abs(F.col("o") - F.col("e"))
+    # cells without rows add what is expected of them: all expectations add up to n. In a 2 x 2 table all four gaps are equal
+    stats = seen.groupBy("n", "ka", "kb", "ia", "ib").agg(F.sum(gap * gap / F.col("e") - F.col("e")).alias("more"), F.max(gap).alias("gap"))
+    stats = stats.withColumn("plain", F.col("more") + F.col("n"))
+    yates = F.pow(F.col("gap") - F.least(F.lit(0.5), F.col("gap")), F.lit(2.0)) * F.col("n") * F.col("ia") * F.col("ib")
+    stats = stats.withColumn("chi2", F.when((F.col("ka") == 2) & (F.col("kb") == 2), yates).otherwise(F.col("plain")))
     small = F.least("ka", "kb") - 1
     fine = small > 0
     return stats.select(F.col("n").cast("long").alias("n"), F.when(fine, F.col("chi2")).alias("chi2"), F.when(fine, F.sqrt(F.col("plain") / F.col("n") / small)).alias("V"), F.when(fine, _survival(F.col("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).cast("double"))).alias("p"))
