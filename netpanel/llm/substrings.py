@@ -211,8 +211,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     from netpanel.llm.fingerprints import _inverse, _weights
 
     joined = np.frombuffer(b" ".join(words), np.uint8)
-    starts = np.zeros(len(words), np.int64)
-    np.cumsum([len(w) + 1 for w in words[:-1]], out=starts[1:])
+    starts = np.concatenate([[0], _spaces(joined) + 1])
     with np.errstate(over="ignore"):
         # the space after a word is part of its sum, but for the last one: add it there
         sums = np.add.reduceat((joined + np.uint64(1)) * _weights(len(joined)), starts)
@@ -220,6 +219,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         return _mixed(sums * _inverse(starts))
 
 
+def _spaces(joined: np.ndarray) -> np.ndarray:
+    """Where the spaces between joined words are: words hold none."""
+    return np.flatnonzero(joined == 32)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ h >> np.uint64(32)) * _MIX
@@ -435,7 +439,7 @@ def _left_of(docs_of: list[tuple[int, list[bytes], np.ndarray, np.ndarray]], len
             continue
         count = np.add.reduceat(live, first, dtype=np.int64) if len(first) else first  # what follows a part is not live, or the next part
         joined = b" ".join(words)
-        at = np.cumsum([len(w) + 1 for w in words]) - 1
+        at = np.append(_spaces(np.frombuffer(joined, np.uint8)), len(joined))
         pieces += [joined[a:b] for a, b in zip(np.where(first > 0, at[first - 1] + 1, 0).tolist(), at[first + count + length - 2].tolist(), strict=True)]
         owners.append(np.full(len(first), k))
         firsts.append(first)
