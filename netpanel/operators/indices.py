@@ -22,7 +22,10 @@ def _ratio(top: Column, low: Column) -> Column:
 
 def cluster_table(sums: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """By cluster: n, row (all its weight), inner (weight within, counted twice), out."""
-    sizes = labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
+    return _cluster_table(sums, labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n")), by)
+
+
+def _cluster_table(sums: DataFrame, sizes: DataFrame, by: Sequence[str]) -> DataFrame:
     rows = sums.groupBy(*by, F.col("a").alias("label")).agg(F.sum("s").alias("row"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("s"))), F.lit(0.0)).alias("inner"))
     out = sizes.join(rows, [*by, "label"], "left").fillna(0.0, ["row", "inner"])
     return out.withColumn("out", F.col("row") - F.col("inner"))
@@ -30,8 +33,12 @@ def cluster_table(sums: DataFrame, labels: DataFrame, by: Sequence[str] = ()) ->
 
 def graph_indices(edges: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """AVI, AVU, AVU_pair, ANUI, Q, Q_density, TurboMQ, MQ_basic of each graph (``by``) and its partition."""
-    sums = block_sums(edges, labels, by)
-    clusters = cluster_table(sums, labels, by)
+    return indices_of_sums(block_sums(edges, labels, by), labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n")), by)
+
+
+def indices_of_sums(sums: DataFrame, sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from the sums between clusters (``graphs.block_sums``) and the clusters' sizes (label, n)."""
+    clusters = _cluster_table(sums, sizes, by)
     whole = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("row").alias("m2"))
     q = clusters.join(whole, list(by)) if by else clusters.crossJoin(F.broadcast(whole))  # one row
     n = F.col("n").cast("double")

@@ -220,6 +220,19 @@ def test_stability_without_a_graph_makes_none(spark):
     assert {q.ari for q in pairs.collect()} == {1.0}
 
 
+def test_replicates_share_edges_and_sizes(spark):
+    r = np.random.default_rng(10)
+    edges = spark.createDataFrame([(i, j, float(r.random())) for i in range(30) for j in range(i + 1, 30) if r.random() < 0.3], "i long, j long, w double")
+    labels = spark.createDataFrame([(v, v % 4) for v in range(30)], "entity long, label int")
+    every = edges.join(labels.toDF("i", "a"), "i").join(labels.toDF("j", "b"), "j").select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("rep"), "a", "b", "w")
+    found = {(q.rep, q.metric): q.value for q in stats._by_replicate(every, labels, 2, ["AVI", "AVU", "Q"]).collect()}
+    wanted = indices.graph_indices(edges, labels).first()
+    assert len(found) == 6 and all(math.isclose(v, wanted[m]) for (_, m), v in found.items())
+    own, other = (stats.permuted(labels, 20).toDF("rep", end, name) for end, name in (("i", "a"), ("j", "b")))
+    plain = stats._by_replicate(edges.join(own, "i").join(other, ["rep", "j"]), labels, 20, ["Q"]).agg(F.avg("value")).first()[0]
+    assert math.isclose({q.metric: q["mean"] for q in stats.permutation_null(edges, labels, 20).collect()}["Q"], plain)
+
+
 def test_fusion(planted):
     x, a, _ = planted
     w = kernels.fused([np.exp(-kernels.squared_distances(x)), a, np.zeros_like(a)], 10, 5)
