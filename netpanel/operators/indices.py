@@ -173,11 +173,14 @@ def feature_panel(points: DataFrame, found: DataFrame) -> DataFrame:
         if len(nodes) and len(rows):
             nodes = nodes.sort_values("entity")
             ids, x = nodes["entity"].to_numpy(), np.array(nodes["x"].tolist(), float)
+            alike: dict[bytes, list] = {}  # partitions of the same points
             for (method, k), part in rows.groupby(["method", "k"]):
                 part = part[part["entity"].isin(ids)].sort_values("entity")
                 if len(part):
-                    values = kernels.feature_metrics(x[np.searchsorted(ids, part["entity"].to_numpy())], part["label"].to_numpy())
-                    out += [(method, int(k), int(rows["period"].iloc[0]), m, v) for m, v in values.items()]
+                    alike.setdefault(np.searchsorted(ids, part["entity"].to_numpy()).tobytes(), []).append((method, int(k), part["label"].to_numpy()))
+            for places, runs in alike.items():
+                for (method, k, _), values in zip(runs, kernels.feature_panel(x[np.frombuffer(places, int)], [r[2] for r in runs]), strict=True):
+                    out += [(method, k, int(rows["period"].iloc[0]), m, v) for m, v in values.items()]
         return pd.DataFrame(out, columns=["method", "k", "period", "metric", "value"]).astype({"value": "float64"})
 
     left, right = points.select("period", "entity", "x"), found.select("method", "k", "period", "entity", "label")

@@ -476,3 +476,29 @@ def test_ranks_do_not_depend_on_ranges(spark, monkeypatch):
     assert np.allclose(np.array(whole, float), np.array(parts, float)) and len(whole) == 2
     # p against the survival function of chi-squared with two degrees of freedom
     assert all(math.isclose(p, math.exp(-h / 2), rel_tol=1e-9) for _, _, _, h, _, p in whole)
+
+
+def test_silhouettes_of_many_partitions_take_distances_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 3))
+    x[:40] = x[0]
+    partitions = [rng.integers(0, k, 150) for k in (2, 3, 5)] + [np.where(np.arange(150) == 7, 1, 0)]
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+
+    def plain(labels):
+        out = []
+        for v, own in enumerate(labels):
+            inside = labels == own
+            if inside.sum() == 1:
+                out.append(0.0)
+                continue
+            a, b = d[v][inside].sum() / (inside.sum() - 1), min(d[v][labels == c].mean() for c in set(labels) - {own})
+            out.append((b - a) / max(a, b))
+        return np.mean(out)
+
+    roots = []
+    monkeypatch.setattr(kernels.np, "sqrt", lambda v, *a, real=np.sqrt, **kw: (roots.append(np.size(v)), real(v, *a, **kw))[1])
+    found = kernels.silhouettes(x, partitions, height=64, width=32)
+    assert sum(roots) == 150 * 150  # not once for each partition
+    assert np.allclose(found, [plain(p) for p in partitions], atol=1e-9)
+    assert [m["SW"] for m in kernels.feature_panel(x, [partitions[0], np.zeros(150, int)])] == [kernels.silhouette(x, partitions[0]), None]
