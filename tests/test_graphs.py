@@ -502,3 +502,15 @@ def test_silhouettes_of_many_partitions_take_distances_once(monkeypatch):
     assert sum(roots) == 150 * 150  # not once for each partition
     assert np.allclose(found, [plain(p) for p in partitions], atol=1e-9)
     assert [m["SW"] for m in kernels.feature_panel(x, [partitions[0], np.zeros(150, int)])] == [kernels.silhouette(x, partitions[0]), None]
+
+
+def test_leiden_costs_a_node_its_own_slices():
+    ring = [{(v + 1) % 6: 1.0, (v - 1) % 6: 1.0} for v in range(6)]
+    far = [[(v % 3 * 400_000, 2.0)] for v in range(6)]  # a matrix of slices by nodes would hold 4.8 million sums
+    tracemalloc.start()
+    found = kernels.leiden(ring, 0.5, np.random.default_rng(1), null=far)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 6 and peak < 20e6
+    near = kernels.leiden(ring, 0.5, np.random.default_rng(1), null=[[(v % 3, 2.0)] for v in range(6)])
+    assert (found == near).all()
