@@ -532,3 +532,18 @@ def test_spectral_makes_no_matrix_of_all_nodes():
     whole = kernels.leading(lambda m: links @ m / 20, n, 6, small=n)
     values = lambda v: np.diag(v.T @ (links @ v)) / 20
     assert np.allclose(values(kernels.leading(lambda m: links @ m / 20, n, 6)), values(whole), atol=1e-8)
+
+
+def test_grid_agglomerates_once_for_all_k(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(90, 2)) + np.repeat([[0, 0], [9, 0], [0, 9]], 30, axis=0)
+    assert all((kernels.ward_cuts(x, [3, 5])[at] == kernels.ward(x, k)).all() for at, k in enumerate((3, 5)))
+    points = spark.createDataFrame([(1, v, [float(a) for a in x[v]]) for v in range(90)], "period long, entity long, x array<double>")
+    edges = spark.createDataFrame([(1, v, v + 1, 1.0) for v in range(89) if v % 30 != 29], "period long, i long, j long, w double")
+
+    def several(*_):
+        raise AssertionError("a run for each k")
+
+    monkeypatch.setitem(kernels.METHODS, "once", several)
+    monkeypatch.setitem(kernels.CUTS, several, lambda x, a, ks: kernels.ward_cuts(x, ks))
+    found = clustering.grid(points, edges, ["once", "spectral"], [2, 3]).toPandas()
+    assert found.groupby(["method", "k"])["label"].nunique().to_dict() == {("once", 2): 2, ("once", 3): 3, ("spectral", 2): 2, ("spectral", 3): 3}
