@@ -326,6 +326,43 @@ def test_fusion_of_many_components_needs_no_matrix_of_all():
     assert peak < 50e6 and len(np.unique(kernels.parts_of(5000, found.i, found.j))) == 500
 
 
+def one_component(n, count):
+    """Layers in which every node has a link to the next one and to three others."""
+    r, layers = np.random.default_rng(count), []
+    for _ in range(count):
+        pairs = np.concatenate([np.stack([np.arange(n - 1), np.arange(1, n)], 1), np.sort(r.integers(0, n, (3 * n, 2)), 1)])
+        i, j = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).T
+        layers.append(kernels.Links(n, i, j, r.random(len(i)) + 0.01))
+    return layers
+
+
+@pytest.mark.parametrize("n,count,threads,room", [(700, 2, 2, None), (512, 3, 1, 0), (600, 3, 2, 4_000_000), (513, 2, 3, 0)])
+def test_fusion_by_blocks_is_that_of_whole_matrices(monkeypatch, n, count, threads, room):
+    monkeypatch.setattr(kernels, "PRODUCT", 1)  # a block of rows at a time
+    if room is not None:
+        monkeypatch.setattr(kernels, "ROOM", room)
+    layers = one_component(n, count)
+    f = plain_fusion([w.dense() for w in layers], 5, 4)
+    f = (f + f.T) / 2
+    np.fill_diagonal(f, 0)
+    wanted = kernels.strongest(f, 5, True)
+    i, j = kernels.maximum_spanning_edges(f)
+    wanted[i, j] = wanted[j, i] = f[i, j]
+    assert np.allclose(kernels.fused_links(layers, 5, 4, threads=threads).dense(), wanted / wanted.max(), rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("room,most", [(10**9, 3), (0, 0.6)])
+def test_fusion_holds_half_matrices_or_scratch_files(monkeypatch, room, most):
+    monkeypatch.setattr(kernels, "PRODUCT", 1, raising=False)
+    monkeypatch.setattr(kernels, "ROOM", room, raising=False)
+    layers = one_component(2000, 3)
+    tracemalloc.start()
+    kernels.fused_links(layers, 5, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most * 8 * 2000**2  # whole matrices of three layers and their sum: 4
+
+
 def test_spectrum_counts_components():
     a = np.zeros((6, 6))
     for i, j in ((0, 1), (1, 2), (3, 4), (4, 5)):
