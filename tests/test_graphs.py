@@ -171,6 +171,37 @@ def test_gravity_on_a_line_is_that_of_all_pairs(spark, k, block):
     assert found == wanted
 
 
+@pytest.mark.parametrize("k,zero,block", [(3, 1.5, 5), (6, 0.2, 7), (4, 50.0, 10_000)])
+def test_gravity_on_a_line_puts_equal_places_apart(spark, k, zero, block):
+    r = np.random.default_rng(k)
+    values = [*np.repeat(3.25, 12), *r.integers(0, 30, 60) / 4, *np.repeat(r.normal(size=20), 2), -7.0, -7.0]
+    places = spark.createDataFrame([(int(e), float(v)) for e, v in zip(r.permutation(len(values)), values, strict=True)], "entity long, value double")
+    a, b = places.toDF("i", "x"), places.toDF("j", "y")
+    pairs = a.join(b, F.col("i") < F.col("j")).withColumn("km", F.abs(F.col("x") - F.col("y")) / 2).withColumn("km", F.when(F.col("km") > 0, F.col("km")).otherwise(zero))
+    found, wanted = ({(e.i, e.j): e.w for e in rows.collect()} for rows in (graphs.gravity_line(places, k, 3.0, 2.0, block, zero), graphs.gravity_layer(pairs, k, 3.0)))
+    assert found == wanted
+
+
+def test_the_study_needs_no_pairs_of_places(spark, sf_dir, monkeypatch):
+    from netpanel.plans import graph_queries, serving_queries, stages
+
+    def pairs(*_):
+        raise AssertionError("all pairs of suppliers")
+
+    class Built(Exception):
+        pass
+
+    def layers(features, distances, config, places=None, per_km=1.0):
+        assert distances is None and places.columns == ["entity", "value"]
+        raise Built
+
+    monkeypatch.setattr(graph_queries, "distances", pairs)
+    monkeypatch.setattr(stages, "build_layers", layers)
+    monkeypatch.setattr(serving_queries, "kept", lambda df: df)
+    with pytest.raises(Built):
+        serving_queries.panel_study(spark, sf_dir)
+
+
 @pytest.mark.parametrize("name", ["rayleigh", "edge_jaccard"])
 def test_places_on_a_line_need_no_pairs(spark, sf_dir, monkeypatch, name):
     from netpanel.plans import graph_queries
