@@ -615,3 +615,60 @@ def test_grid_agglomerates_once_for_all_k(spark, monkeypatch):
     monkeypatch.setitem(kernels.CUTS, several, lambda x, a, ks: kernels.ward_cuts(x, ks))
     found = clustering.grid(points, edges, ["once", "spectral"], [2, 3]).toPandas()
     assert found.groupby(["method", "k"])["label"].nunique().to_dict() == {("once", 2): 2, ("once", 3): 3, ("spectral", 2): 2, ("spectral", 3): 3}
+
+
+def test_nearest_meets_few_points(monkeypatch):
+    r = np.random.default_rng(31)
+    ids, x = np.arange(5000), r.normal(size=(5000, 3))
+    met = []
+    monkeypatch.setattr(kernels.np, "nonzero", lambda v, real=np.nonzero: (met.append(np.size(v)), real(v))[1])
+    i, j, d = kernels.nearest(ids, x, ids, x, 4)
+    assert sum(met) < 5000 * 5000 / 4
+    some = r.choice(5000, 50, replace=False)
+    for v in some:
+        far = np.sqrt(((x - x[v]) ** 2).sum(1))
+        far[v] = np.inf
+        assert (j[i == v] == np.argsort(far, kind="stable")[:4]).all() and (d[i == v] == np.sort(far)[:4]).all()
+
+
+def test_kmeans_compares_a_point_again_only_when_it_may_change(monkeypatch):
+    r = np.random.default_rng(32)
+    x, k = np.concatenate([r.normal(size=(2000, 3)), np.repeat(r.normal(size=(20, 3)), 5, 0)]), 5
+    norms = (x**2).sum(1)
+    start = x[kernels._seeds(norms, lambda c: x @ x[c], k, np.random.default_rng(1))]
+    centres, now, rounds = start.copy(), None, 0
+    while True:
+        new = kernels.squared_distances(x, centres).argmin(1)
+        rounds += 1
+        if now is not None and (new == now).all():
+            break
+        now, centres = new, np.stack([x[new == c].mean(0) for c in range(k)])
+    compared = []
+    monkeypatch.setattr(kernels, "_least", lambda d, real=kernels._least: (compared.append(d.shape[1]), real(d))[1])
+    found, at = kernels._lloyd(x, norms, start, 300)
+    assert (found == now).all() and np.allclose(at, centres) and sum(compared) < len(x) * rounds / 2
+
+
+@pytest.mark.parametrize("metric,balanced", [("euclidean", False), ("euclidean", True), ("cosine", False)])
+@pytest.mark.parametrize("hubs", [0, 64])
+def test_joint_clusters_are_those_of_whole_rows(planted, monkeypatch, metric, balanced, hubs):
+    x, a, _ = planted
+    monkeypatch.setattr(kernels, "HUBS", hubs)  # without and with the paths of two links
+    monkeypatch.setattr(kernels._Joined, "__getitem__", None)  # no row of the modularity matrix is made
+    found = kernels.joint_kmeans(x, a, 4, np.random.default_rng(2), metric=metric, balanced=balanced, n_init=1)
+    p = kernels.modularity_matrix(a)
+    if metric == "cosine":
+        x, p = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, p))
+    xi = (x**2).sum() / (p**2).sum() if balanced else 1.0
+    z = np.hstack([x, np.sqrt(xi) * p])
+    centres = z[kernels._seeds((z**2).sum(1), lambda c: z @ z[c], 4, np.random.default_rng(2))]
+    history = []
+    for _ in range(found.n_iter):
+        labels = kernels.squared_distances(z, centres).argmin(1)
+        centres = np.stack([z[labels == c].mean(0) for c in range(4)])
+        if metric == "cosine":
+            for part, scale in ((slice(None, x.shape[1]), 1.0), (slice(x.shape[1], None), np.sqrt(xi))):
+                centres[:, part] *= scale / np.linalg.norm(centres[:, part], axis=1, keepdims=True)
+        history.append(((z - centres[labels]) ** 2).sum())
+    assert (found.labels == kernels.relabelled(labels)).all() and np.allclose(found.history, history)
+    assert np.allclose(np.hstack(found.centres), np.hstack([centres[:, : x.shape[1]], centres[:, x.shape[1] :] / np.sqrt(xi)]))
