@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netpanel.operators import kernels, vectors
-from netpanel.operators.graphs import block_sums
+from netpanel.operators.graphs import block_sums, block_sums_of_runs
 
 #: Whether more is better.
 DIRECTION = {"SW": 1, "CH": 1, "DBI": -1, "S_Dbw": -1, "AVI": 1, "AVU": -1, "ANUI": 1, "Q": 1, "MQ": 1, "TurboMQ": 1}
@@ -36,6 +36,12 @@ def graph_indices(edges: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -
     return indices_of_sums(block_sums(edges, labels, by), labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n")), by)
 
 
+def indices_of_runs(edges: DataFrame, labels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``graph_indices`` of each period's one graph under its many partitions (by, period, entity, label)."""
+    key = [*by, "period"]
+    return indices_of_sums(block_sums_of_runs(edges, labels, by), labels.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n")), key)
+
+
 def indices_of_sums(sums: DataFrame, sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The same from the sums between clusters (``graphs.block_sums``) and the clusters' sizes (label, n)."""
     clusters = _cluster_table(sums, sizes, by)

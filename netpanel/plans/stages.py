@@ -71,9 +71,7 @@ def evaluate(features: FeatureSet, edges: DataFrame, found: DataFrame) -> DataFr
     """method, k, period, metric, value of all indices for every partition: of the network in one aggregation, of the features period by period."""
     key = ["method", "asked", "period"]  # the indices have a k of their own: the clusters found
     found = found.withColumnRenamed("k", "asked")
-    runs = found.select(key).distinct()
-    every = edges.select("period", "i", "j", "w").join(F.broadcast(runs), "period")  # a row for each method, k and period
-    table = indices.graph_indices(every, found.select(*key, "entity", "label"), key)
+    table = indices.indices_of_runs(edges, found, key[:2])
     network = table.unpivot(key, ["AVI", "AVU", "ANUI", "Q", "Q_density", "TurboMQ", "MQ_basic"], "metric", "value").withColumnRenamed("asked", "k")
     return network.unionByName(indices.feature_panel(features.points, found.withColumnRenamed("asked", "k")))
 

@@ -672,3 +672,15 @@ def test_joint_clusters_are_those_of_whole_rows(planted, monkeypatch, metric, ba
         history.append(((z - centres[labels]) ** 2).sum())
     assert (found.labels == kernels.relabelled(labels)).all() and np.allclose(found.history, history)
     assert np.allclose(np.hstack(found.centres), np.hstack([centres[:, : x.shape[1]], centres[:, x.shape[1] :] / np.sqrt(xi)]))
+
+
+def test_runs_share_the_graph(spark, monkeypatch):
+    r = np.random.default_rng(33)
+    edges = spark.createDataFrame([(t, i, j, float(r.random())) for t in (1, 2) for i in range(20) for j in range(i + 1, 21) if r.random() < 0.3], "period long, i long, j long, w double")
+    rows = [(m, k, t, v, int(r.integers(k))) for m in "ab" for k in (2, 3) for t in (1, 2, 3) for v in range(20 - k)]  # nodes without a label, a period without links
+    labels = spark.createDataFrame(rows, "method string, k int, period long, entity long, label int")
+    key = ["method", "k", "period"]
+    every = edges.join(labels.select(key).distinct(), "period")
+    plain = {tuple(q[c] for c in (*key, "a", "b")): q.s for q in graphs.block_sums(every, labels, key).collect()}
+    found = {tuple(q[c] for c in (*key, "a", "b")): q.s for q in graphs.block_sums_of_runs(edges, labels, ["method", "k"]).collect()}
+    assert found.keys() == plain.keys() and all(math.isclose(found[q], plain[q]) for q in plain)
