@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 import tracemalloc
 
@@ -710,3 +711,11 @@ def test_spectral_of_many_parts_makes_no_matrix_of_them():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(set(found)) == 4 and peak < 3000 * 3000 * 8 * 3
+
+
+def test_rows_of_a_period_are_copied_to_few_blocks(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(vectors, "_blocked", lambda points, by, block, width, real=vectors._blocked: (asked.append((block, width)), real(points, by, block, width))[1])
+    points = spark.createDataFrame([(1, 0, [0.0]), (1, 1, [1.0])], "period long, entity long, x array<double>")
+    vectors.neighbours(points, 1, ["period"])
+    assert asked[0][0] == asked[0][1] and -(-60_000 // inspect.signature(clustering.comovement_layer).parameters["block"].default) <= 4
