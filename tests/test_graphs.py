@@ -713,6 +713,20 @@ def test_spectral_of_many_parts_makes_no_matrix_of_them():
     assert len(set(found)) == 4 and peak < 3000 * 3000 * 8 * 3
 
 
+def test_temporal_parts_that_never_join_need_no_search(monkeypatch):
+    r = np.random.default_rng(34)
+    n, slices = 60, []
+    for _ in range(3):
+        i, j = (v.ravel() for v in np.meshgrid(np.arange(n), np.arange(n)))
+        some = (i < j) & (i // 10 == j // 10) & (r.random(n * n) < 0.4)  # six parts, in all slices
+        slices.append(kernels.Links(n, i[some], j[some], r.random(some.sum()) + 0.1))
+    calls = []
+    monkeypatch.setattr(kernels, "leiden", lambda *a, real=kernels.leiden, **kw: (calls.append(1), real(*a, **kw))[1])
+    found = kernels.temporal_leiden(slices, 4, np.random.default_rng(1))
+    assert kernels.adjusted_rand(found.ravel(), np.tile(np.arange(n) // 10, 3)) == 1 and not calls
+    assert len(np.unique(kernels.temporal_leiden(slices, 8, np.random.default_rng(1)))) >= 7 and calls
+
+
 def test_rows_of_a_period_are_copied_to_few_blocks(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(vectors, "_blocked", lambda points, by, block, width, real=vectors._blocked: (asked.append((block, width)), real(points, by, block, width))[1])
