@@ -7,6 +7,7 @@ import math
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -733,3 +734,9 @@ def test_rows_of_a_period_are_copied_to_few_blocks(spark, monkeypatch):
     points = spark.createDataFrame([(1, 0, [0.0]), (1, 1, [1.0])], "period long, entity long, x array<double>")
     vectors.neighbours(points, 1, ["period"])
     assert asked[0][0] == asked[0][1] and -(-60_000 // inspect.signature(clustering.comovement_layer).parameters["block"].default) <= 4
+
+
+def test_links_of_entities_without_points_are_left_out():
+    edges = pd.DataFrame({"i": [1, 1, 3, 4], "j": [3, 2, 9, 5], "w": [1.0, 2.0, 3.0, 4.0]})
+    found = clustering._links(np.array([1, 3, 4, 5]), edges)
+    assert list(zip(found.i.tolist(), found.j.tolist(), found.w.tolist(), strict=True)) == [(0, 1, 1.0), (2, 3, 4.0)]
